@@ -20,8 +20,12 @@ def safe_div(a: Column | str, b: Column | str) -> Column:
 
 
 def r4(c: Column | str) -> Column:
-    """Round a float output to 4 places and turn -0.0 into 0.0."""
-    return F.round(col_(c), 4) + F.lit(0.0)
+    """Round a float output to 4 places, half up, with plain IEEE steps.
+
+    ``floor(x * 1e4 + 0.5) / 1e4`` gives the same bits in any engine for the same
+    input (``round`` breaks ties differently across engines) and never -0.0.
+    """
+    return (F.floor(col_(c) * F.lit(1e4) + F.lit(0.5)) / F.lit(1e4)).cast("double")
 
 
 def guarded_log1p(c: Column | str) -> Column:

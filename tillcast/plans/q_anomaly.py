@@ -10,7 +10,7 @@ from tillcast.plans.registry import Views, register
 from tillcast.plans.sqlbase import with_views
 
 ROLLING_SQL = with_views() + """
-select store, dept, date, weekly_sales, round(z, 4) + 0e0 as rolling_zscore,
+select store, dept, date, weekly_sales, r4(z) as rolling_zscore,
        coalesce(cast(abs(z) > 2e0 as integer), 0) as rolling_anomaly
 from (select *, (weekly_sales - avg(weekly_sales) over w)
                 / (stddev_samp(weekly_sales) over w + 1e-5) as z

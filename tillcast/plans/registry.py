@@ -9,6 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillcast.sources import fixtures
 
+
+def expand_r4(sql: str) -> str:
+    """Rewrite r4(x) into the engine-neutral rounding floor(x * 1e4 + 0.5) / 1e4."""
+    while True:
+        i = sql.find("r4(")
+        while i > 0 and (sql[i - 1].isalnum() or sql[i - 1] == "_"):
+            i = sql.find("r4(", i + 1)
+        if i < 0:
+            return sql
+        depth, j = 0, i + 2
+        while True:
+            if sql[j] == "(":
+                depth += 1
+            elif sql[j] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            j += 1
+        inner = sql[i + 3:j]
+        sql = sql[:i] + f"(floor(({inner}) * 1e4 + 5e-1) / 1e4)" + sql[j + 1:]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -20,7 +41,7 @@ def register(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query key {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = expand_r4(sql)
         return fn
     return deco
 

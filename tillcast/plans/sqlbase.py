@@ -103,3 +103,46 @@ def with_views(*extra: str, dept: str = "p_type", prepared: bool = False) -> str
         parts += [FEATURES_FILLED_CTE, PREPARED_CTE]
     parts += list(extra)
     return "with " + ",\n".join(parts) + "\n"
+
+
+# rolling z + moving-average decomposition + consensus + seasonal-median repair
+CLEANED_CTE = """flagged as (
+  select *,
+         coalesce(cast(abs((weekly_sales - avg(weekly_sales) over w8)
+                           / (stddev_samp(weekly_sales) over w8 + 1e-5)) > 2e0 as integer), 0) as rolling_anomaly,
+         (weekly_sales - avg(weekly_sales) over w8) / (stddev_samp(weekly_sales) over w8 + 1e-5) as rolling_zscore,
+         count(*) over ws as n_obs,
+         row_number() over wo as rn,
+         case when count(*) over ws >= 104 and lag(weekly_sales, 26) over wo is not null
+                   and lead(weekly_sales, 26) over wo is not null
+              then (5e-1 * lag(weekly_sales, 26) over wo + sum(weekly_sales) over w51
+                    + 5e-1 * lead(weekly_sales, 26) over wo) / 52e0 end as stk_trend
+  from prepared
+  window wo as (partition by store, dept order by date),
+         ws as (partition by store, dept),
+         w8 as (partition by store, dept order by date rows between 7 preceding and current row),
+         w51 as (partition by store, dept order by date rows between 25 preceding and 25 following)),
+phased as (
+  select *, avg(weekly_sales - stk_trend) over wp as pm,
+         avg(weekly_sales - stk_trend) over wp / count(*) over wp as pw
+  from (select *, (rn - 1) % 52 as phase from flagged) f
+  window wp as (partition by store, dept, phase)),
+seasoned as (
+  select *, case when n_obs >= 104 then pm - sum(pw) over (partition by store, dept) / 52e0 end as stk_season
+  from phased),
+resid as (select *, weekly_sales - stk_trend - stk_season as stk_resid from seasoned),
+decomposed as (
+  select *, coalesce(cast(abs((stk_resid - avg(stk_resid) over ws)
+                              / stddev_samp(stk_resid) over ws) > 25e-1 as integer), 0) as stk_anomaly
+  from resid window ws as (partition by store, dept)),
+medians as (select week_of_year, median(weekly_sales) as seasonal_median from prepared group by week_of_year),
+cleaned as (
+  select d.* exclude (n_obs, rn, phase, pm, pw),
+         cast(d.stk_anomaly = 1 and d.rolling_anomaly = 1 as integer) as final_anomaly,
+         case when d.stk_anomaly = 1 and d.rolling_anomaly = 1 then m.seasonal_median
+              else d.weekly_sales end as weekly_sales_cleaned
+  from decomposed d left join medians m on m.week_of_year = d.week_of_year)"""
+
+
+def with_cleaned(*extra: str, dept: str = "p_type") -> str:
+    return with_views(CLEANED_CTE, *extra, dept=dept, prepared=True)
