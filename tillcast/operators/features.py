@@ -36,11 +36,17 @@ def calendar_features(df: DataFrame, keys: list[str], date: str = "date") -> Dat
 
 
 def group_mean_ratios(df: DataFrame, value: str = "weekly_sales") -> DataFrame:
-    """Means by store, dept and (store, dept) on every row; sales relative to them."""
+    """Means by store, dept and (store, dept) on every row; sales relative to them.
+
+    Grouped aggregates (map-side partial sums, so a hot store costs nothing extra)
+    joined back on their keys, instead of unordered windows that would pull
+    every row of a store into one task.
+    """
     y = F.col(value)
-    out = (df.withColumn("store_mean", F.avg(y).over(Window.partitionBy("store")))
-             .withColumn("dept_mean", F.avg(y).over(Window.partitionBy("dept")))
-             .withColumn("store_dept_mean", F.avg(y).over(Window.partitionBy("store", "dept"))))
+    out = df
+    for keys, name in ((["store"], "store_mean"), (["dept"], "dept_mean"),
+                       (["store", "dept"], "store_dept_mean")):
+        out = out.join(df.groupBy(*keys).agg(F.avg(y).alias(name)), keys, "left")
     return (out.withColumn("sales_vs_store", safe_div(y, "store_mean"))
                .withColumn("sales_vs_dept", safe_div(y, "dept_mean")))
 
@@ -98,3 +104,80 @@ def category_codes(df: DataFrame, cols: list[str]) -> DataFrame:
             c, (F.dense_rank().over(Window.orderBy(c)) - 1).cast("int").alias(f"{c}_code"))
         out = out.join(codes, c, "left")
     return out
+
+
+def fit_robust(df: DataFrame, cols: list[str], approx: bool = False,
+               accuracy: int = 100000) -> dict[str, tuple[float, float]]:
+    """Median and IQR of each column in one aggregate pass: {col: (median, scale)}.
+
+    A zero (or null) IQR scales by 1, as the reference scaler does. Exact
+    quantiles by default; ``approx=True`` switches to ``percentile_approx`` for
+    tables too large to buffer one column's distinct values per task.
+    """
+    qs = [0.25, 0.5, 0.75]
+    aggs = []
+    for c in cols:
+        q = (F.percentile_approx(c, qs, accuracy) if approx else F.percentile(c, qs)).alias(c)
+        aggs.append(q)
+    row = df.agg(*aggs).first()
+    params = {}
+    for c in cols:
+        q1, med, q3 = [float(v) for v in row[c]] if row[c] is not None else (0.0, 0.0, 0.0)
+        iqr = q3 - q1
+        params[c] = (med, iqr if iqr != 0 else 1.0)
+    return params
+
+
+def robust_scale(df: DataFrame, cols: list[str], suffix: str = "_scaled",
+                 approx: bool = False) -> DataFrame:
+    """(x - median) / IQR per column; parameters are a handful of driver scalars."""
+    params = fit_robust(df, cols, approx)
+    return df.select("*", *[((F.col(c) - F.lit(m)) / F.lit(s)).alias(f"{c}{suffix}")
+                            for c, (m, s) in params.items()])
+
+
+SKEWED = ["weekly_sales", "sales_vs_store", "markdown1", "markdown2", "markdown3", "markdown4",
+          "markdown5", "total_markdown"]
+UNSKEWED = ["temperature", "fuel_price", "cpi", "unemployment", "size", "sales_vs_dept", "week_of_year"]
+
+
+def log_transform(df: DataFrame, cols: list[str] = SKEWED) -> DataFrame:
+    """Guarded log1p (x <= 0 and null -> 1) then robust scaling of each column."""
+    out = df.select("*", *[guarded_log1p(c).alias(f"{c}_transformed") for c in cols])
+    return robust_scale(out, [f"{c}_transformed" for c in cols], suffix="_scaled")
+
+
+def minmax_scale(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> DataFrame:
+    """(x - min) / (max - min); a zero range gives 0."""
+    row = df.agg(*[F.min(c).alias(f"lo_{c}") for c in cols],
+                 *[F.max(c).alias(f"hi_{c}") for c in cols]).first()
+    outs = []
+    for c in cols:
+        lo, hi = row[f"lo_{c}"], row[f"hi_{c}"]
+        rng = (hi - lo) if lo is not None and hi is not None else 0.0
+        outs.append((((F.col(c) - F.lit(lo)) / F.lit(rng)) if rng else F.lit(0.0)).alias(f"{c}{suffix}"))
+    return df.select("*", *outs)
+
+
+def markdown_flags(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.select("*", *[(F.col(c) > 0).cast("int").alias(f"{c}_flag") for c in cols])
+
+
+def correlation_long(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Pearson r for every ordered pair of columns, long form (col1, col2, corr).
+
+    One aggregate pass of pairwise moments; a constant column gives null, not an error.
+    """
+    from tillcast.functions.numeric import guarded_corr
+    aggs = []
+    for i, a in enumerate(cols):
+        for b in cols[i:]:
+            aggs.append(guarded_corr(a, b).alias(f"{a}__{b}"))
+    wide = df.agg(*aggs)
+    pairs = []
+    for i, a in enumerate(cols):
+        for b in cols[i:]:
+            pairs.append(f"'{a}', '{b}', `{a}__{b}`")
+            if a != b:
+                pairs.append(f"'{b}', '{a}', `{a}__{b}`")
+    return wide.selectExpr(f"stack({len(pairs)}, {', '.join(pairs)}) as (col1, col2, corr)")
