@@ -28,6 +28,12 @@ def r4(c: Column | str) -> Column:
     return (F.floor(col_(c) * F.lit(1e4) + F.lit(0.5)) / F.lit(1e4)).cast("double")
 
 
+def snap8(c: Column | str) -> Column:
+    """Round to 8 places first, so results that are exact ties at 4 places (and
+    differ between engines only in the last bit) round the same way after r4."""
+    return (F.floor(col_(c) * F.lit(1e8) + F.lit(0.5)) / F.lit(1e8)).cast("double")
+
+
 def guarded_log1p(c: Column | str) -> Column:
     """log1p(x) where x > 0, else 1 (null included), as in the reference transform."""
     c = col_(c)

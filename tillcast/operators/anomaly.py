@@ -56,11 +56,14 @@ def classical_decompose(df: DataFrame, value: str = "weekly_sales", keys: list[s
     ok = F.col("_n") >= 2 * period
     out = (df.withColumn("_n", F.count(F.lit(1)).over(wall))
              .withColumn("_rn", F.row_number().over(w)))
-    inner = F.sum(y).over(w.rowsBetween(-(half - 1), half - 1))
-    lo, hi = F.lag(y, half).over(w), F.lead(y, half).over(w)
+    # The moving-average numerator is summed as an exact decimal (sales carry
+    # cents), so the trend does not depend on the order of a floating sum.
+    yd = y.cast("decimal(18,2)")
+    inner = F.sum(yd).over(w.rowsBetween(-(half - 1), half - 1))
+    lo, hi = F.lag(yd, half).over(w), F.lead(yd, half).over(w)
+    numer = ((lo + hi) * F.lit(0.5).cast("decimal(2,1)") + inner).cast("double")
     out = (out.withColumn(f"{prefix}_trend",
-                          F.when(ok & lo.isNotNull() & hi.isNotNull(),
-                                 (F.lit(0.5) * lo + inner + F.lit(0.5) * hi) / F.lit(float(period))))
+                          F.when(ok & lo.isNotNull() & hi.isNotNull(), numer / F.lit(float(period))))
               .withColumn("_phase", (F.col("_rn") - 1) % period))
     detr = y - F.col(f"{prefix}_trend")
     out = (out.withColumn("_pm", F.avg(detr).over(wphase))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillcast.functions.numeric import r4
+from tillcast.functions.numeric import r4, snap8
 from tillcast.operators import anomaly
 from tillcast.plans.registry import Views, register
 from tillcast.plans.sqlbase import with_views
@@ -25,3 +25,56 @@ def rolling_zscore(spark, sf_dir):
     out = anomaly.rolling_zscore(v.sales)
     return out.select("store", "dept", "date", "weekly_sales",
                       r4("rolling_zscore").alias("rolling_zscore"), "rolling_anomaly")
+
+from tillcast.plans.sqlbase import with_cleaned  # noqa: E402
+
+
+@register("classical_decompose", with_cleaned() + """
+select store, dept, date, weekly_sales, r4(s8(stk_trend)) as stk_trend,
+       r4(s8(stk_season)) as stk_season, r4(s8(stk_resid)) as stk_resid, stk_anomaly
+from decomposed""")
+def classical_decompose(spark, sf_dir):
+    out = anomaly.classical_decompose(Views(spark, sf_dir).prepared)
+    return out.select("store", "dept", "date", "weekly_sales",
+                      *[r4(snap8(c)).alias(c) for c in ("stk_trend", "stk_season", "stk_resid")],
+                      "stk_anomaly")
+
+
+@register("seasonal_medians", with_cleaned() + """
+select week_of_year, r4(seasonal_median) as seasonal_median from medians""")
+def seasonal_medians(spark, sf_dir):
+    out = anomaly.seasonal_medians(Views(spark, sf_dir).prepared)
+    return out.select("week_of_year", r4("seasonal_median").alias("seasonal_median"))
+
+
+@register("seasonal_median_fill", with_cleaned() + """
+select store, dept, date, weekly_sales, rolling_anomaly, stk_anomaly, final_anomaly,
+       r4(weekly_sales_cleaned) as weekly_sales_cleaned
+from cleaned""")
+def seasonal_median_fill(spark, sf_dir):
+    c = Views(spark, sf_dir).cleaned
+    return c.select("store", "dept", "date", "weekly_sales", "rolling_anomaly", "stk_anomaly",
+                    "final_anomaly", r4("weekly_sales_cleaned").alias("weekly_sales_cleaned"))
+
+
+@register("anomaly_rates", with_cleaned() + """
+select 'rolling_anomaly' as detector, r4(avg(rolling_anomaly) * 100) as percent from cleaned
+union all select 'stk_anomaly', r4(avg(stk_anomaly) * 100) from cleaned
+union all select 'final_anomaly', r4(avg(final_anomaly) * 100) from cleaned""")
+def anomaly_rates(spark, sf_dir):
+    out = anomaly.flag_rates(Views(spark, sf_dir).cleaned,
+                             ["rolling_anomaly", "stk_anomaly", "final_anomaly"])
+    return out.select("detector", r4("percent").alias("percent"))
+
+
+@register("flag_crosstab", with_cleaned() + """
+select count(*) filter (where rolling_anomaly = 1 and stk_anomaly = 1) as both_flags,
+       count(*) filter (where rolling_anomaly = 1 and stk_anomaly = 0) as rolling_only,
+       count(*) filter (where rolling_anomaly = 0 and stk_anomaly = 1) as stk_only,
+       count(*) filter (where rolling_anomaly = 0 and stk_anomaly = 0) as neither
+from cleaned""")
+def flag_crosstab(spark, sf_dir):
+    c = Views(spark, sf_dir).cleaned
+    r, s = F.col("rolling_anomaly") == 1, F.col("stk_anomaly") == 1
+    return c.agg(F.count_if(r & s).alias("both_flags"), F.count_if(r & ~s).alias("rolling_only"),
+                 F.count_if(~r & s).alias("stk_only"), F.count_if(~r & ~s).alias("neither"))

@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from tillcast.sources import fixtures
 
 
-def expand_r4(sql: str) -> str:
-    """Rewrite r4(x) into the engine-neutral rounding floor(x * 1e4 + 0.5) / 1e4."""
+def _expand(sql: str, name: str, scale: str) -> str:
+    token = f"{name}("
+    i = 0
     while True:
-        i = sql.find("r4(")
-        while i > 0 and (sql[i - 1].isalnum() or sql[i - 1] == "_"):
-            i = sql.find("r4(", i + 1)
+        i = sql.find(token, i)
         if i < 0:
             return sql
-        depth, j = 0, i + 2
+        if i > 0 and (sql[i - 1].isalnum() or sql[i - 1] == "_"):
+            i += 1
+            continue
+        depth, j = 0, i + len(name)
         while True:
             if sql[j] == "(":
                 depth += 1
@@ -27,8 +29,14 @@ def expand_r4(sql: str) -> str:
                 if depth == 0:
                     break
             j += 1
-        inner = sql[i + 3:j]
-        sql = sql[:i] + f"(floor(({inner}) * 1e4 + 5e-1) / 1e4)" + sql[j + 1:]
+        inner = sql[i + len(token):j]
+        sql = sql[:i] + f"(floor(({inner}) * {scale} + 5e-1) / {scale})" + sql[j + 1:]
+
+
+def expand_r4(sql: str) -> str:
+    """Rewrite r4(x) / s8(x) into engine-neutral rounding floor(x * 10^k + 0.5) / 10^k."""
+    return _expand(_expand(sql, "s8", "1e8"), "r4", "1e4")
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
