@@ -58,7 +58,7 @@ def classical_decompose(df: DataFrame, value: str = "weekly_sales", keys: list[s
              .withColumn("_rn", F.row_number().over(w)))
     # The moving-average numerator is summed as an exact decimal (sales carry
     # cents), so the trend does not depend on the order of a floating sum.
-    yd = y.cast("decimal(18,2)")
+    yd = y.cast("decimal(22,4)")
     inner = F.sum(yd).over(w.rowsBetween(-(half - 1), half - 1))
     lo, hi = F.lag(yd, half).over(w), F.lead(yd, half).over(w)
     numer = ((lo + hi) * F.lit(0.5).cast("decimal(2,1)") + inner).cast("double")

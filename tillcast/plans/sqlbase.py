@@ -115,9 +115,9 @@ CLEANED_CTE = """flagged as (
          row_number() over wo as rn,
          case when count(*) over ws >= 104 and lag(weekly_sales, 26) over wo is not null
                    and lead(weekly_sales, 26) over wo is not null
-              then cast((cast(lag(weekly_sales, 26) over wo as decimal(18,2))
-                         + cast(lead(weekly_sales, 26) over wo as decimal(18,2))) * 0.5
-                        + sum(cast(weekly_sales as decimal(18,2))) over w51 as double) / 52e0 end as stk_trend
+              then cast((cast(lag(weekly_sales, 26) over wo as decimal(22,4))
+                         + cast(lead(weekly_sales, 26) over wo as decimal(22,4))) * 0.5
+                        + sum(cast(weekly_sales as decimal(22,4))) over w51 as double) / 52e0 end as stk_trend
   from prepared
   window wo as (partition by store, dept order by date),
          ws as (partition by store, dept),
