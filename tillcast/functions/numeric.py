@@ -22,10 +22,15 @@ def safe_div(a: Column | str, b: Column | str) -> Column:
 def r4(c: Column | str) -> Column:
     """Round a float output to 4 places, half up, with plain IEEE steps.
 
-    ``floor(x * 1e4 + 0.5) / 1e4`` gives the same bits in any engine for the same
-    input (``round`` breaks ties differently across engines) and never -0.0.
+    Values are first snapped to 8 places, then ``floor(x * 1e4 + 0.5) / 1e4``.
+    Both steps give the same bits in any engine for inputs that differ only in
+    the last bits (sums taken in another order), including exact ties such as
+    the mean of eight cent amounts; ``round`` breaks such ties differently
+    across engines. Magnitudes >= 1e9 skip the snap (no long overflow).
     """
-    return (F.floor(col_(c) * F.lit(1e4) + F.lit(0.5)) / F.lit(1e4)).cast("double")
+    x = col_(c)
+    snapped = F.when(F.abs(x) < F.lit(1e9), F.floor(x * F.lit(1e8) + F.lit(0.5)) / F.lit(1e8)).otherwise(x)
+    return (F.floor(snapped * F.lit(1e4) + F.lit(0.5)) / F.lit(1e4)).cast("double")
 
 
 def snap8(c: Column | str) -> Column:

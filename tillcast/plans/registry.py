@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillcast.sources import fixtures
 
 
-def _expand(sql: str, name: str, scale: str) -> str:
+def _expand(sql: str, name: str, fmt) -> str:
     token = f"{name}("
     i = 0
     while True:
@@ -29,13 +29,17 @@ def _expand(sql: str, name: str, scale: str) -> str:
                 if depth == 0:
                     break
             j += 1
-        inner = sql[i + len(token):j]
-        sql = sql[:i] + f"(floor(({inner}) * {scale} + 5e-1) / {scale})" + sql[j + 1:]
+        sql = sql[:i] + fmt(sql[i + len(token):j]) + sql[j + 1:]
+
+
+def _snap(x: str) -> str:
+    return f"(case when abs({x}) < 1e9 then floor(({x}) * 1e8 + 5e-1) / 1e8 else ({x}) end)"
 
 
 def expand_r4(sql: str) -> str:
-    """Rewrite r4(x) / s8(x) into engine-neutral rounding floor(x * 10^k + 0.5) / 10^k."""
-    return _expand(_expand(sql, "s8", "1e8"), "r4", "1e4")
+    """Rewrite r4(x) / s8(x) into the same engine-neutral rounding as functions.numeric.r4."""
+    sql = _expand(sql, "s8", lambda x: f"(floor(({x}) * 1e8 + 5e-1) / 1e8)")
+    return _expand(sql, "r4", lambda x: f"(floor({_snap(x)} * 1e4 + 5e-1) / 1e4)")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
