@@ -90,3 +90,107 @@ def log_minmax(df: DataFrame, key: str, cols: list[str], clip_at: float | None =
             logged.append(F.when(x > -1, F.log1p(x)).alias(c))
     out = minmax_scale(df.select(key, *logged), cols, suffix="_scaled")
     return out.select(key, *[f"{c}_scaled" for c in cols])
+
+
+# ---- clustering (MLlib) -------------------------------------------------------
+
+def assemble(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(
+        df.fillna(0.0, subset=cols)).select(key, "features")
+
+
+def elbow(vec: DataFrame, ks=range(1, 11), seeds=(0, 1, 2)) -> DataFrame:
+    """Within-cluster sum of squares per k: best training cost over a few seeded starts."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import vector_to_array
+    rows = []
+    for k in ks:
+        if k == 1:
+            # one cluster: WCSS = sum over features of n * population variance (closed form)
+            arr = vec.select(vector_to_array("features").alias("v"))
+            p = len(vec.first()["features"])
+            agg = arr.agg(*[(F.count(F.lit(1)) * F.var_pop(F.col("v")[i])).alias(f"w{i}") for i in range(p)]).first()
+            rows.append((1, float(sum(agg))))
+            continue
+        costs = [KMeans(k=k, seed=s, maxIter=50).fit(vec).summary.trainingCost for s in seeds]
+        rows.append((int(k), float(min(costs))))
+    return vec.sparkSession.createDataFrame(rows, "k int, wcss double")
+
+
+def silhouette_sweep(vec: DataFrame, ks=range(2, 11), seed: int = 0) -> DataFrame:
+    """Silhouette (squared Euclidean, MLlib) of k-means labels for each k."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
+    rows = []
+    for k in ks:
+        pred = KMeans(k=k, seed=seed, maxIter=50).fit(vec).transform(vec)
+        rows.append((int(k), float(ev.evaluate(pred))))
+    return vec.sparkSession.createDataFrame(rows, "k int, silhouette double")
+
+
+def _relabel(pred: DataFrame, key: str) -> DataFrame:
+    """Deterministic cluster ids: clusters numbered by their smallest member key."""
+    first = pred.groupBy("prediction").agg(F.min(key).alias("_m"))
+    first = first.select("prediction", (F.dense_rank().over(Window.orderBy("_m")) - 1).cast("int").alias("cluster"))
+    return pred.join(first, "prediction").drop("prediction")
+
+
+def kmeans_segments(vec: DataFrame, key: str, k: int = 2, seed: int = 0) -> DataFrame:
+    from pyspark.ml.clustering import KMeans
+    pred = KMeans(k=k, seed=seed, maxIter=50).fit(vec).transform(vec)
+    return _relabel(pred, key).select(key, "cluster")
+
+
+def bisecting_segments(vec: DataFrame, key: str, k: int = 2, seed: int = 0) -> DataFrame:
+    """Divisive hierarchical clustering (re-aim of Ward linkage, which is quadratic in memory)."""
+    from pyspark.ml.clustering import BisectingKMeans
+    pred = BisectingKMeans(k=k, seed=seed).fit(vec).transform(vec)
+    return _relabel(pred, key).select(key, "cluster")
+
+
+def pca(vec: DataFrame, key: str, p: int, keep: float = 0.95) -> DataFrame:
+    """Centred PCA: 2-D coordinates per row plus the component count reaching ``keep`` variance."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    cen = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="centred").fit(vec) \
+        .transform(vec)
+    model = PCA(k=p, inputCol="centred", outputCol="pcs").fit(cen)
+    ev = model.explainedVariance.toArray()
+    cum, n95 = 0.0, p
+    for i, v in enumerate(ev):
+        cum += v
+        if cum >= keep:
+            n95 = i + 1
+            break
+    from pyspark.ml.functions import vector_to_array
+    out = model.transform(cen).select(key, vector_to_array("pcs").alias("_v"))
+    return out.select(key, F.col("_v")[0].alias("pc1"), F.col("_v")[1].alias("pc2"),
+                      F.lit(n95).alias("n_components_95"), F.lit(float(ev[0])).alias("explained_pc1"))
+
+
+def segment_methods(vec: DataFrame, key: str, k: int = 2, seed: int = 0) -> DataFrame:
+    """Silhouette of each clustering method on the same features."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
+    rows = []
+    for name, fn in (("kmeans", kmeans_segments), ("bisecting_kmeans", bisecting_segments)):
+        lab = fn(vec, key, k, seed).join(vec, key)
+        n = lab.select("cluster").distinct().count()
+        rows.append((name, float(ev.evaluate(lab)) if n > 1 else -1.0, int(n)))
+    return vec.sparkSession.createDataFrame(rows, "method string, silhouette double, n_clusters int")
+
+
+def vif(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Variance inflation factors: diagonal of the inverse correlation matrix.
+
+    The p x p correlation matrix (p = a handful of features) comes from one
+    MLlib aggregate; only that matrix reaches the driver.
+    """
+    import numpy as np
+    from pyspark.ml.stat import Correlation
+    vec = assemble(df.withColumn("_k", F.lit(0)), "_k", cols)
+    m = Correlation.corr(vec, "features").first()[0].toArray()
+    inv = np.linalg.pinv(m)
+    rows = [(c, float(inv[i, i])) for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "feature string, vif double")

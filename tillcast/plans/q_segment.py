@@ -171,3 +171,59 @@ def segment_feature_scale(spark, sf_dir):
 def dept_feature_scale(spark, sf_dir):
     out = S.log_minmax(S.dept_features(Views(spark, sf_dir).cleaned), "dept", S.DEPT_FEATURES, clip_at=-1.0)
     return out.select("dept", *[r4(snap8(c)).alias(c) for c in out.columns if c != "dept"])
+
+
+def _vec(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    scaled = S.log_minmax(S.store_features(v.cleaned, v.stores), "store", S.STORE_FEATURES)
+    cols = [f"{c}_scaled" for c in S.STORE_FEATURES]
+    return S.assemble(scaled, "store", cols).persist(), len(cols)
+
+
+@register("elbow")
+def elbow(spark, sf_dir):
+    vec, _ = _vec(spark, sf_dir)
+    return S.elbow(vec)
+
+
+@register("silhouette_sweep")
+def silhouette_sweep(spark, sf_dir):
+    vec, _ = _vec(spark, sf_dir)
+    return S.silhouette_sweep(vec)
+
+
+@register("pca")
+def pca(spark, sf_dir):
+    vec, p = _vec(spark, sf_dir)
+    return S.pca(vec, "store", p)
+
+
+@register("kmeans_segments")
+def kmeans_segments(spark, sf_dir):
+    vec, _ = _vec(spark, sf_dir)
+    return S.kmeans_segments(vec, "store", 2)
+
+
+@register("hierarchical")
+def hierarchical(spark, sf_dir):
+    vec, _ = _vec(spark, sf_dir)
+    return S.bisecting_segments(vec, "store", 2)
+
+
+@register("segment_methods")
+def segment_methods(spark, sf_dir):
+    vec, _ = _vec(spark, sf_dir)
+    return S.segment_methods(vec, "store", 2)
+
+
+@register("vif")
+def vif(spark, sf_dir):
+    from tillcast.operators.features import UNSKEWED, group_mean_ratios, log_transform, robust_scale
+    from tillcast.operators.features import frequency_encode
+    v = Views(spark, sf_dir)
+    g = log_transform(group_mean_ratios(v.prepared), ["sales_vs_store"])
+    g = robust_scale(g, ["size", "sales_vs_dept"])
+    g = frequency_encode(g, ["store", "dept"])
+    cols = ["sales_vs_store_transformed_scaled", "dept_id_freq", "store_id_freq", "size_scaled",
+            "sales_vs_dept_scaled"]
+    return S.vif(g.select(*[F.col(c).cast("double") for c in cols]), cols)
