@@ -374,3 +374,46 @@ from (select distinct date from cleaned) d cross join cuts c
 where d.date <= c.cut + 84""")
 def rolling_origin_folds(spark, sf_dir):
     return FC.rolling_origin_folds(Views(spark, sf_dir).cleaned)
+
+
+@register("global_gbt")
+def global_gbt(spark, sf_dir):
+    from tillcast.operators.trees import global_gbt as gg
+    return gg(FC.global_features(Views(spark, sf_dir).cleaned))
+
+
+@register("long_gbt")
+def long_gbt(spark, sf_dir):
+    from tillcast.operators.trees import pooled_series_gbt
+    feat = FC.long_features(_series(spark, sf_dir))
+    return pooled_series_gbt(feat, LONG_COLS + ["weekofyear", "month", "year"], "gbt_long")
+
+
+@register("short_gbt")
+def short_gbt(spark, sf_dir):
+    from tillcast.operators.trees import pooled_series_gbt
+    p = Views(spark, sf_dir).prepared
+    s = _series(spark, sf_dir).where(F.col("level") == "store")
+    exog = p.groupBy("store", "date").agg(F.avg("is_holiday").alias("is_holiday"),
+                                          F.avg("total_markdown").alias("total_markdown"))
+    feat = FC.short_features(s, exog.withColumn("level", F.lit("store")))
+    cols = SHORT_COLS + ["year", "month", "week_of_year", "day_of_week", "is_year_start", "is_year_end",
+                         "days_since_start", "is_holiday", "total_markdown"]
+    return pooled_series_gbt(feat, cols, "gbt_short", horizon=8)
+
+
+@register("forecast_results")
+def forecast_results(spark, sf_dir):
+    """Results of models with different columns in one table (missing columns null)."""
+    from tillcast.operators.trees import pooled_series_gbt
+    s = _series(spark, sf_dir)
+    naive = FC.naive_forecasts(s, HORIZON)
+    gbt = pooled_series_gbt(FC.long_features(s), LONG_COLS + ["weekofyear", "month", "year"], "gbt_long",
+                            horizon=HORIZON)
+    gbt = gbt.withColumn("log_target", F.lit(False))
+    out = naive.unionByName(gbt, allowMissingColumns=True)
+    m = EV.forecast_metrics(out).select(F.col("level").alias("m_level"), F.col("store").alias("m_store"),
+                                        F.col("model").alias("m_model"), "rmse", "r2")
+    on = ((F.col("level") == F.col("m_level")) & F.col("store").eqNullSafe(F.col("m_store"))
+          & (F.col("model") == F.col("m_model")))
+    return out.join(m, on, "left").drop("m_level", "m_store", "m_model")
