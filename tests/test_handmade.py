@@ -145,3 +145,15 @@ def test_linear_r2_of_mean_is_zero(spark):
                                "level string, store int, model string, actual double, forecast double")
     r = evaluate.forecast_metrics(fc).first()
     assert r.r2 == 0.0 and r.rmse == 1.0
+
+
+def test_arx_recovers_linear_series(spark):
+    from tillcast.operators.solve import arx_walk_forward, fourier_trend
+    ds = fridays(200)
+    s = spark.createDataFrame([("store", 1, d, 3.0 + 2.0 * i) for i, d in enumerate(ds)],
+                              "level string, store int, date date, y double")
+    fc = arx_walk_forward(s, horizon=8).toPandas()
+    assert len(fc) == 8
+    assert (fc.actual - fc.forecast).abs().max() < 1e-3
+    ft = fourier_trend(s, horizon=20).toPandas()
+    assert len(ft) == 20 and (ft.actual - ft.forecast).abs().max() < 1e-3

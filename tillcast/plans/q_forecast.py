@@ -417,3 +417,21 @@ def forecast_results(spark, sf_dir):
     on = ((F.col("level") == F.col("m_level")) & F.col("store").eqNullSafe(F.col("m_store"))
           & (F.col("model") == F.col("m_model")))
     return out.join(m, on, "left").drop("m_level", "m_store", "m_model")
+
+
+@register("fourier_trend")
+def fourier_trend(spark, sf_dir):
+    from tillcast.operators.solve import fourier_trend as ft
+    return ft(_series(spark, sf_dir), HORIZON)
+
+
+@register("arx_walk_forward")
+def arx_walk_forward(spark, sf_dir):
+    from tillcast.operators.solve import arx_walk_forward as arx
+    return arx(_series(spark, sf_dir), horizon=8)
+
+
+@register("grid_search_arx")
+def grid_search_arx(spark, sf_dir):
+    from tillcast.operators.solve import grid_search_arx as gs
+    return gs(_series(spark, sf_dir))
