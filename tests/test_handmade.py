@@ -157,3 +157,15 @@ def test_arx_recovers_linear_series(spark):
     assert (fc.actual - fc.forecast).abs().max() < 1e-3
     ft = fourier_trend(s, horizon=20).toPandas()
     assert len(ft) == 20 and (ft.actual - ft.forecast).abs().max() < 1e-3
+
+
+def test_isolation_forest_flags_far_point(spark):
+    from tillcast.operators.iforest import isolation_forest
+    import random
+    rnd = random.Random(0)
+    rows = [(i, rnd.gauss(0, 1), rnd.gauss(0, 1)) for i in range(400)] + [(999, 50.0, 50.0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    out = isolation_forest(df, ["id"], ["a", "b"], n_trees=50, psi=128, contamination=0.005).toPandas()
+    assert out.loc[out.id == 999, "if_anomaly"].iloc[0] == 1
+    assert out.if_anomaly.sum() <= 3
+    assert out.if_score.idxmax() == out.index[out.id == 999][0]

@@ -78,3 +78,23 @@ def flag_crosstab(spark, sf_dir):
     r, s = F.col("rolling_anomaly") == 1, F.col("stk_anomaly") == 1
     return c.agg(F.count_if(r & s).alias("both_flags"), F.count_if(r & ~s).alias("rolling_only"),
                  F.count_if(~r & s).alias("stk_only"), F.count_if(~r & ~s).alias("neither"))
+
+
+def detector_features(v):
+    """The five detector inputs: ratio features scaled as in the reference, plus codes."""
+    from tillcast.operators.features import frequency_encode, group_mean_ratios, log_transform, robust_scale
+    g = log_transform(group_mean_ratios(v.prepared), ["sales_vs_store"])
+    g = robust_scale(g, ["size", "sales_vs_dept"])
+    g = frequency_encode(g, ["store", "dept"])
+    cols = ["sales_vs_store_transformed_scaled", "dept_id_freq", "store_id_freq", "size_scaled",
+            "sales_vs_dept_scaled"]
+    return g.select("store", "dept", "date", "weekly_sales", *[F.col(c).cast("double").alias(c) for c in cols]), cols
+
+
+@register("isolation_forest")
+def isolation_forest(spark, sf_dir):
+    from tillcast.operators.iforest import isolation_forest as iforest
+    g, cols = detector_features(Views(spark, sf_dir))
+    g = g.persist()
+    out = iforest(g, ["store", "dept", "date"], cols, n_trees=100, psi=256, contamination=0.002)
+    return out.select("store", "dept", "date", "weekly_sales", "if_score", "if_anomaly")
