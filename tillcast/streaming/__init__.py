@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference pipeline has no streams, watermarks, event-time windows or state;
+its rolling and lag operators are batch windows over sorted weekly rows, and
+they are built here as batch DataFrame windows (see operators/anomaly.py and
+operators/forecast.py). Nothing is added that the reference does not do.
+"""
