@@ -25,3 +25,13 @@ def test_store_filter_reaches_scan(spark):
     # the store filter passes the weekly aggregate and the joins into the supplier scan
     df = E.queries()["store_dept_trend"](spark, SMALL)
     assert "EqualTo(s_nationkey,1)" in _plan(df)
+
+
+def test_no_cross_join_or_row_udf_in_any_checked_query(spark):
+    bad = {}
+    for key in sorted(E.oracle_sql()):
+        p = _plan(E.queries()[key](spark, SMALL))
+        hits = [t for t in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython") if t in p]
+        if hits:
+            bad[key] = hits
+    assert bad == {}
