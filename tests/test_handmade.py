@@ -169,3 +169,33 @@ def test_isolation_forest_flags_far_point(spark):
     assert out.loc[out.id == 999, "if_anomaly"].iloc[0] == 1
     assert out.if_anomaly.sum() <= 3
     assert out.if_score.idxmax() == out.index[out.id == 999][0]
+
+
+def test_lof_blocked_matches_brute_force(spark):
+    """Sorted-window k-NN with certification equals brute-force LOF on a small fixture."""
+    import numpy as np
+    from tillcast.operators.lof import lof_blocked
+    from tillcast.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    rng = np.random.default_rng(3)
+    pts = [(b, i, float(x), float(y)) for b in range(2) for i, (x, y) in enumerate(rng.normal(size=(60, 2)))]
+    pts.append((0, 999, 8.0, 8.0))
+    df = spark.createDataFrame(pts, "b int, id int, x double, y double")
+    k = 5
+    got = {(r.b, r.id): r.lof for r in lof_blocked(df, ["b"], "id", ["x", "y"], k=k, u="x").collect()}
+    for b in range(2):
+        sub = [(i, np.array([x, y])) for bb, i, x, y in pts if bb == b]
+        ids = [i for i, _ in sub]
+        X = np.array([v for _, v in sub])
+        D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+        nn = {}
+        for a in range(len(ids)):
+            order = sorted((D[a, c], ids[c], c) for c in range(len(ids)) if c != a)[:k]
+            nn[a] = order
+        kd = {a: nn[a][-1][0] for a in nn}
+        lrd = {a: 1.0 / (np.mean([max(kd[c], d) for d, _, c in nn[a]]) + 1e-10) for a in nn}
+        for a in nn:
+            want = np.mean([lrd[c] for _, _, c in nn[a]]) / lrd[a]
+            assert abs(got[(b, ids[a])] - want) < 1e-9
+    far = got[(0, 999)]
+    assert far == max(v for (b, _), v in got.items() if b == 0)

@@ -83,7 +83,9 @@ def flag_crosstab(spark, sf_dir):
 def detector_features(v):
     """The five detector inputs: ratio features scaled as in the reference, plus codes."""
     from tillcast.operators.features import frequency_encode, group_mean_ratios, log_transform, robust_scale
-    g = log_transform(group_mean_ratios(v.prepared), ["sales_vs_store"])
+    # the two scaler fits read the same ratio table: keep it instead of rebuilding it per fit
+    g = group_mean_ratios(v.prepared).persist()
+    g = log_transform(g, ["sales_vs_store"])
     g = robust_scale(g, ["size", "sales_vs_dept"])
     g = frequency_encode(g, ["store", "dept"])
     cols = ["sales_vs_store_transformed_scaled", "dept_id_freq", "store_id_freq", "size_scaled",
@@ -98,3 +100,64 @@ def isolation_forest(spark, sf_dir):
     g = g.persist()
     out = iforest(g, ["store", "dept", "date"], cols, n_trees=100, psi=256, contamination=0.002)
     return out.select("store", "dept", "date", "weekly_sales", "if_score", "if_anomaly")
+
+
+LOF_FEATURES = ["sales_vs_dept_scaled", "sales_vs_store_transformed_scaled", "dept_id_freq", "store_id_freq",
+                "size_scaled"]
+
+
+def _lof_sql() -> str:
+    from tillcast.plans.q_features import GM_CTE
+    from tillcast.plans.sqlbase import with_views
+    f = LOF_FEATURES
+    dist = " + ".join(f"power(a.{c} - b.{c}, 2)" for c in f)
+    return with_views(GM_CTE, """tr as (select *, case when sales_vs_store > 0 then ln(1 + sales_vs_store) else 1e0 end
+                                     as sales_vs_store_transformed from gm)""",
+                      """qp as (select quantile_cont(sales_vs_store_transformed, 0.25) as a1,
+                                      quantile_cont(sales_vs_store_transformed, 0.5) as a2,
+                                      quantile_cont(sales_vs_store_transformed, 0.75) as a3,
+                                      quantile_cont(size, 0.25) as b1, quantile_cont(size, 0.5) as b2,
+                                      quantile_cont(size, 0.75) as b3,
+                                      quantile_cont(sales_vs_dept, 0.25) as c1, quantile_cont(sales_vs_dept, 0.5) as c2,
+                                      quantile_cont(sales_vs_dept, 0.75) as c3 from tr)""",
+                      """pts as (select t.store, t.dept, t.date, t.weekly_sales,
+              (t.sales_vs_store_transformed - a2) / coalesce(nullif(a3 - a1, 0), 1e0) as sales_vs_store_transformed_scaled,
+              (t.size - b2) / coalesce(nullif(b3 - b1, 0), 1e0) as size_scaled,
+              (t.sales_vs_dept - c2) / coalesce(nullif(c3 - c1, 0), 1e0) as sales_vs_dept_scaled,
+              cast(count(*) over (partition by t.dept) as double) as dept_id_freq,
+              cast(count(*) over (partition by t.store) as double) as store_id_freq,
+              count(*) over (partition by t.store, t.dept) as n_block
+       from tr t cross join qp)""",
+                      f"""knn as (select * from (
+         select a.store, a.dept, a.date as p, b.date as o, sqrt({dist}) as d, a.n_block,
+                row_number() over (partition by a.store, a.dept, a.date order by sqrt({dist}), b.date) as r
+         from pts a join pts b on a.store = b.store and a.dept = b.dept and a.date <> b.date) x
+       where r <= least(40, n_block - 1))""",
+                      """kd as (select store, dept, p, max(d) as kdist from knn group by store, dept, p)""",
+                      """lrd as (select k.store, k.dept, k.p, 1e0 / (avg(greatest(kd.kdist, k.d)) + 1e-10) as lrd
+         from knn k join kd on kd.store = k.store and kd.dept = k.dept and kd.p = k.o
+         group by k.store, k.dept, k.p)""",
+                      """lof as (select k.store, k.dept, k.p as date, avg(lo.lrd) / max(lp.lrd) as lof
+         from knn k join lrd lo on lo.store = k.store and lo.dept = k.dept and lo.p = k.o
+                    join lrd lp on lp.store = k.store and lp.dept = k.dept and lp.p = k.p
+         group by k.store, k.dept, k.p)""",
+                      """res as (select p.store, p.dept, p.date, p.weekly_sales, l.lof from pts p
+         left join lof l on l.store = p.store and l.dept = p.dept and l.date = p.date)""",
+                      prepared=True) + """
+select store, dept, date, weekly_sales, r4(lof) as lof,
+       coalesce(cast(lof > (select quantile_cont(lof, 0.995) from res) as integer), 0) as lof_anomaly
+from res"""
+
+
+@register("lof_blocked", _lof_sql())
+def lof_blocked(spark, sf_dir):
+    from tillcast.operators.lof import lof_blocked as lof
+    from tillcast.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    g, _ = detector_features(Views(spark, sf_dir))
+    # the detector table ends a long plan (preparation, windows, scaler fits): cut it once
+    g = g.checkpoint()
+    # inside a store-department block the frequency codes and size are constant, so the
+    # distance is carried by the two ratio features alone (the constants add exactly 0)
+    out = lof(g, ["store", "dept"], "date", LOF_FEATURES[:2], k=40, contamination=0.005)
+    return out.select("store", "dept", "date", "weekly_sales", r4("lof").alias("lof"), "lof_anomaly")
