@@ -199,3 +199,15 @@ def test_lof_blocked_matches_brute_force(spark):
             assert abs(got[(b, ids[a])] - want) < 1e-9
     far = got[(0, 999)]
     assert far == max(v for (b, _), v in got.items() if b == 0)
+
+
+def test_stl_parts_add_up_and_find_spike(spark):
+    from tillcast.operators.stl import stl_decompose
+    ys = [100 + 20 * math.sin(2 * math.pi * i / 52) + 0.1 * i for i in range(208)]
+    ys[120] += 400
+    df = spark.createDataFrame([(1, "d", d, float(y)) for d, y in zip(fridays(208), ys)],
+                               "store int, dept string, date date, weekly_sales double")
+    out = stl_decompose(df).orderBy("date").toPandas()
+    assert ((out.stl_trend + out.stl_season + out.stl_resid - out.weekly_sales).abs() < 1e-8).all()
+    assert out.stl_anomaly.iloc[120] == 1
+    assert out.stl_resid.abs().idxmax() == 120

@@ -102,10 +102,22 @@ def seasonal_median_fill(df: DataFrame, flag: str = "final_anomaly", value: str
               .drop("seasonal_median")
 
 
-def clean_sales(prepared: DataFrame) -> DataFrame:
-    """Rolling z + decomposition flags, consensus flag, seasonal-median repair."""
+def clean_sales(prepared: DataFrame, decomposition: str = "moving_average") -> DataFrame:
+    """Rolling z + decomposition flags, consensus flag, seasonal-median repair.
+
+    ``decomposition='moving_average'`` (default, all windows, SQL-checkable) or
+    ``'stl'`` (LOESS per series in a grouped pandas UDF, as the reference cleans).
+    """
     out = rolling_zscore(prepared)
-    out = classical_decompose(out)
+    if decomposition == "stl":
+        from tillcast.operators.stl import stl_decompose
+        parts = stl_decompose(prepared).select(
+            "store", "dept", "date", F.col("stl_trend").alias("stk_trend"),
+            F.col("stl_season").alias("stk_season"), F.col("stl_resid").alias("stk_resid"),
+            F.col("stl_anomaly").alias("stk_anomaly"))
+        out = out.join(parts, ["store", "dept", "date"], "left")
+    else:
+        out = classical_decompose(out)
     out = out.withColumn("final_anomaly",
                          ((F.col("stk_anomaly") == 1) & (F.col("rolling_anomaly") == 1)).cast("int"))
     return seasonal_median_fill(out)

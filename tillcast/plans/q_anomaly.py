@@ -161,3 +161,9 @@ def lof_blocked(spark, sf_dir):
     # distance is carried by the two ratio features alone (the constants add exactly 0)
     out = lof(g, ["store", "dept"], "date", LOF_FEATURES[:2], k=40, contamination=0.005)
     return out.select("store", "dept", "date", "weekly_sales", r4("lof").alias("lof"), "lof_anomaly")
+
+
+@register("stl_decompose")
+def stl_decompose(spark, sf_dir):
+    from tillcast.operators.stl import stl_decompose as stl
+    return stl(Views(spark, sf_dir).prepared)
