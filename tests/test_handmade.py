@@ -211,3 +211,15 @@ def test_stl_parts_add_up_and_find_spike(spark):
     assert ((out.stl_trend + out.stl_season + out.stl_resid - out.weekly_sales).abs() < 1e-8).all()
     assert out.stl_anomaly.iloc[120] == 1
     assert out.stl_resid.abs().idxmax() == 120
+
+
+def test_dbscan_blobs(spark):
+    from tillcast.operators.dbscan import dbscan
+    from tillcast.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    pts = [(i, 0.0 + 0.01 * i, 0.0) for i in range(10)] + [(100 + i, 5.0 + 0.01 * i, 5.0) for i in range(10)]
+    pts.append((999, 50.0, 50.0))
+    df = spark.createDataFrame(pts, "id int, x double, y double")
+    lab = {r.id: r.cluster for r in dbscan(df, "id", ["x", "y"], eps=0.5, min_samples=3).collect()}
+    assert lab[999] == -1
+    assert {lab[i] for i in range(10)} == {0} and {lab[100 + i] for i in range(10)} == {1}

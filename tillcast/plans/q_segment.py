@@ -227,3 +227,37 @@ def vif(spark, sf_dir):
     cols = ["sales_vs_store_transformed_scaled", "dept_id_freq", "store_id_freq", "size_scaled",
             "sales_vs_dept_scaled"]
     return S.vif(g.select(*[F.col(c).cast("double") for c in cols]), cols)
+
+
+def _scaled_store_features(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    out = S.log_minmax(S.store_features(v.cleaned, v.stores), "store", S.STORE_FEATURES)
+    return out.fillna(0.0), [f"{c}_scaled" for c in S.STORE_FEATURES]
+
+
+def _dbscan_core_sql():
+    cols = [f"{c}_scaled" for c in S.STORE_FEATURES]
+    d2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in cols)
+    sel = ", ".join(f"coalesce({c}, 0e0) as {c}" for c in cols)
+    return with_cleaned(*STORE_PROFILE, STORE_FEATURES_CTE, *_SF_CTES,
+                        f"sc as (select store, {sel} from ({_SF_SEL.replace('r4(s8(', '((')}) t)") + f"""
+select a.store, count(*) as n_neighbours, count(*) >= 7 as is_core
+from sc a join sc b on sqrt({d2}) <= 0.3
+group by a.store"""
+
+
+@register("dbscan_core", _dbscan_core_sql())
+def dbscan_core(spark, sf_dir):
+    from tillcast.operators.dbscan import core_points
+    sc, cols = _scaled_store_features(spark, sf_dir)
+    return core_points(sc, "store", cols, 0.3, 7)
+
+
+@register("dbscan")
+def dbscan(spark, sf_dir):
+    from tillcast.operators.dbscan import dbscan as db
+    from tillcast.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    sc, cols = _scaled_store_features(spark, sf_dir)
+    sc = sc.checkpoint()
+    return db(sc, "store", cols, 0.3, 7)
