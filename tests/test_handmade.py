@@ -223,3 +223,17 @@ def test_dbscan_blobs(spark):
     lab = {r.id: r.cluster for r in dbscan(df, "id", ["x", "y"], eps=0.5, min_samples=3).collect()}
     assert lab[999] == -1
     assert {lab[i] for i in range(10)} == {0} and {lab[100 + i] for i in range(10)} == {1}
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    from tillcast.functions.quantiles import exact_quantiles
+    rng = np.random.default_rng(7)
+    a = rng.normal(size=5000).round(2)          # many ties
+    rows = [(float(x), 3.0, None if i % 3 else float(i)) for i, x in enumerate(a)]
+    df = spark.createDataFrame(rows, "a double, c double, s double")
+    got = exact_quantiles(df, ["a", "c", "s"], [0.25, 0.5, 0.75], accuracy=1000)
+    s = np.array([float(i) for i in range(len(a)) if i % 3 == 0])
+    for name, arr in (("a", a), ("c", np.full(len(a), 3.0)), ("s", s)):
+        want = np.quantile(arr, [0.25, 0.5, 0.75])
+        assert np.allclose(got[name], want, rtol=0, atol=1e-12), name

@@ -108,21 +108,27 @@ def category_codes(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def fit_robust(df: DataFrame, cols: list[str], approx: bool = False,
                accuracy: int = 100000) -> dict[str, tuple[float, float]]:
-    """Median and IQR of each column in one aggregate pass: {col: (median, scale)}.
+    """Median and IQR of each column: {col: (median, scale)}.
 
-    A zero (or null) IQR scales by 1, as the reference scaler does. Exact
-    quantiles by default; ``approx=True`` switches to ``percentile_approx`` for
-    tables too large to buffer one column's distinct values per task.
+    Exact quartiles by a two-pass bracket (see functions.quantiles): no task ever
+    holds a whole column. ``approx=True`` stops after the sketch pass. A zero
+    (or undefined) IQR scales by 1, as the reference scaler does.
     """
+    from tillcast.functions.quantiles import exact_quantiles
     qs = [0.25, 0.5, 0.75]
-    aggs = []
-    for c in cols:
-        q = (F.percentile_approx(c, qs, accuracy) if approx else F.percentile(c, qs)).alias(c)
-        aggs.append(q)
-    row = df.agg(*aggs).first()
+    if approx:
+        row = df.agg(*[F.percentile_approx(c, qs, accuracy).alias(c) for c in cols]).first()
+        quant = {c: row[c] for c in cols}
+    else:
+        cached = df.is_cached
+        src = df if cached else df.select(*cols).persist()
+        quant = exact_quantiles(src, cols, qs, accuracy)
+        if not cached:
+            src.unpersist()
     params = {}
     for c in cols:
-        q1, med, q3 = [float(v) for v in row[c]] if row[c] is not None else (0.0, 0.0, 0.0)
+        q = quant[c]
+        q1, med, q3 = (0.0, 0.0, 0.0) if q is None or q[0] is None else [float(v) for v in q]
         iqr = q3 - q1
         params[c] = (med, iqr if iqr != 0 else 1.0)
     return params
