@@ -61,3 +61,63 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], accuracy: i
             out.append(float(lv) if lo == hi else (hi - pos) * lv + (pos - lo) * hv)
         result[c] = out
     return result
+
+
+def exact_group_quantiles(df: DataFrame, by: list[str], col: str, qs: list[float],
+                          accuracy: int = 100000) -> DataFrame:
+    """Exact linear-interpolated quantiles of ``col`` per group, for few, large groups.
+
+    Same bracket method per group: a sketch per group, a (group, lo, hi) band table
+    (one row per group, broadcast), counts below and (value, count) pairs inside
+    the band per group. The driver receives the bands' distinct values only and
+    returns one row per group: (by..., q0, q1, ...).
+    """
+    eps = 2.0 / accuracy
+    clamp = lambda v: min(1.0, max(0.0, v))
+    probes = sorted({clamp(q + d) for q in qs for d in (-eps, eps)})
+    x = F.col(col)
+    full = df
+    df = df.select(*by, col).persist()  # two narrow columns, read by three passes
+    sk = df.where(x.isNotNull()).groupBy(*by).agg(F.count(x).alias("_n"),
+                                                 F.percentile_approx(x, probes, accuracy).alias("_a"))
+    lo_i = [probes.index(clamp(q - eps)) for q in qs]
+    hi_i = [probes.index(clamp(q + eps)) for q in qs]
+    lo_c = [F.col("_a")[i] for i in lo_i]
+    hi_c = [F.col("_a")[i] for i in hi_i]
+    lo_e = F.least(*lo_c) if len(lo_c) > 1 else lo_c[0]
+    hi_e = F.greatest(*hi_c) if len(hi_c) > 1 else hi_c[0]
+    sk = sk.select(*by, "_n", lo_e.alias("_lo"), hi_e.alias("_hi")).persist()
+    j = df.join(F.broadcast(sk), by)
+    below = j.groupBy(*by).agg(F.count_if(x < F.col("_lo")).alias("_below"))
+    band = (j.where((x >= F.col("_lo")) & (x <= F.col("_hi")))
+             .groupBy(*by, x.alias("_v")).agg(F.count(F.lit(1)).alias("_k")))
+    meta = {tuple(r[b] for b in by): (r["_n"], r["_below"])
+            for r in sk.join(below, by).collect()}
+    vals: dict = {}
+    for r in band.collect():
+        vals.setdefault(tuple(r[b] for b in by), []).append((r["_v"], r["_k"]))
+    rows = []
+    for key, (n, b) in meta.items():
+        vs = sorted(vals.get(key, []))
+
+        def order_stat(rank: int):
+            i, acc = rank - b, 0
+            for v, k in vs:
+                if i < acc + k:
+                    return v
+                acc += k
+            raise ValueError("rank outside the bracket")
+
+        out = []
+        for q in qs:
+            pos = (n - 1) * q
+            lo, hi = math.floor(pos), math.ceil(pos)
+            lv, hv = order_stat(lo), order_stat(hi)
+            out.append(float(lv) if lo == hi else (hi - pos) * lv + (pos - lo) * hv)
+        rows.append((*key, *out))
+    sk.unpersist()
+    df.unpersist()
+    schema = full.select(*by).schema
+    from pyspark.sql import types as T
+    fields = list(schema.fields) + [T.StructField(f"q{i}", T.DoubleType(), True) for i in range(len(qs))]
+    return full.sparkSession.createDataFrame(rows, T.StructType(fields))

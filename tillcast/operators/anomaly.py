@@ -81,8 +81,12 @@ def seasonal_medians(df: DataFrame, value: str = "weekly_sales", by: list[str] |
                      approx: bool = False) -> DataFrame:
     """Median of ``value`` per week of year (or per ``by``): at most 53 rows by default."""
     by = by or ["week_of_year"]
-    med = F.percentile_approx(value, 0.5, 100000) if approx else F.median(value)
-    return df.groupBy(*by).agg(med.cast("double").alias("seasonal_median"))
+    if approx:
+        return df.groupBy(*by).agg(F.percentile_approx(value, 0.5, 100000).cast("double")
+                                   .alias("seasonal_median"))
+    # few, very large groups: exact medians without buffering a group in one task
+    from tillcast.functions.quantiles import exact_group_quantiles
+    return exact_group_quantiles(df, by, value, [0.5]).withColumnRenamed("q0", "seasonal_median")
 
 
 def seasonal_median_fill(df: DataFrame, flag: str = "final_anomaly", value: str = "weekly_sales",

@@ -121,5 +121,7 @@ def isolation_forest(df: DataFrame, key_cols: list[str], features: list[str], n_
         return pd.Series(np.power(2.0, -(total / len(packed.value)) / cpsi))
 
     scored = df.withColumn("if_score", score(*[F.col(c).cast("double") for c in features]))
-    cut = scored.agg(F.percentile_approx("if_score", 1.0 - contamination, 100000)).first()[0]
+    from tillcast.functions.quantiles import exact_quantiles
+    scored = scored.persist()
+    cut = exact_quantiles(scored, ["if_score"], [1.0 - contamination])["if_score"][0]
     return scored.withColumn("if_anomaly", (F.col("if_score") > F.lit(cut)).cast("int"))

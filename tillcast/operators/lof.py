@@ -93,6 +93,7 @@ def lof_blocked(df: DataFrame, block: list[str], rid: str, feats: list[str], k:
     lof = (pairs.join(lrd_o, [*block, "_o"]).groupBy(*block, rid).agg(F.avg("_lrdo").alias("_m"))
            .join(lrd, [*block, rid]).select(*block, rid, (F.col("_m") / F.col("_lrd")).alias("lof")))
     out = df.join(lof, [*block, rid], "left").persist()
-    cut = out.agg(F.percentile("lof", 1.0 - contamination)).first()[0]
+    from tillcast.functions.quantiles import exact_quantiles
+    cut = exact_quantiles(out, ["lof"], [1.0 - contamination])["lof"][0]
     flag = F.coalesce((F.col("lof") > F.lit(cut)).cast("int"), F.lit(0)) if cut is not None else F.lit(0)
     return out.withColumn("lof_anomaly", flag)

@@ -63,8 +63,9 @@ def box_stats(df: DataFrame, by: list[str], col: str, whisker: float = 1.5) -> D
     Quartiles are one grouped aggregate; the group table (one row per group)
     joins back to the rows for the conditional min/max/count pass.
     """
-    q = df.groupBy(*by).agg(F.percentile(col, [0.25, 0.5, 0.75]).alias("_q")).select(
-        *by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    from tillcast.functions.quantiles import exact_group_quantiles
+    q = exact_group_quantiles(df, by, col, [0.25, 0.5, 0.75]).select(
+        *by, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo = F.col("q1") - whisker * F.col("iqr")
     hi = F.col("q3") + whisker * F.col("iqr")
