@@ -22,6 +22,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], accuracy: i
     clamp = lambda v: min(1.0, max(0.0, v))
     probes = sorted({clamp(q + d) for q in qs for d in (-eps, eps)})
     row = df.agg(*[F.count(c).alias(f"n_{c}") for c in cols],
+                 *[F.min(c).alias(f"lo_{c}") for c in cols], *[F.max(c).alias(f"hi_{c}") for c in cols],
                  *[F.percentile_approx(c, probes, accuracy).alias(f"a_{c}") for c in cols]).first()
     live = [c for c in cols if row[f"n_{c}"]]
     result = {c: [None] * len(qs) for c in cols}
@@ -29,6 +30,11 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], accuracy: i
         return result
     band = {}
     for c in live:
+        if row[f"n_{c}"] < accuracy:
+            # the sketch bracket is only guaranteed for n >= accuracy; below that the
+            # whole range is the band (fewer than ``accuracy`` values)
+            band[c] = (row[f"lo_{c}"], row[f"hi_{c}"])
+            continue
         approx = dict(zip(probes, row[f"a_{c}"]))
         band[c] = (min(approx[clamp(q - eps)] for q in qs), max(approx[clamp(q + eps)] for q in qs))
     below = df.agg(*[F.count_if(F.col(c) < F.lit(band[c][0])).alias(c) for c in live]).first()
@@ -58,7 +64,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], accuracy: i
             pos = (n - 1) * q
             lo, hi = math.floor(pos), math.ceil(pos)
             lv, hv = order_stat(lo), order_stat(hi)
-            out.append(float(lv) if lo == hi else (hi - pos) * lv + (pos - lo) * hv)
+            out.append(float(lv) if lo == hi else lv + (pos - lo) * (hv - lv))
         result[c] = out
     return result
 
@@ -78,7 +84,8 @@ def exact_group_quantiles(df: DataFrame, by: list[str], col: str, qs: list[float
     x = F.col(col)
     full = df
     df = df.select(*by, col).persist()  # two narrow columns, read by three passes
-    sk = df.where(x.isNotNull()).groupBy(*by).agg(F.count(x).alias("_n"),
+    sk = df.where(x.isNotNull()).groupBy(*by).agg(F.count(x).alias("_n"), F.min(x).alias("_mn"),
+                                                 F.max(x).alias("_mx"),
                                                  F.percentile_approx(x, probes, accuracy).alias("_a"))
     lo_i = [probes.index(clamp(q - eps)) for q in qs]
     hi_i = [probes.index(clamp(q + eps)) for q in qs]
@@ -86,7 +93,9 @@ def exact_group_quantiles(df: DataFrame, by: list[str], col: str, qs: list[float
     hi_c = [F.col("_a")[i] for i in hi_i]
     lo_e = F.least(*lo_c) if len(lo_c) > 1 else lo_c[0]
     hi_e = F.greatest(*hi_c) if len(hi_c) > 1 else hi_c[0]
-    sk = sk.select(*by, "_n", lo_e.alias("_lo"), hi_e.alias("_hi")).persist()
+    small = F.col("_n") < accuracy  # bracket guaranteed only for n >= accuracy
+    sk = sk.select(*by, "_n", F.when(small, F.col("_mn")).otherwise(lo_e).alias("_lo"),
+                   F.when(small, F.col("_mx")).otherwise(hi_e).alias("_hi")).persist()
     j = df.join(F.broadcast(sk), by)
     below = j.groupBy(*by).agg(F.count_if(x < F.col("_lo")).alias("_below"))
     band = (j.where((x >= F.col("_lo")) & (x <= F.col("_hi")))
@@ -113,7 +122,7 @@ def exact_group_quantiles(df: DataFrame, by: list[str], col: str, qs: list[float
             pos = (n - 1) * q
             lo, hi = math.floor(pos), math.ceil(pos)
             lv, hv = order_stat(lo), order_stat(hi)
-            out.append(float(lv) if lo == hi else (hi - pos) * lv + (pos - lo) * hv)
+            out.append(float(lv) if lo == hi else lv + (pos - lo) * (hv - lv))
         rows.append((*key, *out))
     sk.unpersist()
     df.unpersist()

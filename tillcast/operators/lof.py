@@ -14,7 +14,8 @@ Exact k-nearest neighbours without emitting all pairs of a block:
 Then k-distance, reachability distance max(k-dist(o), d(p, o)), local reachability
 density 1 / (mean reach + 1e-10) and LOF = mean lrd(neighbours) / lrd(p) are joins
 and grouped means over the (row, neighbour) table, which has k rows per row.
-The flag marks LOF above the (1 - contamination) quantile.
+LOF is reported to 8 decimals, so that the flag (LOF above the (1 - contamination)
+quantile) does not depend on the last bits of a floating sum.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillcast.functions.numeric import snap8
+
 
 def _knn(df: DataFrame, block: list[str], rid: str, u: str, feats: list[str], k: int, m: int,
          pending: DataFrame | None = None) -> DataFrame:
@@ -91,7 +94,7 @@ def lof_blocked(df: DataFrame, block: list[str], rid: str, feats: list[str], k:
     lrd = reach.groupBy(*block, rid).agg((F.lit(1.0) / (F.avg("_reach") + F.lit(1e-10))).alias("_lrd"))
     lrd_o = lrd.select(*block, F.col(rid).alias("_o"), F.col("_lrd").alias("_lrdo"))
     lof = (pairs.join(lrd_o, [*block, "_o"]).groupBy(*block, rid).agg(F.avg("_lrdo").alias("_m"))
-           .join(lrd, [*block, rid]).select(*block, rid, (F.col("_m") / F.col("_lrd")).alias("lof")))
+           .join(lrd, [*block, rid]).select(*block, rid, snap8(F.col("_m") / F.col("_lrd")).alias("lof")))
     out = df.join(lof, [*block, rid], "left").persist()
     from tillcast.functions.quantiles import exact_quantiles
     cut = exact_quantiles(out, ["lof"], [1.0 - contamination])["lof"][0]

@@ -137,7 +137,7 @@ def _lof_sql() -> str:
                       """lrd as (select k.store, k.dept, k.p, 1e0 / (avg(greatest(kd.kdist, k.d)) + 1e-10) as lrd
          from knn k join kd on kd.store = k.store and kd.dept = k.dept and kd.p = k.o
          group by k.store, k.dept, k.p)""",
-                      """lof as (select k.store, k.dept, k.p as date, avg(lo.lrd) / max(lp.lrd) as lof
+                      """lof as (select k.store, k.dept, k.p as date, s8(avg(lo.lrd) / max(lp.lrd)) as lof
          from knn k join lrd lo on lo.store = k.store and lo.dept = k.dept and lo.p = k.o
                     join lrd lp on lp.store = k.store and lp.dept = k.dept and lp.p = k.p
          group by k.store, k.dept, k.p)""",
