@@ -196,7 +196,7 @@ def test_lof_blocked_matches_brute_force(spark):
         lrd = {a: 1.0 / (np.mean([max(kd[c], d) for d, _, c in nn[a]]) + 1e-10) for a in nn}
         for a in nn:
             want = np.mean([lrd[c] for _, _, c in nn[a]]) / lrd[a]
-            assert abs(got[(b, ids[a])] - want) < 1e-9
+            assert abs(got[(b, ids[a])] - want) < 1e-7  # LOF is reported to 8 places
     far = got[(0, 999)]
     assert far == max(v for (b, _), v in got.items() if b == 0)
 
