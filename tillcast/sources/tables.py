@@ -69,3 +69,23 @@ def with_default_columns(df: DataFrame, columns: list[str], value: float = 0.0)
         if c not in df.columns:
             df = df.withColumn(c, F.lit(value).cast("double"))
     return df
+
+
+def write_rules(rules: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Rule table (antecedents/consequents as ', '-joined text, metrics as doubles)."""
+    rules.write.mode(mode).parquet(path)
+
+
+def write_forecasts(forecasts: DataFrame, metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Long forecast rows partitioned by model, plus the metrics table beside them."""
+    forecasts.write.mode(mode).partitionBy("model").parquet(f"{path.rstrip('/')}/forecasts")
+    metrics.write.mode(mode).parquet(f"{path.rstrip('/')}/metrics")
+
+
+def save_model(model, path: str) -> None:
+    """Persist a fitted MLlib model or pipeline (replaces pickled estimators)."""
+    model.write().overwrite().save(path)
+
+
+def read_layer(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
