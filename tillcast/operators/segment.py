@@ -169,13 +169,24 @@ def pca(vec: DataFrame, key: str, p: int, keep: float = 0.95) -> DataFrame:
                       F.lit(n95).alias("n_components_95"), F.lit(float(ev[0])).alias("explained_pc1"))
 
 
-def segment_methods(vec: DataFrame, key: str, k: int = 2, seed: int = 0) -> DataFrame:
-    """Silhouette of each clustering method on the same features."""
+def segment_methods(vec: DataFrame, key: str, k: int = 2, seed: int = 0,
+                    dbscan_input: tuple | None = None) -> DataFrame:
+    """Silhouette of each clustering method on the same features.
+
+    ``dbscan_input`` = (points DataFrame, feature columns, eps, min_samples) adds
+    DBSCAN, scored without its noise points and -1 when it finds fewer than two clusters.
+    """
     from pyspark.ml.evaluation import ClusteringEvaluator
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
+    labelled = [("kmeans", kmeans_segments(vec, key, k, seed)),
+                ("bisecting_kmeans", bisecting_segments(vec, key, k, seed))]
+    if dbscan_input is not None:
+        from tillcast.operators.dbscan import dbscan
+        pts, cols, eps, min_samples = dbscan_input
+        labelled.append(("dbscan", dbscan(pts, key, cols, eps, min_samples).where(F.col("cluster") >= 0)))
     rows = []
-    for name, fn in (("kmeans", kmeans_segments), ("bisecting_kmeans", bisecting_segments)):
-        lab = fn(vec, key, k, seed).join(vec, key)
+    for name, lab in labelled:
+        lab = lab.join(vec, key)
         n = lab.select("cluster").distinct().count()
         rows.append((name, float(ev.evaluate(lab)) if n > 1 else -1.0, int(n)))
     return vec.sparkSession.createDataFrame(rows, "method string, silhouette double, n_clusters int")

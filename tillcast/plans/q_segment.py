@@ -174,8 +174,12 @@ def dept_feature_scale(spark, sf_dir):
 
 
 def _vec(spark, sf_dir):
+    from tillcast.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     v = Views(spark, sf_dir)
     scaled = S.log_minmax(S.store_features(v.cleaned, v.stores), "store", S.STORE_FEATURES)
+    # a row per store ends a long plan: cut it before the iterative MLlib fits
+    scaled = scaled.checkpoint()
     cols = [f"{c}_scaled" for c in S.STORE_FEATURES]
     return S.assemble(scaled, "store", cols).persist(), len(cols)
 
@@ -212,8 +216,12 @@ def hierarchical(spark, sf_dir):
 
 @register("segment_methods")
 def segment_methods(spark, sf_dir):
-    vec, _ = _vec(spark, sf_dir)
-    return S.segment_methods(vec, "store", 2)
+    from tillcast.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    pts, cols = _scaled_store_features(spark, sf_dir)
+    pts = pts.checkpoint()  # one small table (a row per store) feeds every method
+    vec = S.assemble(pts, "store", cols).persist()
+    return S.segment_methods(vec, "store", 2, dbscan_input=(pts, cols, 0.3, 7))
 
 
 @register("vif")
