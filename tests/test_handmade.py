@@ -237,3 +237,12 @@ def test_exact_quantiles_match_numpy(spark):
     for name, arr in (("a", a), ("c", np.full(len(a), 3.0)), ("s", s)):
         want = np.quantile(arr, [0.25, 0.5, 0.75])
         assert np.allclose(got[name], want, rtol=0, atol=1e-12), name
+
+
+def test_forecast_text_parsing(spark):
+    from tillcast.sources.text import parse_series, parse_vector
+    df = spark.createDataFrame([(1, "[1.5 2.5]", "2012-01-06 10\n2012-01-13 11")], "k int, v string, s string")
+    v = [(r.pos, r.value) for r in parse_vector(df, "v", ["k"]).orderBy("pos").collect()]
+    assert v == [(0, 1.5), (1, 2.5)]
+    s = [(r.pos, str(r.date), r.value) for r in parse_series(df, "s", ["k"]).orderBy("pos").collect()]
+    assert s == [(0, "2012-01-06", 10.0), (1, "2012-01-13", 11.0)]

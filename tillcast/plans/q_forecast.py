@@ -435,3 +435,31 @@ def arx_walk_forward(spark, sf_dir):
 def grid_search_arx(spark, sf_dir):
     from tillcast.operators.solve import grid_search_arx as gs
     return gs(_series(spark, sf_dir))
+
+
+@register("parse_forecast_text", WF + """
+, txt as (
+  select level, store, model,
+         '[' || string_agg(printf('%.2f', forecast), ' ' order by date) || ']' as forecast_text,
+         string_agg(strftime(date, '%Y-%m-%d') || ' ' || printf('%.2f', actual), chr(10) order by date) as actual_text
+  from fc where model = 'naive_tail' group by level, store, model),
+fv as (select level, store, model, unnest(string_split(trim(replace(replace(forecast_text, '[', ''), ']', '')), ' ')) as t,
+              generate_subscripts(string_split(trim(replace(replace(forecast_text, '[', ''), ']', '')), ' '), 1) - 1 as pos
+       from txt),
+av as (select level, store, model, unnest(string_split(actual_text, chr(10))) as l,
+              generate_subscripts(string_split(actual_text, chr(10)), 1) - 1 as pos from txt)
+select a.level, a.store, a.model, cast(a.pos as integer) as pos, cast(split_part(a.l, ' ', 1) as date) as date,
+       cast(split_part(a.l, ' ', 2) as double) as actual, cast(f.t as double) as forecast
+from av a join fv f on f.level = a.level and f.store is not distinct from a.store and f.model = a.model and f.pos = a.pos""")
+def parse_forecast_text(spark, sf_dir):
+    from tillcast.sources import text as TX
+    fc = _fc(spark, sf_dir).where(F.col("model") == "naive_tail")
+    keys = ["level", "store", "model"]
+    grouped = fc.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "actual", "forecast"))).alias("r"))
+    txt = grouped.select(*keys, TX.vector_text(F.col("r.forecast")).alias("forecast_text"),
+                         TX.series_text(F.col("r.date"), F.col("r.actual")).alias("actual_text"))
+    fv = TX.parse_vector(txt, "forecast_text", keys).withColumnRenamed("value", "forecast")
+    av = TX.parse_series(txt, "actual_text", keys).withColumnRenamed("value", "actual")
+    on = ((av.level == fv.level) & av.store.eqNullSafe(fv.store) & (av.model == fv.model) & (av.pos == fv.pos))
+    return av.join(fv, on).select(av.level, av.store, av.model, av.pos.cast("int").alias("pos"), av.date,
+                                  av.actual, fv.forecast)
