@@ -269,3 +269,20 @@ def dbscan(spark, sf_dir):
     sc, cols = _scaled_store_features(spark, sf_dir)
     sc = sc.checkpoint()
     return db(sc, "store", cols, 0.3, 7)
+
+
+@register("dept_segments")
+def dept_segments(spark, sf_dir):
+    """Department clusters by k-means (k = 2), bisecting k-means (k = 2) and DBSCAN (0.5, 5)
+    on the clipped-log, min-max scaled department profile."""
+    from tillcast.operators.dbscan import dbscan as db
+    from tillcast.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    scaled = S.log_minmax(S.dept_features(Views(spark, sf_dir).cleaned), "dept", S.DEPT_FEATURES, clip_at=-1.0)
+    scaled = scaled.fillna(0.0).checkpoint()
+    cols = [f"{c}_scaled" for c in S.DEPT_FEATURES]
+    vec = S.assemble(scaled, "dept", cols).persist()
+    km = S.kmeans_segments(vec, "dept", 2).withColumnRenamed("cluster", "kmeans")
+    bk = S.bisecting_segments(vec, "dept", 2).withColumnRenamed("cluster", "bisecting_kmeans")
+    dbl = db(scaled, "dept", cols, 0.5, 5).withColumnRenamed("cluster", "dbscan")
+    return km.join(bk, "dept").join(dbl, "dept")
