@@ -118,7 +118,6 @@ def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.6) -> Dat
     body = F.coalesce(col(text), F.lit(""))
     keep = [col(c) for c in docs.columns if c != "pii"]
     df = docs.select(*keep, body.alias("__t"))
-    names = [f"__{k}" for k, *_ in KINDS]
     steps = []
     for kind, pattern, needs, _ in KINDS:
         if needs:
@@ -131,18 +130,17 @@ def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.6) -> Dat
         steps.append((f"__{kind}_g", F.when(holds & F.regexp_like(F.col("__t"), F.lit(pattern)), gaps).otherwise(none)))
     df = df.select("*", *[e.alias(n) for n, e in steps])
     df = df.select(*keep, "__t", *[_spans(F.col(f"__{k}_m"), F.col(f"__{k}_g")).alias(f"__{k}") for k, *_ in KINDS])
-    kinds = []
-    for kind, _, _, prior in KINDS:
-        def scored(s, kind=kind, prior=prior):
-            return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-                            F.round(_score(kind, prior, F.col("__t"), s), 3).alias("score"), s["m"].alias("match"))
-        good = F.filter(F.col(f"__{kind}"), lambda s, kind=kind: _valid(kind, s["m"]))
-        spans = F.transform(good, scored)
-        if kind not in BASE:
-            spans = F.filter(spans, lambda s: s["score"] >= threshold)
-        kinds.append(spans)
-    return df.select(*keep, F.concat(*kinds).alias("pii"), *([] if False else [])).select(
-        *[col(c) for c in docs.columns if c != "pii"], "pii")
+    kinds = [_confirmed(kind, prior, F.col("__t"), F.col(f"__{kind}"), threshold) for kind, _, _, prior in KINDS]
+    return df.select(*keep, F.concat(*kinds).alias("pii"))
+
+
+def _confirmed(kind: str, prior: float, text: Column, spans: Column, threshold: float) -> Column:
+    """Validated spans with scores; a base kind stays whatever its score."""
+    good = F.filter(spans, lambda s: _valid(kind, s["m"]))
+    scored = F.transform(good, lambda s: F.struct(
+        F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
+        F.round(_score(kind, prior, text, s), 3).alias("score"), s["m"].alias("match")))
+    return scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= threshold)
 
 
 def _spans(matches: Column, gaps: Column) -> Column:
@@ -181,7 +179,11 @@ def pii_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """Counts, digest of base spans, all spans, and spans with scores, for each row."""
     found = find_pii(docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")))
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in BASE]
     scored = F.array_join(F.transform("pii", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"], s["score"])), ",")
     return found.select("doc_id", *counts, F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"),
                         spans_text(F.col("pii")).alias("spans"), scored.alias("scored_spans"))
