@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, sharding
+from . import langid, pii, sharding
 from .common import read
 
 
@@ -19,6 +19,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": langid.op1_langid,
     "op6_pii": op6_pii,
     "op10_sharding": op10_sharding,
 }
