@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, pii, sharding
+from . import bpe, langid, pii, sharding, simhash
 from .common import read
 
 
@@ -20,6 +20,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": langid.op1_langid,
+    "op2_simhash": simhash.op2_simhash,
     "op6_pii": op6_pii,
     "op9_bpe": bpe.op9_bpe,
     "op10_sharding": op10_sharding,
