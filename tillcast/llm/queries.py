@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, pii, quality, sharding, simhash, toxicity
+from . import bpe, decontam, langid, nearest, pii, quality, sharding, simhash, toxicity
 from .common import read
 
 
@@ -21,8 +21,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": langid.op1_langid,
     "op2_simhash": simhash.op2_simhash,
+    "op3_nearest": nearest.op3_nearest,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_pii": op6_pii,
+    "op7_decontam": decontam.op7_decontam,
     "op8_quality": quality.op8_quality,
     "op9_bpe": bpe.op9_bpe,
     "op10_sharding": op10_sharding,
