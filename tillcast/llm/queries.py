@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, nearest, pii, quality, sharding, simhash, toxicity
+from . import bpe, decontam, langid, nearest, pii, quality, sharding, simhash, suffix, toxicity
 from .common import read
 
 
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": langid.op1_langid,
     "op2_simhash": simhash.op2_simhash,
     "op3_nearest": nearest.op3_nearest,
+    "op4_repeats": suffix.op4_repeats,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_pii": op6_pii,
     "op7_decontam": decontam.op7_decontam,
