@@ -132,6 +132,18 @@ def crc_mod(doc_id: str, n: int) -> Column:
     return F.pmod(F.crc32(col(doc_id).cast("string")), F.lit(n))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, max_rows: int) -> DataFrame:
+    """docs joined with about ``max_rows`` rows of labels at most, chosen by a hash of the key.
+
+    Labels are sampled before the join, so that no text is shuffled: what is broadcast
+    has a row for each sampled label and no more.
+    """
+    n = labels.count()
+    cut = math.floor(min(1.0, max_rows / max(n, 1)) * (1 << 40))
+    few = labels.where(F.pmod(F.xxhash64(F.lit("labels"), col(key)), F.lit(1 << 40)) < cut)
+    return docs.join(F.broadcast(few), key)
+
+
 def bounded_sample(df: DataFrame, key: str, text: str, max_rows: int, max_bytes: int) -> DataFrame:
     """About ``max_rows`` rows at most, and ``max_bytes`` of text, chosen by a hash of the key.
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import words
-from .common import Chunk, bounded_sample, col, crc_mod, read, text_chunks, with_text_columns
+from .common import Chunk, bounded_sample, col, crc_mod, labelled_sample, read, text_chunks, with_text_columns
 
 FEATURES = 1 << 18  # hashed places for words and pairs, and as many again for parts of words
 GRAM = 5  # bytes of a part of a word; its first or last may be the gap beside the word
@@ -237,6 +237,6 @@ def score_texts(spark: SparkSession, docs: DataFrame, model, text: str = "text",
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_mod("doc_id", 4) == 2
-    labels = read(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
-    model = train(docs.join(labels, "doc_id"))
+    labels = read(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic").where("toxic is not null")
+    model = train(labelled_sample(docs, labels, "doc_id", MAX_ROWS))
     return score_texts(spark, docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "offending")
