@@ -51,6 +51,7 @@ def money(c: Column | str) -> Column:
 
 
 def guarded_corr(x: Column | str, y: Column | str) -> Column:
-    """Pearson r as an aggregate; null instead of DIVIDE_BY_ZERO for constant input."""
+    """Pearson r over the rows where both are present; null for constant input (no DIVIDE_BY_ZERO)."""
     x, y = col_(x), col_(y)
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))

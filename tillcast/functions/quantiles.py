@@ -1,132 +1,72 @@
-"""Exact quantiles of whole columns without buffering the column in one task.
+"""Exact quantiles of large groups, one path for every size, read inside Spark.
 
-Pass 1: ``percentile_approx`` at q -/+ 2/accuracy brackets each target rank
-(rank error <= n / accuracy). Pass 2: one aggregate counts the rows below each
-bracket and groups the rows inside it by value; only those (value, count) pairs,
-about 4 n / accuracy + ties collapsed, reach the driver, where the order
-statistics at floor/ceil of q (n - 1) are read off and interpolated linearly
-(the same rule as ``percentile`` and DuckDB ``quantile_cont``).
+Pass 1: one sketch per group gives approximate values on an even grid of ranks.
+Each wanted quantile gets a band of its own: the grid cells around its rank, wider
+by one rank and by the sketch's error. Pass 2: rows below a band are only counted,
+rows inside are counted by value, both with map-side combine; a running sum over a
+band's distinct values (a few thousandths of a group) finds the values at the two
+neighbouring ranks, interpolated linearly as ``percentile`` and ``quantile_cont``
+do. The result is a DataFrame with one row per group; no value passes through the
+driver. A rank outside its band raises an error, below as well as above.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], accuracy: int = 100000) -> dict:
-    """{col: [quantile for q in qs]} (None for an all-null column). Three passes for all columns."""
-    eps = 2.0 / accuracy
-    clamp = lambda v: min(1.0, max(0.0, v))
-    probes = sorted({clamp(q + d) for q in qs for d in (-eps, eps)})
-    row = df.agg(*[F.count(c).alias(f"n_{c}") for c in cols],
-                 *[F.min(c).alias(f"lo_{c}") for c in cols], *[F.max(c).alias(f"hi_{c}") for c in cols],
-                 *[F.percentile_approx(c, probes, accuracy).alias(f"a_{c}") for c in cols]).first()
-    live = [c for c in cols if row[f"n_{c}"]]
-    result = {c: [None] * len(qs) for c in cols}
-    if not live:
-        return result
-    band = {}
-    for c in live:
-        if row[f"n_{c}"] < accuracy:
-            # the sketch bracket is only guaranteed for n >= accuracy; below that the
-            # whole range is the band (fewer than ``accuracy`` values)
-            band[c] = (row[f"lo_{c}"], row[f"hi_{c}"])
-            continue
-        approx = dict(zip(probes, row[f"a_{c}"]))
-        band[c] = (min(approx[clamp(q - eps)] for q in qs), max(approx[clamp(q + eps)] for q in qs))
-    below = df.agg(*[F.count_if(F.col(c) < F.lit(band[c][0])).alias(c) for c in live]).first()
-    parts = None
-    for c in live:
-        x = F.col(c).cast("double")
-        part = df.where((x >= band[c][0]) & (x <= band[c][1])).select(F.lit(c).alias("col"), x.alias("v"))
-        parts = part if parts is None else parts.unionByName(part)
-    inside = parts.groupBy("col", "v").agg(F.count(F.lit(1)).alias("k")).collect()
-    per_col: dict = {c: [] for c in live}
-    for r in inside:
-        per_col[r["col"]].append((r["v"], r["k"]))
-    for c in live:
-        vals = sorted(per_col[c])
-        n, b = row[f"n_{c}"], below[c]
-
-        def order_stat(rank: int):
-            i, acc = rank - b, 0
-            for v, k in vals:
-                if i < acc + k:
-                    return v
-                acc += k
-            raise ValueError("rank outside the bracket")
-
-        out = []
-        for q in qs:
-            pos = (n - 1) * q
-            lo, hi = math.floor(pos), math.ceil(pos)
-            lv, hv = order_stat(lo), order_stat(hi)
-            out.append(float(lv) if lo == hi else lv + (pos - lo) * (hv - lv))
-        result[c] = out
-    return result
+GRID = 1000
 
 
 def exact_group_quantiles(df: DataFrame, by: list[str], col: str, qs: list[float],
-                          accuracy: int = 100000) -> DataFrame:
-    """Exact linear-interpolated quantiles of ``col`` per group, for few, large groups.
+                          accuracy: int = 10000) -> DataFrame:
+    """(by..., q0, q1, ...): exact quantiles of ``col`` per group; nulls are left out.
 
-    Same bracket method per group: a sketch per group, a (group, lo, hi) band table
-    (one row per group, broadcast), counts below and (value, count) pairs inside
-    the band per group. The driver receives the bands' distinct values only and
-    returns one row per group: (by..., q0, q1, ...).
+    A group without values has no row. ``accuracy`` is the sketch's: band width and
+    memory change with it, results do not.
     """
-    eps = 2.0 / accuracy
-    clamp = lambda v: min(1.0, max(0.0, v))
-    probes = sorted({clamp(q + d) for q in qs for d in (-eps, eps)})
-    x = F.col(col)
-    full = df
-    df = df.select(*by, col).persist()  # two narrow columns, read by three passes
-    sk = df.where(x.isNotNull()).groupBy(*by).agg(F.count(x).alias("_n"), F.min(x).alias("_mn"),
-                                                 F.max(x).alias("_mx"),
-                                                 F.percentile_approx(x, probes, accuracy).alias("_a"))
-    lo_i = [probes.index(clamp(q - eps)) for q in qs]
-    hi_i = [probes.index(clamp(q + eps)) for q in qs]
-    lo_c = [F.col("_a")[i] for i in lo_i]
-    hi_c = [F.col("_a")[i] for i in hi_i]
-    lo_e = F.least(*lo_c) if len(lo_c) > 1 else lo_c[0]
-    hi_e = F.greatest(*hi_c) if len(hi_c) > 1 else hi_c[0]
-    small = F.col("_n") < accuracy  # bracket guaranteed only for n >= accuracy
-    sk = sk.select(*by, "_n", F.when(small, F.col("_mn")).otherwise(lo_e).alias("_lo"),
-                   F.when(small, F.col("_mx")).otherwise(hi_e).alias("_hi")).persist()
-    j = df.join(F.broadcast(sk), by)
-    below = j.groupBy(*by).agg(F.count_if(x < F.col("_lo")).alias("_below"))
-    band = (j.where((x >= F.col("_lo")) & (x <= F.col("_hi")))
-             .groupBy(*by, x.alias("_v")).agg(F.count(F.lit(1)).alias("_k")))
-    meta = {tuple(r[b] for b in by): (r["_n"], r["_below"])
-            for r in sk.join(below, by).collect()}
-    vals: dict = {}
-    for r in band.collect():
-        vals.setdefault(tuple(r[b] for b in by), []).append((r["_v"], r["_k"]))
-    rows = []
-    for key, (n, b) in meta.items():
-        vs = sorted(vals.get(key, []))
+    x = F.col("_x")
+    src = df.select(*by, F.col(col).cast("double").alias("_x")).where(x.isNotNull())
+    grid = [i / GRID for i in range(GRID + 1)]
+    sketch = src.groupBy(*by).agg(F.count(x).alias("_n"), F.percentile_approx(x, grid, accuracy).alias("_g"))
+    margin = F.ceil(F.lit(float(GRID)) / F.col("_n")).cast("int") + F.lit(1 + math.ceil(GRID / accuracy))
+    bands = []
+    for i, q in enumerate(qs):
+        lo = F.lit(math.floor(q * GRID)) - margin
+        hi = F.lit(math.ceil(q * GRID)) + margin
+        bands += [F.when(lo > 0, F.get("_g", lo)).otherwise(F.lit(float("-inf"))).alias(f"_lo{i}"),
+                  F.when(hi < GRID, F.get("_g", hi)).otherwise(F.lit(float("inf"))).alias(f"_hi{i}")]
+    rows = src.join(sketch.select(*by, "_n", *bands), by)
+    # NaN sorts above infinity in Spark, so "not above the band" keeps it in an open band
+    held = [F.when((x <= F.col(f"_hi{i}")) | (F.col(f"_hi{i}") == float("inf")),
+                   F.struct(F.lit(i).alias("i"), F.when(x >= F.col(f"_lo{i}"), x).alias("v"))) for i in range(len(qs))]
+    counts = (rows.select(*by, "_n", F.explode(F.array_compact(F.array(*held))).alias("_h"))
+              .groupBy(*by, "_n", F.col("_h.i").alias("_i"), F.col("_h.v").alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_k")))
+    order = Window.partitionBy(*by, "_i").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_to", F.sum("_k").over(order))
+    picks = []
+    for i, q in enumerate(qs):
+        pos = (F.col("_n") - 1) * F.lit(q)
+        for name, rank in (("a", F.floor(pos)), ("b", F.ceil(pos))):
+            here = (F.col("_i") == i) & (F.col("_to") > rank) & (F.col("_to") - F.col("_k") <= rank)
+            picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{name}{i}"))
+    got = counts.groupBy(*by).agg(F.max("_n").alias("_n"), *picks)
+    out = []
+    for i, q in enumerate(qs):
+        pos = (F.col("_n") - 1) * F.lit(q)
+        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
+        value = F.when(a == b, a).otherwise(a + (pos - F.floor(pos)) * (b - a))
+        out.append(F.coalesce(value, F.raise_error(F.lit("rank outside its band")).cast("double")).alias(f"q{i}"))
+    return got.select(*by, *out)
 
-        def order_stat(rank: int):
-            i, acc = rank - b, 0
-            for v, k in vs:
-                if i < acc + k:
-                    return v
-                acc += k
-            raise ValueError("rank outside the bracket")
 
-        out = []
-        for q in qs:
-            pos = (n - 1) * q
-            lo, hi = math.floor(pos), math.ceil(pos)
-            lv, hv = order_stat(lo), order_stat(hi)
-            out.append(float(lv) if lo == hi else lv + (pos - lo) * (hv - lv))
-        rows.append((*key, *out))
-    sk.unpersist()
-    df.unpersist()
-    schema = full.select(*by).schema
-    from pyspark.sql import types as T
-    fields = list(schema.fields) + [T.StructField(f"q{i}", T.DoubleType(), True) for i in range(len(qs))]
-    return full.sparkSession.createDataFrame(rows, T.StructType(fields))
+def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], accuracy: int = 10000) -> dict:
+    """{col: [quantile for q in qs]} (None for an all-null column): len(cols) rows reach the driver."""
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("x")) for i, c in enumerate(cols)])).alias("s"))
+    got = exact_group_quantiles(long.select("s.c", "s.x"), ["c"], "x", qs, accuracy).collect()
+    found = {r["c"]: [r[f"q{k}"] for k in range(len(qs))] for r in got}
+    return {c: found.get(i, [None] * len(qs)) for i, c in enumerate(cols)}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillcast.session import written
+
 SERIES = ["store", "dept"]
 
 
@@ -93,8 +95,8 @@ def seasonal_median_fill(df: DataFrame, flag: str = "final_anomaly", value: str
                          by: list[str] | None = None, approx: bool = False) -> DataFrame:
     """Replace flagged values by the seasonal median of their week (weekly_sales_cleaned).
 
-    With the default key the median table has at most 53 rows, so broadcasting it is
-    bounded; with a finer ``by`` AQE picks the join.
+    With the default key the median table has at most 53 rows (weeks of a year), so
+    broadcasting it is bounded; with a finer ``by`` the optimizer picks the join.
     """
     by = by or ["week_of_year"]
     med = seasonal_medians(df, value, by, approx)
@@ -124,6 +126,6 @@ def clean_sales(prepared: DataFrame, decomposition: str = "moving_average") -> D
         out = classical_decompose(out)
     out = out.withColumn("final_anomaly",
                          ((F.col("stk_anomaly") == 1) & (F.col("rolling_anomaly") == 1)).cast("int"))
-    # the median passes and the repaired output both read this store-dept-week table
-    # (the layer the reference writes to disk): keep it instead of rebuilding it
-    return seasonal_median_fill(out.persist())
+    # the median passes and the repaired output both read this store-dept-week table:
+    # it is a layer of its own, written once
+    return seasonal_median_fill(written(out))

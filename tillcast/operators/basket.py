@@ -1,12 +1,12 @@
-"""Market-basket analysis: baskets, level-wise frequent itemsets (size <= 3), rules with
+"""Market-basket analysis: baskets, frequent itemsets of any size, rules with
 multi-item consequents, rule tiers, top rules, rule network, department correlations.
 
-Scale notes. A basket is one (store, date); items are departments. Items are
-pruned by support before any pairing, and the number of items with support
->= s is at most (mean basket size) / s, so the frequent-item list has a proven
-size bound and is broadcast; pairs and triples are counted only inside a basket
-and only over frequent items (at most F^2/2 and F^3/6 per basket for F frequent
-items), never across baskets.
+Scale notes. A basket is one (store, date); items are departments. Items are pruned
+by support, then every basket becomes one sorted array of its frequent items, built
+by one shuffle and written. Level k counts the k-item combinations inside a basket
+whose (k-1)-item parts are all frequent, by map-side combine, never across baskets.
+Itemsets are arrays; text is joined only for output. The frequent parts are joined as
+a table and the optimizer chooses how.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillcast.session import written
+
 KEYS = ["store", "date"]
 
 
@@ -29,54 +31,48 @@ def n_baskets(items: DataFrame, keys: list[str] = KEYS) -> int:
 
 def frequent_itemsets(items: DataFrame, min_support: float, max_len: int = 3,
                       keys: list[str] = KEYS, n: int | None = None) -> DataFrame:
-    """Frequent itemsets up to ``max_len`` (<= 3): (itemset, size, support, count).
+    """Frequent itemsets up to ``max_len``: (items, itemset, size, cnt, support).
 
-    Apriori levels as joins on the basket key: an itemset is only extended by
-    a larger item, and only frequent (k-1)-sets are extended.
+    ``items`` is the sorted array, ``itemset`` its text. Apriori: a set of k items is
+    counted in the baskets that hold it and only if the sets without its last or its
+    first item are frequent.
     """
-    # The basket table is read by every level (and by the basket count): keep it.
-    if not items.is_cached:
-        items = items.persist()
-    n = n if n is not None else n_baskets(items, keys)
-    sup = lambda c: F.col(c) / F.lit(float(n))
-    f1 = items.groupBy("item").agg(F.count(F.lit(1)).alias("cnt")).where(sup("cnt") >= min_support)
-    fi = items.join(F.broadcast(f1.select("item")), "item", "left_semi")
-    a, b = fi.alias("a"), fi.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    bp = a.join(b, on + [F.col("a.item") < F.col("b.item")]).select(
-        *[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.item").alias("i1"), F.col("b.item").alias("i2"))
-    p2 = bp.groupBy("i1", "i2").agg(F.count(F.lit(1)).alias("cnt")).where(sup("cnt") >= min_support)
-    sets = [f1.select(F.col("item").alias("itemset"), F.lit(1).alias("size"), "cnt")]
-    if max_len >= 2:
-        sets.append(p2.select(F.concat_ws(", ", "i1", "i2").alias("itemset"), F.lit(2).alias("size"), "cnt"))
-    if max_len >= 3:
-        fbp = bp.join(F.broadcast(p2.select("i1", "i2")), ["i1", "i2"], "left_semi")
-        c = fi.alias("c")
-        on3 = [F.col(f"p.{k}") == F.col(f"c.{k}") for k in keys]
-        p3 = (fbp.alias("p").join(c, on3 + [F.col("c.item") > F.col("p.i2")])
-              .groupBy(F.col("p.i1").alias("i1"), F.col("p.i2").alias("i2"), F.col("c.item").alias("i3"))
-              .agg(F.count(F.lit(1)).alias("cnt")).where(sup("cnt") >= min_support))
-        sets.append(p3.select(F.concat_ws(", ", "i1", "i2", "i3").alias("itemset"), F.lit(3).alias("size"),
-                              "cnt"))
+    if max_len < 1:
+        raise ValueError("max_len must be at least 1")
+    baskets = items.groupBy(*keys).agg(F.array_sort(F.collect_set("item")).alias("all"))
+    baskets = written(baskets.withColumn("b", F.monotonically_increasing_id()).select("b", "all"))
+    n = n if n is not None else baskets.count()
+    enough = F.col("cnt") / F.lit(float(n)) >= min_support
+    one = baskets.select(F.explode("all").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("cnt")).where(enough)
+    sets = [written(one.select(F.array("item").alias("items"), "cnt"))]
+    held = baskets.select("b", F.explode("all").alias("item")).join(one.select("item"), "item", "left_semi")
+    held = written(held.groupBy("b").agg(F.array_sort(F.collect_list("item")).alias("all")))  # at most the frequent items
+    grown = held.select("b", "all", F.explode(F.transform("all", lambda x: F.array(x))).alias("items"))
+    for size in range(2, max_len + 1):
+        # each set grows by a larger item of its basket
+        larger = F.filter("all", lambda x: x > F.element_at("items", -1))
+        grown = grown.select("b", "all", F.explode(F.transform(larger, lambda x: F.concat("items", F.array(x)))).alias("items"))
+        if size > 2:  # the part without the first item must be frequent as well
+            known = sets[-1].select(F.col("items").alias("_p"))
+            grown = grown.join(known, F.slice("items", 2, size - 1) == F.col("_p"), "left_semi")
+        level = written(grown.groupBy("items").agg(F.count(F.lit(1)).alias("cnt")).where(enough))
+        sets.append(level)
+        if size < max_len:
+            grown = grown.join(level.select("items"), "items", "left_semi")
     out = sets[0]
     for s in sets[1:]:
         out = out.unionByName(s)
-    # Itemsets are tiny and are read three times by the rule builder.
-    return out.withColumn("support", sup("cnt")).persist()
+    return out.select("items", F.array_join("items", ", ").alias("itemset"), F.size("items").alias("size"), "cnt",
+                      (F.col("cnt") / F.lit(float(n))).alias("support"))
 
 
 def _splits(itemsets: DataFrame) -> DataFrame:
-    """All (antecedent, consequent) splits of the itemsets of size 2 and 3."""
-    parts = F.split("itemset", ", ")
-    i1, i2, i3 = parts[0], parts[1], parts[2]
-    j = lambda *xs: F.concat_ws(", ", *xs)
-    two = F.array(F.struct(i1.alias("a"), i2.alias("c")), F.struct(i2.alias("a"), i1.alias("c")))
-    three = F.array(*[F.struct(x.alias("a"), y.alias("c")) for x, y in (
-        (i1, j(i2, i3)), (i2, j(i1, i3)), (i3, j(i1, i2)),
-        (j(i1, i2), i3), (j(i1, i3), i2), (j(i2, i3), i1))])
-    return (itemsets.where(F.col("size") >= 2)
-            .select(F.explode(F.when(F.col("size") == 2, two).otherwise(three)).alias("r"), "support")
-            .select(F.col("r.a").alias("antecedents"), F.col("r.c").alias("consequents"), "support"))
+    """All (antecedent, consequent) splits: a bit mask says which items are antecedents."""
+    sets = itemsets.where(F.col("size") >= 2)
+    masks = F.expr("sequence(1, cast(pow(2, size) as int) - 2)")
+    r = sets.select("items", "support", F.explode(masks).alias("mask"))
+    side = "filter(items, (x, i) -> getbit(mask, i) = {})"
+    return r.select(F.expr(side.format(1)).alias("a"), F.expr(side.format(0)).alias("c"), "support")
 
 
 def association_rules(itemsets: DataFrame, min_lift: float | None = 1.0) -> DataFrame:
@@ -84,17 +80,17 @@ def association_rules(itemsets: DataFrame, min_lift: float | None = 1.0) -> Data
 
     Supports of antecedents and consequents are looked up among the itemsets
     (frequent by the apriori property). Rules whose Zhang metric is undefined
-    are dropped; conviction is null when confidence is 1.
+    are dropped; conviction is null when confidence is 1. ``a`` and ``c`` hold the
+    sides as arrays, ``antecedents`` and ``consequents`` as text.
     """
-    sup = itemsets.select("itemset", "support")
+    sup = itemsets.select("items", "support")
     r = (_splits(itemsets)
-         .join(sup.withColumnRenamed("itemset", "antecedents").withColumnRenamed("support", "antecedent_support"),
-               "antecedents")
-         .join(sup.withColumnRenamed("itemset", "consequents").withColumnRenamed("support", "consequent_support"),
-               "consequents"))
+         .join(sup.select(F.col("items").alias("a"), F.col("support").alias("antecedent_support")), "a")
+         .join(sup.select(F.col("items").alias("c"), F.col("support").alias("consequent_support")), "c"))
     s, sa, sc = F.col("support"), F.col("antecedent_support"), F.col("consequent_support")
     conf = s / sa
-    r = r.select("antecedents", "consequents", "antecedent_support", "consequent_support", "support",
+    r = r.select("a", "c", F.array_join("a", ", ").alias("antecedents"), F.array_join("c", ", ").alias("consequents"),
+                 "antecedent_support", "consequent_support", "support",
                  conf.alias("confidence"), (conf / sc).alias("lift"), (s - sa * sc).alias("leverage"),
                  F.when(conf < 1, (F.lit(1.0) - sc) / (F.lit(1.0) - conf)).alias("conviction"),
                  F.try_divide(s - sa * sc, F.greatest(s * (F.lit(1.0) - sa), sa * (sc - s))).alias("zhangs_metric"))
@@ -138,29 +134,31 @@ def lift_pivot(rules: DataFrame, items: list[str]) -> DataFrame:
 
     ``items`` are the frequent items (a bounded list), so the width is fixed up front.
     """
-    one = rules.where(~F.col("antecedents").contains(", ") & ~F.col("consequents").contains(", "))
+    one = rules.where((F.size("a") == 1) & (F.size("c") == 1))
     return one.groupBy("antecedents").pivot("consequents", items).agg(F.first("lift")).fillna(0.0)
 
 
 def item_week_matrix_corr(df: DataFrame, item: str = "dept", value: str = "weekly_sales_cleaned") -> DataFrame:
     """Pearson correlation between items over weeks (absent weeks count as 0), long form.
 
-    Each date becomes one vector of item totals (width = item count); MLlib
-    builds the p x p matrix with a tree aggregate; only that matrix reaches the driver.
+    Items that meet in a week are paired inside the week; an absent week adds nothing
+    to sums and products, so moments over the weeks at hand and the number of all weeks
+    give the correlation. Pairs that never meet follow from their sums alone.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    spark = df.sparkSession
-    wk = df.groupBy("date", item).agg(F.sum(value).alias("v"))
-    names = sorted(r[0] for r in wk.select(item).distinct().collect())
-    wide = wk.groupBy("date").pivot(item, names).agg(F.first("v")).fillna(0.0, subset=names)
-    cols = [f"c{i}" for i in range(len(names))]
-    wide = wide.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, cols)])
-    vec = VectorAssembler(inputCols=cols, outputCol="features").transform(wide).select("features")
-    m = Correlation.corr(vec, "features", "pearson").first()[0].toArray()
-    rows = [(a, b, None if m[i][j] != m[i][j] else float(m[i][j]))
-            for i, a in enumerate(names) for j, b in enumerate(names)]
-    return spark.createDataFrame(rows, "dept1 string, dept2 string, corr double")
+    wk = df.groupBy("date", item).agg(F.sum(value).cast("double").alias("v"))
+    wk = written(wk.select("date", F.col(item).alias("i"), "v"))
+    n = F.lit(float(wk.select("date").distinct().count()))
+    one = wk.groupBy("i").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    week = wk.groupBy("date").agg(F.collect_list(F.struct("i", "v")).alias("all"))  # the items of one week
+    pair = (week.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
+            .groupBy(F.col("x.i").alias("dept1"), F.col("y.i").alias("dept2"))
+            .agg(F.sum(F.col("x.v") * F.col("y.v")).alias("p")))
+    a = one.select(F.col("i").alias("dept1"), F.col("s").alias("s1"), F.col("q").alias("q1"))
+    b = one.select(F.col("i").alias("dept2"), F.col("s").alias("s2"), F.col("q").alias("q2"))
+    r = pair.join(a, "dept1").join(b, "dept2")
+    cov = F.col("p") - F.col("s1") * F.col("s2") / n
+    spread = F.sqrt((F.col("q1") - F.col("s1") * F.col("s1") / n) * (F.col("q2") - F.col("s2") * F.col("s2") / n))
+    return r.select("dept1", "dept2", F.try_divide(cov, spread).alias("corr"))
 
 
 def strong_pairs(corr: DataFrame, pos: float = 0.85, neg: float = -0.65) -> DataFrame:

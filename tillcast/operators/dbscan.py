@@ -1,4 +1,4 @@
-"""DBSCAN with exact eps-neighbourhoods as joins, components by label propagation.
+"""DBSCAN with exact eps-neighbourhoods as joins and components by star steps.
 
 Neighbours: every point is keyed by its grid cell (width eps) in the first
 ``grid_dims`` coordinates; two points within eps differ by at most one cell in
@@ -6,33 +6,48 @@ each of those coordinates, so joining each point's 3^g neighbour cells with the
 points finds every neighbour; the full distance then filters. Pairs are only
 formed between adjacent cells, never across the whole table.
 
+Dense spots: points in one fine cell (side eps / sqrt(d), all d coordinates) are
+within eps of each other. A fine cell of min_samples points or more is all core and
+one component: its points are linked to the smallest of them, and no pair inside it
+is formed.
+
 Clusters: core points (>= min_samples neighbours, self included) linked by core-core
-edges form components; labels are propagated as the smallest member id until
-no label moves (each round checkpointed). Border points join the smallest
-adjacent core label; the rest are noise (-1).
+edges form components, found until nothing moves (``components``, logarithmic
+rounds). Border points join the smallest adjacent core label; the rest are noise (-1).
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillcast.operators.components import connected_components
+from tillcast.session import written
+
+
+def eps_neighbours(df: DataFrame, key: str, feats: list[str], eps: float, grid_dims: int = 3,
+                   crowd: str | None = None) -> DataFrame:
+    """(a, b, dist) for all pairs within eps, self pairs included.
 
-def eps_neighbours(df: DataFrame, key: str, feats: list[str], eps: float, grid_dims: int = 3) -> DataFrame:
-    """(a, b, dist) for all pairs within eps, self pairs included."""
+    Two points with the same non-null value of column ``crowd`` are not paired.
+    """
+    tag = F.col(crowd) if crowd else F.lit(None)
     g = min(grid_dims, len(feats))
     cells = [F.floor(F.col(c) / F.lit(eps)).cast("long") for c in feats[:g]]
-    pts = df.select(F.col(key).alias("_id"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(feats)],
+    pts = df.select(F.col(key).alias("_id"), tag.alias("_t"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(feats)],
                     *[c.alias(f"_g{i}") for i, c in enumerate(cells)])
     offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product((-1, 0, 1), repeat=g)])
     probe = pts.select("*", F.explode(offsets).alias("_off")).select(
-        F.col("_id").alias("a"), *[F.col(f"_x{i}").alias(f"a{i}") for i in range(len(feats))],
+        F.col("_id").alias("a"), F.col("_t").alias("at"), *[F.col(f"_x{i}").alias(f"a{i}") for i in range(len(feats))],
         *[(F.col(f"_g{i}") + F.col("_off")[i]).alias(f"_g{i}") for i in range(g)])
-    right = pts.select(F.col("_id").alias("b"), *[F.col(f"_x{i}").alias(f"b{i}") for i in range(len(feats))],
+    right = pts.select(F.col("_id").alias("b"), F.col("_t").alias("bt"), *[F.col(f"_x{i}").alias(f"b{i}") for i in range(len(feats))],
                        *[F.col(f"_g{i}") for i in range(g)])
     j = probe.join(right, [f"_g{i}" for i in range(g)])
+    if crowd:
+        j = j.where(~F.coalesce(F.col("at") == F.col("bt"), F.lit(False)))
     d2 = sum(((F.col(f"a{i}") - F.col(f"b{i}")) * (F.col(f"a{i}") - F.col(f"b{i}")) for i in range(len(feats))),
              F.lit(0.0))
     return j.select("a", "b", F.sqrt(d2).alias("dist")).where(F.col("dist") <= eps)
@@ -46,29 +61,29 @@ def core_points(df: DataFrame, key: str, feats: list[str], eps: float, min_sampl
         (F.coalesce("n_neighbours", F.lit(0)) >= min_samples).alias("is_core"))
 
 
-def dbscan(df: DataFrame, key: str, feats: list[str], eps: float, min_samples: int,
-           max_rounds: int = 100) -> DataFrame:
+def dbscan(df: DataFrame, key: str, feats: list[str], eps: float, min_samples: int) -> DataFrame:
     """(key, cluster): cluster ids 0.. in order of their smallest member, noise -1."""
-    nb = eps_neighbours(df, key, feats, eps).checkpoint()
+    from pyspark.sql import Window
+
+    side = eps / math.sqrt(len(feats)) * (1 - 1e-9)
+    fine = F.array(*[F.floor(F.col(c).cast("double") / F.lit(side)).cast("long") for c in feats])
+    pts = df.select(F.col(key), *feats, fine.alias("_fine"))
+    full = pts.groupBy("_fine").agg(F.count(F.lit(1)).alias("_c"), F.min(key).alias("_head")).where(F.col("_c") >= min_samples)
+    pts = written(pts.join(full, "_fine", "left"))
+    crowd = pts.where("_head is not null").select(F.col(key).alias("id"), F.col("_head").alias("head"))
+    nb = written(eps_neighbours(pts, key, feats, eps, crowd="_head"))
     cnt = nb.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    core = cnt.where(F.col("n") >= min_samples).select(F.col("a").alias("id"))
+    core = written(cnt.where(F.col("n") >= min_samples).select(F.col("a").alias("id"))
+                   .unionByName(crowd.select("id")).distinct())
     edges = (nb.join(core.withColumnRenamed("id", "a"), "a", "left_semi")
-               .join(core.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"))
-    labels = core.select("id", F.col("id").alias("label")).checkpoint()
-    for _ in range(max_rounds):
-        prop = edges.join(labels.withColumnRenamed("id", "b").withColumnRenamed("label", "lb"), "b") \
-            .groupBy("a").agg(F.min("lb").alias("m"))
-        new = labels.join(prop.withColumnRenamed("a", "id"), "id", "left") \
-            .select("id", F.least("label", F.coalesce("m", "label")).alias("label")).checkpoint()
-        moved = new.join(labels.withColumnRenamed("label", "old"), "id").where(F.col("label") != F.col("old")).count()
-        labels = new
-        if moved == 0:
-            break
+             .join(core.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"))
+    edges = edges.unionByName(crowd.select(F.col("id").alias("a"), F.col("head").alias("b")))
+    edges = edges.unionByName(core.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    labels = written(connected_components(edges).withColumnRenamed("component", "label"))
     border = (nb.join(labels.withColumnRenamed("id", "b"), "b")
-                .join(core.withColumnRenamed("id", "a"), "a", "left_anti")
-                .groupBy("a").agg(F.min("label").alias("label")).withColumnRenamed("a", "id"))
+              .join(core.withColumnRenamed("id", "a"), "a", "left_anti")
+              .groupBy("a").agg(F.min("label").alias("label")).withColumnRenamed("a", "id"))
     all_labels = labels.unionByName(border)
-    from pyspark.sql import Window
     rank = all_labels.select("label").distinct().select(
         "label", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("int").alias("cluster"))
     out = df.select(key).join(all_labels.join(rank, "label").select(F.col("id").alias(key), "cluster"), key, "left")

@@ -28,13 +28,11 @@ def rank_models(metrics: DataFrame) -> DataFrame:
 
 
 def results_with_best(metrics: DataFrame) -> DataFrame:
-    """Every result row with its group's best model, joined on null-safe (level, store)."""
+    """Every result row with its group's best model: one window, which holds null stores too."""
     r = rank_models(metrics)
-    best = r.where("is_best").select(F.col("level").alias("b_level"), F.col("store").alias("b_store"),
-                                     F.col("model").alias("best_model_name"), F.col("r2").alias("best_r2"),
-                                     F.col("rmse").alias("best_rmse"))
-    on = r.level.eqNullSafe(best.b_level) & r.store.eqNullSafe(best.b_store)
-    return r.join(best, on, "left").drop("b_level", "b_store")
+    w = Window.partitionBy(*LEVEL).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return r.select("*", F.first("model").over(w).alias("best_model_name"), F.first("r2").over(w).alias("best_r2"),
+                    F.first("rmse").over(w).alias("best_rmse"))
 
 
 def best_by_store(metrics: DataFrame) -> DataFrame:

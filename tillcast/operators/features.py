@@ -43,10 +43,13 @@ def group_mean_ratios(df: DataFrame, value: str = "weekly_sales") -> DataFrame:
     every row of a store into one task.
     """
     y = F.col(value)
-    out = df
-    for keys, name in ((["store"], "store_mean"), (["dept"], "dept_mean"),
-                       (["store", "dept"], "store_dept_mean")):
-        out = out.join(df.groupBy(*keys).agg(F.avg(y).alias(name)), keys, "left")
+    # one pass over the rows; store and department means are rolled up from its sums
+    cell = df.groupBy("store", "dept").agg(F.sum(y).alias("_s"), F.count(y).alias("_c"))
+    mean = F.try_divide(F.sum("_s"), F.sum("_c"))
+    means = (cell.join(cell.groupBy("store").agg(mean.alias("store_mean")), "store")
+             .join(cell.groupBy("dept").agg(mean.alias("dept_mean")), "dept")
+             .select("store", "dept", "store_mean", "dept_mean", F.try_divide("_s", "_c").alias("store_dept_mean")))
+    out = df.join(means, ["store", "dept"], "left")
     return (out.withColumn("sales_vs_store", safe_div(y, "store_mean"))
                .withColumn("sales_vs_dept", safe_div(y, "dept_mean")))
 
@@ -172,18 +175,19 @@ def markdown_flags(df: DataFrame, cols: list[str]) -> DataFrame:
 def correlation_long(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson r for every ordered pair of columns, long form (col1, col2, corr).
 
-    One aggregate pass of pairwise moments; a constant column gives null, not an error.
+    One aggregate pass of pairwise moments over the rows where both are present; a
+    constant column gives null, not an error.
     """
     from tillcast.functions.numeric import guarded_corr
-    aggs = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            aggs.append(guarded_corr(a, b).alias(f"{a}__{b}"))
-    wide = df.agg(*aggs)
-    pairs = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            pairs.append(f"'{a}', '{b}', `{a}__{b}`")
-            if a != b:
-                pairs.append(f"'{b}', '{a}', `{a}__{b}`")
-    return wide.selectExpr(f"stack({len(pairs)}, {', '.join(pairs)}) as (col1, col2, corr)")
+    names = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    pair = F.array(*[F.struct(F.lit(i).alias("i"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+                     for i, (a, b) in enumerate(names)])
+    # one row a pair, combined before the shuffle: a small aggregate that compiles, instead of
+    # hundreds of moments side by side
+    r = (df.select(F.explode(pair).alias("p")).groupBy(F.col("p.i").alias("i"))
+         .agg(guarded_corr(F.col("p.x"), F.col("p.y")).alias("corr")))
+    label = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in names])
+    r = r.withColumn("n", F.get(label, "i"))
+    both = F.array_distinct(F.array(F.struct(F.col("n.a").alias("col1"), F.col("n.b").alias("col2")),
+                                    F.struct(F.col("n.b").alias("col1"), F.col("n.a").alias("col2"))))
+    return r.select(F.explode(both).alias("k"), "corr").select("k.col1", "k.col2", "corr")

@@ -146,14 +146,12 @@ def rolling_origin_folds(df: DataFrame, n_folds: int = 4, horizon_weeks: int = 1
     """Per fold: train = date <= cut, validation = cut < date <= cut + horizon; fold roles are
     date predicates, so each fold filter can reach the scan as a date range."""
     cuts = rolling_origin_cuts(df, n_folds, horizon_weeks, buffer_weeks)
-    out = None
-    for i, c in enumerate(cuts):
-        d = F.col("date")
-        part = df.select("date").distinct().select(
-            F.lit(i).alias("fold"), F.lit(c).alias("cut"), "date",
-            F.when(d <= F.lit(c), "train").when(d <= F.date_add(F.lit(c), 7 * horizon_weeks), "val").alias("role"))
-        out = part if out is None else out.unionByName(part)
-    return out.where(F.col("role").isNotNull())
+    d = F.col("date")
+    fold = F.posexplode(F.array(*[F.lit(c) for c in cuts])).alias("fold", "cut")
+    return (df.select("date").distinct().select("date", fold)
+            .withColumn("role", F.when(d <= F.col("cut"), "train")
+                        .when(d <= F.date_add("cut", 7 * horizon_weeks), "val"))
+            .where(F.col("role").isNotNull()).select("fold", "cut", "date", "role"))
 
 
 def eligible_series(series: DataFrame, horizon: int = 8, keys: list[str] = LEVEL) -> DataFrame:

@@ -3,7 +3,8 @@
 1. Sampling: each row joins tree t when xxhash64(row key, t) falls under a rate
    that yields about 1.5 x psi rows per tree; the candidate tree ids are computed
    per row with an array filter, so rows are not multiplied by the tree count.
-2. Build: groupBy(tree).applyInPandas grows one tree from its <= psi rows.
+2. Build: groupBy(tree).applyInPandas grows one tree from psi rows (the published
+   algorithm's subsample, a parameter of the forest; every row is scored).
 3. Trees (at most T x (2 psi - 1) nodes) come back to the driver once and are
    broadcast to an Arrow pandas UDF that scores every row: 2^(-E[h(x)] / c(psi)).
 4. The flag threshold is the (1 - contamination) quantile of the scores.
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillcast.session import written
+
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
                "size int, depth int")
 
@@ -92,8 +95,8 @@ def isolation_forest(df: DataFrame, key_cols: list[str], features: list[str], n_
     psi = min(psi, n)
     rate = min(1.0, 1.5 * psi / max(n, 1))
     key = F.concat_ws("|", *[F.col(k).cast("string") for k in key_cols])
-    m = 1 << 30
-    thr = int(rate * m)
+    m = 1 << 62
+    thr = int(rate * m)  # 62 bits: a rate of 1e-12 still selects rows
     trees_for_row = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
                              lambda t: F.pmod(F.xxhash64(key, t, F.lit(seed)), F.lit(m)) < F.lit(thr))
     sample = (df.select(*features, key.alias("_k"), F.explode(trees_for_row).alias("tree"))
@@ -122,6 +125,6 @@ def isolation_forest(df: DataFrame, key_cols: list[str], features: list[str], n_
 
     scored = df.withColumn("if_score", score(*[F.col(c).cast("double") for c in features]))
     from tillcast.functions.quantiles import exact_quantiles
-    scored = scored.persist()
+    scored = written(scored)
     cut = exact_quantiles(scored, ["if_score"], [1.0 - contamination])["if_score"][0]
     return scored.withColumn("if_anomaly", (F.col("if_score") > F.lit(cut)).cast("int"))

@@ -24,13 +24,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.functions.numeric import snap8
+from tillcast.session import written
 
 
 def _knn(df: DataFrame, block: list[str], rid: str, u: str, feats: list[str], k: int, m: int,
          pending: DataFrame | None = None) -> DataFrame:
     """One round: candidates within +-m sorted positions; distances only for ``pending`` rows."""
     w = Window.partitionBy(*block).orderBy(u, rid)
+    if pending is not None:
+        # Only stretches of m rows around pending rows take part: a row further than m
+        # positions from every pending row can be in none of their lists.
+        df = (df.join(pending.withColumn("_todo", F.lit(1)), [*block, rid], "left")
+              .withColumn("_near", F.max("_todo").over(w.rowsBetween(-m - 1, m + 1))))
+        df = df.where("_near = 1")
     cand = F.collect_list(F.struct(F.col(rid).alias("o"), F.col("_f").alias("f"))).over(w.rowsBetween(-m, m))
+    if pending is not None:
+        cand = F.when(F.col("_todo") == 1, cand)
     out = df.select(*block, rid, u, "_f", "_n", cand.alias("_c"),
                     F.lag(u, m + 1).over(w).alias("_lo"), F.lead(u, m + 1).over(w).alias("_hi"))
     if pending is not None:
@@ -55,14 +64,14 @@ def knn_blocked(df: DataFrame, block: list[str], rid: str, feats: list[str], k:
                 u: str | None = None, m0: int | None = None) -> DataFrame:
     """Flat exact k-NN table (block, rid, _o, _d, _kdist): k rows per row.
 
-    Neighbour lists are exploded before anything is persisted, so the cache
-    holds primitive columns only.
+    Neighbour lists are exploded before a round is written, so the tables
+    hold primitive columns only.
     """
     u = u or feats[0]
     base = df.select(*block, rid, *feats).withColumn(
         "_f", F.array(*[F.col(c).cast("double") for c in feats])) \
         .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*block)))
-    base = base.checkpoint()
+    base = written(base)
     max_n = base.agg(F.max("_n")).first()[0] or 1
     m = m0 or 2 * k
     parts, pending = [], None
@@ -70,8 +79,7 @@ def knn_blocked(df: DataFrame, block: list[str], rid: str, feats: list[str], k:
         r = _knn(base, block, rid, u, feats, k, m, pending)
         r = r.select(*block, rid, "_kdist", "_ok", F.posexplode("_nb").alias("_i", "_e")).select(
             *block, rid, "_kdist", "_ok", "_i", F.col("_e.o").alias("_o"), F.col("_e.d").alias("_d"))
-        # iterative: cut the lineage each round (reliable checkpoint in the shared folder)
-        r = r.persist().checkpoint()
+        r = written(r)  # iterative: cut the lineage each round
         left = r.where(~F.col("_ok") & (F.col("_i") == 0)).count()
         last = left == 0 or 2 * m + 1 >= max_n
         keep = r if last else r.where("_ok")
@@ -95,7 +103,7 @@ def lof_blocked(df: DataFrame, block: list[str], rid: str, feats: list[str], k:
     lrd_o = lrd.select(*block, F.col(rid).alias("_o"), F.col("_lrd").alias("_lrdo"))
     lof = (pairs.join(lrd_o, [*block, "_o"]).groupBy(*block, rid).agg(F.avg("_lrdo").alias("_m"))
            .join(lrd, [*block, rid]).select(*block, rid, snap8(F.col("_m") / F.col("_lrd")).alias("lof")))
-    out = df.join(lof, [*block, rid], "left").persist()
+    out = written(df.join(lof, [*block, rid], "left"))
     from tillcast.functions.quantiles import exact_quantiles
     cut = exact_quantiles(out, ["lof"], [1.0 - contamination])["lof"][0]
     flag = F.coalesce((F.col("lof") > F.lit(cut)).cast("int"), F.lit(0)) if cut is not None else F.lit(0)

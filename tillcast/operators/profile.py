@@ -19,9 +19,14 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
     """(column_name, n_distinct), nulls not counted; ``approx`` uses HyperLogLog++."""
-    fn = F.approx_count_distinct if approx else F.countDistinct
-    wide = df.agg(*[fn(c).alias(c) for c in df.columns])
-    return _stack(wide, df.columns, "column_name", "n_distinct")
+    if approx:
+        return _stack(df.agg(*[F.approx_count_distinct(c).alias(c) for c in df.columns]), df.columns,
+                      "column_name", "n_distinct")
+    # one (column, value) pair a row and column, combined before the shuffle; a single
+    # aggregate of many distinct counts would copy every row for each of them
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in df.columns]))
+    kinds = df.select(pairs.alias("p")).select("p.c", "p.v").distinct()
+    return kinds.groupBy(F.col("c").alias("column_name")).agg(F.count("v").alias("n_distinct"))
 
 
 def duplicate_rows(df: DataFrame, name: str) -> DataFrame:
@@ -33,12 +38,13 @@ def duplicate_rows(df: DataFrame, name: str) -> DataFrame:
 
 def describe(df: DataFrame, by: list[str], col: str) -> DataFrame:
     """count, mean, std (sample), min, quartiles (linear), max of ``col`` per group."""
-    q = F.percentile(col, [0.25, 0.5, 0.75])
+    from tillcast.functions.quantiles import exact_group_quantiles
+    q = exact_group_quantiles(df, by, col, [0.25, 0.5, 0.75])
     out = df.groupBy(*by).agg(
         F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
-        F.min(col).alias("min"), q.alias("_q"), F.max(col).alias("max"))
-    return out.select(*by, "count", "mean", "std", "min", F.col("_q")[0].alias("q25"),
-                      F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max")
+        F.min(col).alias("min"), F.max(col).alias("max"))
+    return out.join(q, by, "left").select(*by, "count", "mean", "std", "min", F.col("q0").alias("q25"),
+                                          F.col("q1").alias("q50"), F.col("q2").alias("q75"), "max")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:

@@ -100,9 +100,19 @@ def assemble(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
         df.fillna(0.0, subset=cols)).select(key, "features")
 
 
-def elbow(vec: DataFrame, ks=range(1, 11), seeds=(0,)) -> DataFrame:
-    """Within-cluster sum of squares per k: best training cost over a few seeded starts."""
+STARTS = range(10)  # k-means starts; the one of least cost is kept
+MAX_ITER = 300
+
+
+def best_kmeans(vec: DataFrame, k: int, seeds=STARTS):
+    """The k-means model of least training cost over the starts, each run to tolerance."""
     from pyspark.ml.clustering import KMeans
+    fits = [KMeans(k=k, seed=s, maxIter=MAX_ITER).fit(vec) for s in seeds]
+    return min(fits, key=lambda m: m.summary.trainingCost)
+
+
+def elbow(vec: DataFrame, ks=range(1, 11), seeds=STARTS) -> DataFrame:
+    """Within-cluster sum of squares per k: best training cost over a few seeded starts."""
     from pyspark.ml.functions import vector_to_array
     rows = []
     for k in ks:
@@ -113,19 +123,17 @@ def elbow(vec: DataFrame, ks=range(1, 11), seeds=(0,)) -> DataFrame:
             agg = arr.agg(*[(F.count(F.lit(1)) * F.var_pop(F.col("v")[i])).alias(f"w{i}") for i in range(p)]).first()
             rows.append((1, float(sum(agg))))
             continue
-        costs = [KMeans(k=k, seed=s, maxIter=50).fit(vec).summary.trainingCost for s in seeds]
-        rows.append((int(k), float(min(costs))))
+        rows.append((int(k), float(best_kmeans(vec, k, seeds).summary.trainingCost)))
     return vec.sparkSession.createDataFrame(rows, "k int, wcss double")
 
 
-def silhouette_sweep(vec: DataFrame, ks=range(2, 11), seed: int = 0) -> DataFrame:
+def silhouette_sweep(vec: DataFrame, ks=range(2, 11), seeds=STARTS) -> DataFrame:
     """Silhouette (squared Euclidean, MLlib) of k-means labels for each k."""
-    from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
     rows = []
     for k in ks:
-        pred = KMeans(k=k, seed=seed, maxIter=50).fit(vec).transform(vec)
+        pred = best_kmeans(vec, k, seeds).transform(vec)
         rows.append((int(k), float(ev.evaluate(pred))))
     return vec.sparkSession.createDataFrame(rows, "k int, silhouette double")
 
@@ -137,9 +145,8 @@ def _relabel(pred: DataFrame, key: str) -> DataFrame:
     return pred.join(first, "prediction").drop("prediction")
 
 
-def kmeans_segments(vec: DataFrame, key: str, k: int = 2, seed: int = 0) -> DataFrame:
-    from pyspark.ml.clustering import KMeans
-    pred = KMeans(k=k, seed=seed, maxIter=50).fit(vec).transform(vec)
+def kmeans_segments(vec: DataFrame, key: str, k: int = 2, seeds=STARTS) -> DataFrame:
+    pred = best_kmeans(vec, k, seeds).transform(vec)
     return _relabel(pred, key).select(key, "cluster")
 
 
@@ -178,7 +185,7 @@ def segment_methods(vec: DataFrame, key: str, k: int = 2, seed: int = 0,
     """
     from pyspark.ml.evaluation import ClusteringEvaluator
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-    labelled = [("kmeans", kmeans_segments(vec, key, k, seed)),
+    labelled = [("kmeans", kmeans_segments(vec, key, k)),
                 ("bisecting_kmeans", bisecting_segments(vec, key, k, seed))]
     if dbscan_input is not None:
         from tillcast.operators.dbscan import dbscan
@@ -196,12 +203,16 @@ def vif(df: DataFrame, cols: list[str]) -> DataFrame:
     """Variance inflation factors: diagonal of the inverse correlation matrix.
 
     The p x p correlation matrix (p = a handful of features) comes from one
-    MLlib aggregate; only that matrix reaches the driver.
+    MLlib aggregate; only that matrix reaches the driver. Incomplete rows are left
+    out; a constant column has no factor (null).
     """
     import numpy as np
     from pyspark.ml.stat import Correlation
-    vec = assemble(df.withColumn("_k", F.lit(0)), "_k", cols)
+    vec = assemble(df.dropna(subset=cols).withColumn("_k", F.lit(0)), "_k", cols)
     m = Correlation.corr(vec, "features").first()[0].toArray()
-    inv = np.linalg.pinv(m)
-    rows = [(c, float(inv[i, i])) for i, c in enumerate(cols)]
+    np.fill_diagonal(m, np.nan_to_num(np.diag(m)))
+    live = [i for i in range(len(cols)) if np.isfinite(np.delete(m[i], i)).any() or len(cols) == 1]
+    inv = np.linalg.pinv(m[np.ix_(live, live)])
+    factor = {i: float(inv[k, k]) for k, i in enumerate(live)}
+    rows = [(c, factor.get(i)) for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(rows, "feature string, vif double")

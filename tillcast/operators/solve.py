@@ -29,22 +29,29 @@ def moment_terms(xs: list[Column], y: Column) -> list[Column]:
 
 
 def _solve_batch(m: np.ndarray, p: int, ridge: float) -> np.ndarray:
+    """Coefficients of every row's normal equations; NaN where a moment is not finite.
+
+    Each system is scaled to a unit diagonal first, so that the ridge weighs every
+    column alike however large sales are; the scaled systems are solved as one stack.
+    """
     n = m.shape[0]
     a = np.zeros((n, p, p))
     iu = np.triu_indices(p)
     a[:, iu[0], iu[1]] = m[:, : len(iu[0])]
     a = a + np.transpose(a, (0, 2, 1)) - a * np.eye(p)[None]
     b = m[:, len(iu[0]):]
-    tr = np.trace(a, axis1=1, axis2=2)
-    a = a + (ridge * np.maximum(tr, 1e-12))[:, None, None] * np.eye(p)[None]
     out = np.full((n, p), np.nan)
-    for i in range(n):  # p is tiny; pinv guards singular systems (e.g. short histories)
-        if np.all(np.isfinite(a[i])) and np.all(np.isfinite(b[i])):
-            out[i] = np.linalg.pinv(a[i]) @ b[i]
+    ok = np.isfinite(a).all(axis=(1, 2)) & np.isfinite(b).all(axis=1)
+    if ok.any():
+        a, b = a[ok], b[ok]
+        d = np.sqrt(np.einsum("nii->ni", a))
+        d = np.where(d > 0, d, 1.0)
+        a = a / d[:, :, None] / d[:, None, :] + ridge * np.eye(p)[None]
+        out[ok] = np.einsum("nij,nj->ni", np.linalg.pinv(a, rcond=1e-13, hermitian=True), b / d) / d
     return out
 
 
-def solver(p: int, ridge: float = 1e-9):
+def solver(p: int, ridge: float = 1e-12):
     """pandas UDF: array<double> of moments -> array<double> of p coefficients."""
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def solve(moments: pd.Series) -> pd.Series:
@@ -79,68 +86,98 @@ def fourier_design(t: Column, woy: Column, holiday: Column, changepoints=(0.25,
     return xs
 
 
+def _log(y: Column) -> Column:
+    return F.log1p(F.greatest(y, F.lit(0.0)))
+
+
 def fourier_trend(series: DataFrame, horizon: int = 20, train_frac: float = 0.8,
-                  keys: list[str] = ("level", "store")) -> DataFrame:
+                  keys: list[str] = ("level", "store"), order: int = 3, log_target: bool = True,
+                  model: str = "fourier_trend") -> DataFrame:
     """Piecewise-linear trend + yearly Fourier terms + holiday flag per series, fit on the
-    train part by grouped normal equations, forecast over the first ``horizon`` test weeks."""
+    train part by grouped normal equations, forecast over the first ``horizon`` test weeks.
+    The target is log1p(max(y, 0)), mapped back with expm1, unless ``log_target`` is off."""
     from tillcast.functions.dates import is_holiday_week, iso_week
     from tillcast.operators.forecast import with_positions
     keys = list(keys)
     s = with_positions(series, keys, train_frac)
     t = F.col("pos") / F.col("train_size")
-    xs = fourier_design(t, iso_week("date"), is_holiday_week("date"))
+    xs = fourier_design(t, iso_week("date"), is_holiday_week("date"), order=order)
     p = len(xs)
-    s = s.select("*", *[x.alias(f"x{i}") for i, x in enumerate(xs)])
+    s = s.select("*", *[x.alias(f"x{i}") for i, x in enumerate(xs)],
+                 (_log(F.col("y")) if log_target else F.col("y")).alias("_t"))
     xc = [F.col(f"x{i}") for i in range(p)]
     train = s.where(F.col("pos") <= F.col("train_size"))
-    mom = train.groupBy(*keys).agg(F.array(*[F.sum(c) for c in moment_terms(xc, F.col("y"))]).alias("m"))
-    beta = mom.select(*keys, solver(p)("m").alias("beta"))
+    mom = train.groupBy(*keys).agg(F.array(*[F.sum(c) for c in moment_terms(xc, F.col("_t"))]).alias("m"))
+    beta = mom.select(*[F.col(k).alias(f"_b_{k}") for k in keys], solver(p)("m").alias("beta"))
     test = s.where((F.col("pos") > F.col("train_size")) & (F.col("pos") <= F.col("train_size") + horizon)
                    & (F.col("n") - F.col("train_size") >= horizon))
-    on = [test[k].eqNullSafe(beta[k]) for k in keys]
-    j = test.join(beta, on).select(*[test[k] for k in keys], "date", "y", "beta", *xc)
-    return j.select(*keys, F.lit("fourier_trend").alias("model"), "date", F.col("y").alias("actual"),
-                    predict(F.col("beta"), xc).alias("forecast"))
+    on = [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys]
+    pred = predict(F.col("beta"), xc)
+    return test.join(beta, on).select(*keys, F.lit(model).alias("model"), "date", F.col("y").alias("actual"),
+                                      (F.expm1(pred) if log_target else pred).alias("forecast"))
 
 
 def arx_walk_forward(series: DataFrame, horizon: int = 8, train_frac: float = 0.8, season: int = 52,
-                     keys: list[str] = ("level", "store")) -> DataFrame:
-    """AR(2) + seasonal lag + holiday, refit before every step on all earlier weeks.
+                     keys: list[str] = ("level", "store"), exog: list[str] = (), log_target: bool = True,
+                     model: str = "arx", val_weeks: int = 0) -> DataFrame:
+    """AR(2) + seasonal lag + holiday + ``exog`` columns, refit before every step on all earlier weeks.
 
     X'X and X'y at each step are running window sums (unbounded preceding .. -1),
     so the walk-forward refit costs one sorted pass per series; each test week
-    is a one-step-ahead forecast from the fit on all weeks before it.
+    is a one-step-ahead forecast from the fit on all weeks before it. The target and its
+    lags are log1p(max(y, 0)) unless ``log_target`` is off; a null exogenous value counts
+    as 0. With ``val_weeks``, the last so many train weeks are forecast as well and
+    marked split = val, the test weeks split = test.
     """
     from tillcast.functions.dates import is_holiday_week
     from tillcast.operators.forecast import with_positions
     keys = list(keys)
     s = with_positions(series, keys, train_frac)
+    s = s.withColumn("_t", _log(F.col("y")) if log_target else F.col("y"))
     w = Window.partitionBy(*keys).orderBy("date")
-    xs = [F.lit(1.0), F.lag("y", 1).over(w), F.lag("y", 2).over(w), F.lag("y", season).over(w),
-          is_holiday_week("date").cast("double")]
+    xs = [F.lit(1.0), F.lag("_t", 1).over(w), F.lag("_t", 2).over(w), F.lag("_t", season).over(w),
+          is_holiday_week("date").cast("double"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in exog]]
     p = len(xs)
     s = s.select("*", *[x.alias(f"x{i}") for i, x in enumerate(xs)])
     xc = [F.col(f"x{i}") for i in range(p)]
     complete = F.col("x3").isNotNull()
     past = w.rowsBetween(Window.unboundedPreceding, -1)
-    terms = moment_terms(xc, F.col("y"))
+    terms = moment_terms(xc, F.col("_t"))
     s = s.select("*", F.array(*[F.sum(F.when(complete, c)).over(past) for c in terms]).alias("m"),
                  F.sum(complete.cast("int")).over(past).alias("n_fit"))
-    test = s.where((F.col("pos") > F.col("train_size")) & (F.col("pos") <= F.col("train_size") + horizon)
-                   & complete & (F.col("n_fit") >= 2 * p))
-    out = test.select(*keys, "date", "y", solver(p)("m").alias("beta"), *xc)
-    return out.select(*keys, F.lit("arx").alias("model"), "date", F.col("y").alias("actual"),
-                      predict(F.col("beta"), xc).alias("forecast"))
-
-
-def grid_search_arx(series: DataFrame, seasons=(26, 52), horizons=(8,), keys=("level", "store")) -> DataFrame:
-    """Seeded grid over ARX settings; every setting is one more column set in the same
-    job shape (moments by window), scored by RMSE per series and setting."""
-    from tillcast.operators.evaluate import forecast_metrics
+    split = (F.when(F.col("pos") > F.col("train_size"), "test")
+             .when(F.col("pos") > F.col("train_size") - val_weeks, "val"))
+    test = s.withColumn("split", split).where(
+        F.col("split").isNotNull() & (F.col("pos") <= F.col("train_size") + horizon)
+        & complete & (F.col("n_fit") >= 2 * p))
+    out = test.select(*keys, "date", "y", "split", solver(p)("m").alias("beta"), *xc)
+    pred = predict(F.col("beta"), xc)
+    return out.select(*keys, F.lit(model).alias("model"), "date", F.col("y").alias("actual"),
+                      (F.expm1(pred) if log_target else pred).alias("forecast"),
+                      *(["split"] if val_weeks else []))
+
+
+def grid_search_arx(series: DataFrame, seasons=(4, 13, 26, 52), logs=(True, False), horizon: int = 8,
+                    val_weeks: int = 16, keys=("level", "store"), exog: list[str] = ()) -> DataFrame:
+    """Grid over ARX settings. Each is refit before every validation week (the last
+    ``val_weeks`` of the train part); the setting of least validation RMSE is chosen per
+    series. One row a series and setting: validation RMSE, test RMSE and R2, chosen or
+    not, and the setting as a map column."""
+    keys = list(keys)
     out = None
-    for s_ in seasons:
-        for h in horizons:
-            fc = arx_walk_forward(series, horizon=h, season=s_, keys=keys).withColumn(
-                "model", F.lit(f"arx_s{s_}_h{h}"))
+    for season in seasons:
+        for log in logs:
+            fc = arx_walk_forward(series, horizon=horizon, season=season, keys=keys, exog=exog, log_target=log,
+                                  model=f"arx_s{season}_{'log' if log else 'raw'}", val_weeks=val_weeks)
+            fc = fc.withColumn("params", F.create_map(F.lit("season"), F.lit(str(season)),
+                                                      F.lit("log_target"), F.lit(str(log).lower())))
             out = fc if out is None else out.unionByName(fc)
-    return forecast_metrics(out)
+    e2 = F.pow(F.col("actual") - F.col("forecast"), 2)
+    test = F.col("split") == "test"
+    sst = F.count(F.when(test, F.col("actual"))) * F.var_pop(F.when(test, F.col("actual")))
+    m = out.groupBy(*keys, "model").agg(
+        F.first("params").alias("params"), F.sqrt(F.avg(F.when(~test, e2))).alias("val_rmse"),
+        F.sqrt(F.avg(F.when(test, e2))).alias("rmse"),
+        (F.lit(1.0) - F.try_divide(F.sum(F.when(test, e2)), F.when(sst != 0, sst))).alias("r2"))
+    best = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("val_rmse"), "model")
+    return m.withColumn("chosen", F.row_number().over(best) == 1)

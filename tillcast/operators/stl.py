@@ -13,6 +13,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _odd_at_least(x: float) -> int:
@@ -90,15 +92,14 @@ def stl(y: np.ndarray, period: int = 52, seasonal: int = 13, robust: bool = Fals
     return trend, season, y - trend - season
 
 
-STL_SCHEMA = ("store int, dept string, date date, weekly_sales double, stl_trend double, stl_season double, "
-              "stl_resid double, stl_anomaly int")
-
-
 def stl_decompose(df: DataFrame, period: int = 52, seasonal: int = 13, threshold: float = 2.5,
-                  keys=("store", "dept"), value: str = "weekly_sales") -> DataFrame:
+                  keys=("store", "dept"), value: str = "weekly_sales", robust: bool = False) -> DataFrame:
     """STL parts and a residual z flag per series; series shorter than two periods get
     null parts and flag 0 (an explicit rule instead of a caught exception)."""
     keys = list(keys)
+    src = df.select(*keys, "date", F.col(value).cast("double").alias(value))
+    schema = T.StructType([*src.schema.fields, *[T.StructField(f"stl_{c}", T.DoubleType()) for c in ("trend", "season", "resid")],
+                           T.StructField("stl_anomaly", T.IntegerType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date").reset_index(drop=True)
@@ -110,11 +111,11 @@ def stl_decompose(df: DataFrame, period: int = 52, seasonal: int = 13, threshold
             out["stl_resid"] = np.nan
             out["stl_anomaly"] = 0
         else:
-            t, s, r = stl(y, period, seasonal)
+            t, s, r = stl(y, period, seasonal, robust)
             sd = r.std(ddof=1)
             z = (r - r.mean()) / sd if sd > 0 else np.zeros_like(r)
             out["stl_trend"], out["stl_season"], out["stl_resid"] = t, s, r
             out["stl_anomaly"] = (np.abs(z) > threshold).astype("int32")
         return out
 
-    return df.select(*keys, "date", value).groupBy(*keys).applyInPandas(run, STL_SCHEMA)
+    return src.groupBy(*keys).applyInPandas(run, schema)

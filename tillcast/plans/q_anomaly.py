@@ -8,6 +8,7 @@ from tillcast.functions.numeric import r4, snap8
 from tillcast.operators import anomaly
 from tillcast.plans.registry import Views, register
 from tillcast.plans.sqlbase import with_views
+from tillcast.session import written
 
 ROLLING_SQL = with_views() + """
 select store, dept, date, weekly_sales, r4(z) as rolling_zscore,
@@ -83,8 +84,8 @@ def flag_crosstab(spark, sf_dir):
 def detector_features(v):
     """The five detector inputs: ratio features scaled as in the reference, plus codes."""
     from tillcast.operators.features import frequency_encode, group_mean_ratios, log_transform, robust_scale
-    # the two scaler fits read the same ratio table: keep it instead of rebuilding it per fit
-    g = group_mean_ratios(v.prepared).persist()
+    # the two scaler fits read the same ratio table: it is written once
+    g = written(group_mean_ratios(v.prepared))
     g = log_transform(g, ["sales_vs_store"])
     g = robust_scale(g, ["size", "sales_vs_dept"])
     g = frequency_encode(g, ["store", "dept"])
@@ -97,7 +98,6 @@ def detector_features(v):
 def isolation_forest(spark, sf_dir):
     from tillcast.operators.iforest import isolation_forest as iforest
     g, cols = detector_features(Views(spark, sf_dir))
-    g = g.persist()
     out = iforest(g, ["store", "dept", "date"], cols, n_trees=100, psi=256, contamination=0.002)
     return out.select("store", "dept", "date", "weekly_sales", "if_score", "if_anomaly")
 

@@ -13,6 +13,9 @@ from tillcast.plans.sqlbase import with_cleaned
 # and lift 1.2 find no rules on it); the operator defaults stay those of the reference.
 MIN_SUPPORT = 0.15
 MIN_LIFT = 1.0
+# Correlations called strong on the stand-in data, where none reaches the
+# reference defaults of 0.85 and -0.65 (the operator defaults).
+POS_CORR, NEG_CORR = 0.0, -0.02
 # The department names of the stand-in data (oracle pivot columns).
 TYPE_ITEMS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
@@ -99,8 +102,7 @@ def pair_support(spark, sf_dir):
     items = _items(spark, sf_dir)
     n = B.n_baskets(items)
     s = B.frequent_itemsets(items, 0.0, max_len=2, n=n).where(F.col("size") == 2)
-    parts = F.split("itemset", ", ")
-    return s.select(parts[0].alias("item_a"), parts[1].alias("item_b"), F.col("cnt").alias("n_baskets"),
+    return s.select(F.col("items")[0].alias("item_a"), F.col("items")[1].alias("item_b"), F.col("cnt").alias("n_baskets"),
                     r4("support").alias("support"))
 
 
@@ -124,7 +126,7 @@ select antecedents, consequents, {_rsql()}, tier from (
   from rules_uncut) t where tier is not null""")
 def rule_tiers(spark, sf_dir):
     r = B.rule_tiers(B.association_rules(_itemsets(spark, sf_dir), None))
-    return _rules_spark(r).join(r.select("antecedents", "consequents", "tier"), ["antecedents", "consequents"])
+    return r.select("antecedents", "consequents", *[r4(c).alias(c) for c in RULE_COLS], "tier")
 
 
 @register("top_rules", W + f"""
@@ -164,7 +166,7 @@ DEPT_CORR_CTES = [
                from (select distinct dept from cleaned) d cross join (select distinct date from cleaned) dt
                left join cleaned c on c.dept = d.dept and c.date = dt.date group by d.dept, dt.date)""",
     """dcorr as (select a.dept as dept1, b.dept as dept2,
-                        covar_samp(a.sales, b.sales) / nullif(stddev_samp(a.sales) * stddev_samp(b.sales), 0) as corr
+                        case when stddev_samp(a.sales) * stddev_samp(b.sales) <> 0 then corr(a.sales, b.sales) end as corr
                  from piv a join piv b on a.date = b.date group by a.dept, b.dept)""",
 ]
 
@@ -176,10 +178,10 @@ def dept_corr(spark, sf_dir):
     return c.select("dept1", "dept2", r4(snap8("corr")).alias("corr"))
 
 
-@register("strong_pairs", with_cleaned(*DEPT_CORR_CTES) + """
-select dept1, dept2, r4(s8(corr)) as corr, case when corr > 0.85 then 'positive' else 'negative' end as sign
-from dcorr where dept1 < dept2 and (corr > 0.85 or corr < -0.65)""")
+@register("strong_pairs", with_cleaned(*DEPT_CORR_CTES) + f"""
+select dept1, dept2, r4(s8(corr)) as corr, case when corr > {POS_CORR!r} then 'positive' else 'negative' end as sign
+from dcorr where dept1 < dept2 and (corr > {POS_CORR!r} or corr < {NEG_CORR!r})""")
 def strong_pairs(spark, sf_dir):
     from tillcast.functions.numeric import snap8
-    c = B.strong_pairs(B.item_week_matrix_corr(Views(spark, sf_dir).cleaned))
+    c = B.strong_pairs(B.item_week_matrix_corr(Views(spark, sf_dir).cleaned), POS_CORR, NEG_CORR)
     return c.select("dept1", "dept2", r4(snap8("corr")).alias("corr"), "sign")

@@ -122,7 +122,7 @@ def _corr_sql(cols, source="prepared", ctes=()) -> str:
     for a in cols:
         for b in cols:
             sel.append(f"select '{a}' as col1, '{b}' as col2, "
-                       f"r4(covar_samp({a}, {b}) / nullif(stddev_samp({a}) * stddev_samp({b}), 0)) as corr "
+                       f"r4(case when stddev_samp({a}) * stddev_samp({b}) <> 0 then corr({a}, {b}) end) as corr "
                        f"from {source}")
     return with_views(*ctes, prepared=True) + "\nunion all\n".join(sel)
 
@@ -135,8 +135,7 @@ def corr_matrix(spark, sf_dir):
 
 @register("vif_pair", with_views(prepared=True) + """
 select 'fuel_price' as feature_a, 'temperature' as feature_b,
-       r4(1e0 / (1e0 - power(covar_samp(fuel_price, temperature)
-                                / nullif(stddev_samp(fuel_price) * stddev_samp(temperature), 0), 2))) as vif
+       r4(1e0 / (1e0 - power(corr(fuel_price, temperature), 2))) as vif
 from prepared""")
 def vif_pair(spark, sf_dir):
     from tillcast.functions.numeric import guarded_corr

@@ -167,7 +167,7 @@ def top_bottom_fit(spark, sf_dir):
 
 
 @register("r2_rmse_corr", WF + """
-select r4(covar_samp(r2, rmse) / nullif(stddev_samp(r2) * stddev_samp(rmse), 0)) as r2_rmse_corr from metrics""")
+select r4(case when stddev_samp(r2) * stddev_samp(rmse) <> 0 then corr(r2, rmse) end) as r2_rmse_corr from metrics""")
 def r2_rmse_corr(spark, sf_dir):
     return EV.r2_rmse_corr(_metrics(spark, sf_dir)).select(r4("r2_rmse_corr").alias("r2_rmse_corr"))
 

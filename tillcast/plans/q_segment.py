@@ -9,6 +9,7 @@ from tillcast.functions.numeric import r4, snap8
 from tillcast.operators import segment as S
 from tillcast.plans.registry import Views, register
 from tillcast.plans.sqlbase import with_cleaned
+from tillcast.session import written
 
 
 def decompose_sql(src: str, key: str, y: str, name: str) -> list[str]:
@@ -49,7 +50,7 @@ def profile_sql(key: str, value: str, flags: str) -> list[str]:
          1e0 - var_pop(d_resid) / nullif(var_pop(sales), 0) as seasonality_strength,
          1e0 - var_pop(d_resid) / nullif(var_pop(d_resid + d_trend), 0) as trend_strength,
          avg(rolling_iqr) as volatility, avg(case when markdown > 0 then 1e0 else 0e0 end) as promo_share,
-         covar_samp(markdown, sales) / nullif(stddev_samp(markdown) * stddev_samp(sales), 0) as corr_markdown_sales,
+         case when stddev_samp(markdown) * stddev_samp(sales) <> 0 then corr(markdown, sales) end as corr_markdown_sales,
          avg(flags) as anomalies_per_week, avg(markdown) as avg_markdown,
          avg(case when d_resid < rq1 - 1.5e0 * (rq3 - rq1) or d_resid > rq3 + 1.5e0 * (rq3 - rq1)
                   then 1e0 else 0e0 end) as iqr_outlier_rate
@@ -181,7 +182,7 @@ def _vec(spark, sf_dir):
     # a row per store ends a long plan: cut it before the iterative MLlib fits
     scaled = scaled.checkpoint()
     cols = [f"{c}_scaled" for c in S.STORE_FEATURES]
-    return S.assemble(scaled, "store", cols).persist(), len(cols)
+    return written(S.assemble(scaled, "store", cols)), len(cols)
 
 
 @register("elbow")
@@ -220,7 +221,7 @@ def segment_methods(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     pts, cols = _scaled_store_features(spark, sf_dir)
     pts = pts.checkpoint()  # one small table (a row per store) feeds every method
-    vec = S.assemble(pts, "store", cols).persist()
+    vec = written(S.assemble(pts, "store", cols))
     return S.segment_methods(vec, "store", 2, dbscan_input=(pts, cols, 0.3, 7))
 
 
@@ -281,7 +282,7 @@ def dept_segments(spark, sf_dir):
     scaled = S.log_minmax(S.dept_features(Views(spark, sf_dir).cleaned), "dept", S.DEPT_FEATURES, clip_at=-1.0)
     scaled = scaled.fillna(0.0).checkpoint()
     cols = [f"{c}_scaled" for c in S.DEPT_FEATURES]
-    vec = S.assemble(scaled, "dept", cols).persist()
+    vec = written(S.assemble(scaled, "dept", cols))
     km = S.kmeans_segments(vec, "dept", 2).withColumnRenamed("cluster", "kmeans")
     bk = S.bisecting_segments(vec, "dept", 2).withColumnRenamed("cluster", "bisecting_kmeans")
     dbl = db(scaled, "dept", cols, 0.5, 5).withColumnRenamed("cluster", "dbscan")
