@@ -2,6 +2,8 @@
 
 A byte goes if a 50-byte string covers it that also starts in a document of smaller id.
 
+0. A text that a document of smaller id holds as a whole goes altogether; only the
+   first document of each text takes part in what follows.
 1. The least hash among the 16-byte grams of a 50-byte window is its seed. Equal
    windows have equal seeds. Tasks count in how many documents a seed occurs, as
    sorted packed arrays by hash range; a bit map of at most 64 MB marks the seeds that
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import words
 from .bwt import window_classes
-from .common import Chunk, col, read, text_chunks
+from .common import Chunk, Scratch, col, read, text_chunks
 
 WIDTH, GRAM, BLOCK = 50, 16, 5
 SPAN = WIDTH - GRAM + 1  # grams in a window, and the most windows to a fragment
@@ -37,6 +39,7 @@ SEEDS_AT_ONCE = 1 << 20  # seeds a task packs together
 BUCKET_SEEDS = 1 << 20  # seeds to a hash range, about
 MAX_FILTER_BITS = 29
 HOT, MAX_HOT = 50_000, 4_000_000
+MAX_COPIES = 1_000_000  # whole copies whose ids are broadcast, 16 MB; beyond that they are joined by shuffle
 COLLECTION = 65_000  # bytes to a collection, unless one seed has more
 ROWS = 4_000  # fragments handled together in a task
 
@@ -307,37 +310,55 @@ def _hot_windows(shared):
 def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc, row, span) of removed ranges, overlapping ones included; span is start << 32 | end.
 
-    ``docs`` has columns doc, row (tells rows of one doc apart) and text.
+    ``docs`` has columns doc, row (tells rows of one doc apart) and text, none of them null.
     """
     spark = docs.sparkSession
-    known = docs.where("doc is not null and text is not null")
-    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shared = spark.sparkContext.broadcast(_filter(known.select("text"), size, hot))
-    pieces = known.select("doc", "row", "text").mapInArrow(_emit(shared), "seed long, doc long, row long, start int, piece binary")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shared = spark.sparkContext.broadcast(_filter(docs.select("text"), size, hot))
+    pieces = docs.select("doc", "row", "text").mapInArrow(_emit(shared), "seed long, doc long, row long, start int, piece binary")
     found = (pieces.repartition("seed").sortWithinPartitions("seed")
              .mapInArrow(_match, "doc long, row long, span long"))
     if len(shared.value.hot):
-        w = known.select("doc", "row", "text").mapInArrow(_hot_windows(shared), "h1 long, h2 long, doc long, row long, start long")
+        w = docs.select("doc", "row", "text").mapInArrow(_hot_windows(shared), "h1 long, h2 long, doc long, row long, start long")
         least = w.groupBy("h1", "h2").agg(F.min("doc").alias("least"))
         late = w.join(least, ["h1", "h2"]).where("least < doc")
         found = found.unionAll(late.select("doc", "row", F.shiftleft("start", 32).bitwiseOR(F.col("start") + WIDTH).alias("span")))
     return found
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+def _copies(rows: DataFrame) -> DataFrame:
+    """(doc, row, size) of texts that a document of smaller id holds as a whole, of WIDTH bytes or more.
+
+    Only hashes, ids and sizes are shuffled; the first document of a text is a partial minimum.
+    """
+    keys = rows.where(F.octet_length("text") >= WIDTH).select(
+        "doc", "row", F.unhex(F.md5("text")).alias("h"), F.octet_length("text").cast("long").alias("size"))
+    first = keys.groupBy("h").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keys.join(first, "h").where("doc > first").select("doc", "row", "size")
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT,
+                   max_broadcast: int = MAX_COPIES) -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed byte ranges: start, end), kept (remaining bytes).
 
     A null text counts as empty; a text of fewer than 50 bytes keeps all. Rows with a
     null doc_id are neither sources nor cut. Rows of one doc_id are the same document:
     none is earlier than the other. One row for each row of docs; other columns are
-    ignored. ``hot`` changes how frequent seeds are handled, not the result.
+    ignored. ``hot`` and ``max_broadcast`` change how frequent seeds and copies are
+    handled, not the result.
     """
     rows = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     ids = rows.where("doc_id is not null").groupBy("doc_id").count()
     unique = ids.where("count > 1").limit(1).count() == 0
     tell = F.lit(0).cast("long") if unique else F.xxhash64("text")
     rows = rows.select("doc_id", "text", tell.alias("row"))
-    found = repeated_ranges(rows.select(F.col("doc_id").cast("long").alias("doc"), "row", "text"), hot)
+    source = rows.select(F.col("doc_id").cast("long").alias("doc"), "row", "text").where("doc is not null and text is not null")
+    copies = Scratch(docs.sparkSession, "repeats").keep(_copies(source))
+    # Whole copies of earlier texts go altogether and add no string that is not there already.
+    ids = copies.select("doc", "row")
+    ids = F.broadcast(ids) if copies.count() <= max_broadcast else ids  # 16 bytes each; more of them are joined by shuffle
+    found = repeated_ranges(source.join(ids, ["doc", "row"], "left_anti"), hot)
+    found = found.unionAll(copies.select("doc", "row", F.col("size").alias("span")))
     spans = found.groupBy("doc", "row").agg(F.collect_list("span").alias("found"))  # of one document
     joined = rows.join(spans.withColumnRenamed("row", "r"), (F.col("doc_id").cast("long") == F.col("doc")) & (F.col("row") == F.col("r")), "left")
     schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL(
