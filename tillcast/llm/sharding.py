@@ -7,7 +7,8 @@ needs no more than the wanted number of shards; then the order is cut there.
 The order is by a 64-bit hash of the text, so a shard of small groups is a range of
 hash values. Groups of at least 1/256 of a fair share (at most 256 for each shard,
 whatever the input) are dealt to lanes beforehand and stand at the head of their
-lane, so that cuts fall between small groups.
+lane, so that cuts fall between small groups. A group of a fair share or more gets a
+shard of its own, and the search divides what is left among the other shards.
 
 The driver never sees all groups: it holds byte sums of hash ranges ("cells"). The
 greedy walk may at first cut inside a cell of several groups; such cells, and those
@@ -81,22 +82,30 @@ def shard_documents(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", t
 
 def _plan(groups: DataFrame, total: int, shards: int) -> tuple[list[int], dict[int, int]]:
     """Hash values at which shards 1.. begin for small groups, and the shard of each big group."""
-    fair = -(-total // shards)
-    least = max(1, fair // BIG)
-    big = [(r.bytes, r.h) for r in groups.where(F.col("bytes") >= least).collect()]  # at most BIG * shards
+    least = max(1, -(-total // shards) // BIG)
+    big = sorted(((r.bytes, r.h) for r in groups.where(F.col("bytes") >= least).collect()), reverse=True)  # at most BIG * shards
     small = groups.where(F.col("bytes") < least)
-    lanes = _lanes(big, total, shards)
+    alone = {}  # a group of a fair share or more has a shard of its own; the others share the rest
+    while shards > 1 and big and big[0][0] * shards >= total:
+        size, h = big.pop(0)
+        shards -= 1
+        total -= size
+        alone[h] = shards
+    lanes = _lanes(big, shards)
     cells = [(r.lo << (64 - TOP_BITS), 64 - TOP_BITS, r.bytes, r.n) for r in
              small.groupBy(F.shiftright("h", 64 - TOP_BITS).alias("lo"))
              .agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()]
     cells.sort()
-    heads = _heads(lanes, cells, total, shards)
+    heads = _heads(lanes, cells, shards)
     while True:
         seq = _sequence(cells, heads)
+        if not seq:
+            return [], alone
         capacity, cuts = _smallest(seq, shards)
         loose = _inside(seq, cuts)
         if not loose:
-            return _read_off(seq, cuts, heads)
+            cut, placed = _read_off(seq, cuts)
+            return cut, placed | alone
         wanted = sorted({i for at, k in loose for i in range(max(0, at - k), at + 1)
                          if seq[i][0] is not None and seq[i][3] > 1})
         split = {seq[i][0]: seq[i][1] for i in wanted}
@@ -123,18 +132,18 @@ def _merge(ranges):
     return out
 
 
-def _lanes(big, total, shards):
+def _lanes(big, shards):
     """Deal big groups, largest first, each to the emptiest lane."""
     heap = [(0, k) for k in range(shards)]
     lanes = [[] for _ in range(shards)]
-    for size, h in sorted(big, reverse=True):
+    for size, h in big:
         load, k = heapq.heappop(heap)
         lanes[k].append((h, size))
         heapq.heappush(heap, (load + size, k))
     return sorted(lanes, key=lambda x: -sum(s for _, s in x))
 
 
-def _heads(lanes, cells, total, shards):
+def _heads(lanes, cells, shards):
     """Before which cell each lane's big groups stand: small groups level the lanes."""
     loads = [sum(s for _, s in lane) for lane in lanes]
     rest = sum(c[2] for c in cells)
@@ -216,10 +225,9 @@ def _inside(seq, cuts):
     return out
 
 
-def _read_off(seq, cuts, heads):
+def _read_off(seq, cuts):
     """Turn byte places into hash values (small groups) and shard numbers (big groups)."""
-    bounds, big, run, shard, low = [], {}, 0, 0, None
-    pending = 0
+    bounds, big, run, shard, pending = [], {}, 0, 0, 0
     for lo, _, size, _, h in seq:
         while shard < len(cuts) and run >= cuts[shard]:
             shard += 1
