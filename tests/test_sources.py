@@ -43,3 +43,18 @@ def test_raw_csv_reader_parses_text_dates(spark):
     rows = sorted(df.collect(), key=lambda r: r.date)
     assert [str(r.date) for r in rows] == ["2010-02-05", "2010-12-31"]
     assert rows[0].weekly_sales == 24924.5 and rows[1].is_holiday is True
+
+
+def test_chain_totals_best_models_and_a_saved_pipeline(spark):
+    out = tempfile.mkdtemp(prefix="tillcast-results-", dir="/tmp")
+    q = E.queries()
+    tables.write_chain_totals(q["chain_train_totals"](spark, SMALL), q["chain_actual_vs_pred"](spark, SMALL), out)
+    assert spark.read.parquet(f"{out}/chain_train").count() > 0 and os.path.isdir(f"{out}/chain_forecast")
+    ranked = q["rank_models"](spark, SMALL)
+    tables.write_best_models(ranked, out)
+    assert spark.read.parquet(f"{out}/best_models").count() == ranked.where("is_best").count()
+    from tillcast.operators.trees import fit_predict_gbt
+    df = spark.createDataFrame([(float(i), float(2 * i)) for i in range(40)], "x double, y double")
+    made = fit_predict_gbt(df, df, ["x"], "y", max_iter=2, save_to=f"{out}/gbt")
+    again = tables.load_pipeline(f"{out}/gbt").transform(df)
+    assert [r.forecast for r in made.orderBy("x").collect()] == [r.prediction for r in again.orderBy("x").collect()]

@@ -41,6 +41,38 @@ def train_test_split(series: DataFrame, keys: list[str] = LEVEL, train_frac: flo
     return s.withColumn("split", F.when(F.col("pos") <= F.col("train_size"), "train").otherwise("test"))
 
 
+def inner_split(series: DataFrame, keys: list[str] = LEVEL, train_frac: float = 0.8) -> DataFrame:
+    """train / val / test by position: the train part is split again at ``train_frac``."""
+    s = with_positions(series, keys, train_frac)
+    s = s.withColumn("inner_size", F.floor(F.col("train_size") * F.lit(train_frac)).cast("int"))
+    return s.withColumn("split", F.when(F.col("pos") <= F.col("inner_size"), "train")
+                        .when(F.col("pos") <= F.col("train_size"), "val").otherwise("test"))
+
+
+def naive_short(series: DataFrame, horizon: int = 8, train_frac: float = 0.8, min_train: int = 52,
+                keys: list[str] = LEVEL) -> DataFrame:
+    """The last ``horizon`` train values laid over the first test weeks, for series with
+    more than ``min_train`` train weeks and a test part of ``horizon`` weeks or more."""
+    s = with_positions(series, keys, train_frac)
+    w = Window.partitionBy(*keys).orderBy("date")
+    s = s.withColumn("f", F.lag("y", horizon).over(w))
+    t = s.where((F.col("pos") > F.col("train_size")) & (F.col("pos") <= F.col("train_size") + horizon)
+                & (F.col("n") - F.col("train_size") >= horizon) & (F.col("train_size") > min_train))
+    return t.select(*keys, F.lit("naive_short").alias("model"), "date", F.col("y").alias("actual"), F.col("f").alias("forecast"))
+
+
+def apply_eligibility(fc: DataFrame, series: DataFrame, rule: str, horizon: int = 8, keys: list[str] = LEVEL) -> DataFrame:
+    """The forecast rows of series that pass ``rule``, a flag of ``eligible_series``."""
+    ok = eligible_series(series, horizon, keys).where(F.col(rule)).select(*[F.col(k).alias(f"_e_{k}") for k in keys])
+    return fc.join(ok, [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in keys], "left_semi")
+
+
+def chain_train_totals(series: DataFrame, train_frac: float = 0.8) -> DataFrame:
+    """(date, train_total): the store series' train parts summed by week."""
+    s = with_positions(series.where(F.col("level") == "store"), LEVEL, train_frac)
+    return s.where(F.col("pos") <= F.col("train_size")).groupBy("date").agg(F.sum("y").alias("train_total"))
+
+
 def naive_forecasts(series: DataFrame, horizon: int = 20, season: int = 52,
                     train_frac: float = 0.8, keys: list[str] = LEVEL) -> DataFrame:
     """Long rows (level, store, model, date, actual, forecast) over the first ``horizon``

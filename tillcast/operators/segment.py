@@ -176,6 +176,27 @@ def pca(vec: DataFrame, key: str, p: int, keep: float = 0.95) -> DataFrame:
                       F.lit(n95).alias("n_components_95"), F.lit(float(ev[0])).alias("explained_pc1"))
 
 
+def pca_space(vec: DataFrame, key: str, keep: float = 0.95) -> tuple[DataFrame, int]:
+    """(key, features) in the fewest principal components that hold ``keep`` of the variance, and their number."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    p = len(vec.first()["features"])
+    cen = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="centred").fit(vec).transform(vec)
+    model = PCA(k=p, inputCol="centred", outputCol="pcs").fit(cen)
+    share = model.explainedVariance.toArray().cumsum()
+    k = min(int((share < keep).sum()) + 1, p)
+    parts = F.slice(vector_to_array("pcs"), 1, k)
+    return model.transform(cen).select(key, array_to_vector(parts).alias("features")), k
+
+
+def cluster_box(features: DataFrame, labels: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """Box-plot numbers of every feature by cluster, long form (cluster, feature, quartiles, whiskers, outliers)."""
+    from tillcast.operators.profile import box_stats
+    long = features.join(labels.select(key, "cluster"), key).select("cluster", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])).alias("f"))
+    return box_stats(long.select("cluster", "f.feature", "f.value"), ["cluster", "feature"], "value")
+
+
 def segment_methods(vec: DataFrame, key: str, k: int = 2, seed: int = 0,
                     dbscan_input: tuple | None = None) -> DataFrame:
     """Silhouette of each clustering method on the same features.

@@ -91,7 +91,7 @@ def _log(y: Column) -> Column:
 
 
 def fourier_trend(series: DataFrame, horizon: int = 20, train_frac: float = 0.8,
-                  keys: list[str] = ("level", "store"), order: int = 3, log_target: bool = True,
+                  keys: list[str] = ("level", "store"), order: int = 3, log_target: bool = False,
                   model: str = "fourier_trend") -> DataFrame:
     """Piecewise-linear trend + yearly Fourier terms + holiday flag per series, fit on the
     train part by grouped normal equations, forecast over the first ``horizon`` test weeks.
@@ -118,7 +118,7 @@ def fourier_trend(series: DataFrame, horizon: int = 20, train_frac: float = 0.8,
 
 
 def arx_walk_forward(series: DataFrame, horizon: int = 8, train_frac: float = 0.8, season: int = 52,
-                     keys: list[str] = ("level", "store"), exog: list[str] = (), log_target: bool = True,
+                     keys: list[str] = ("level", "store"), exog: list[str] = (), log_target: bool = False,
                      model: str = "arx", val_weeks: int = 0) -> DataFrame:
     """AR(2) + seasonal lag + holiday + ``exog`` columns, refit before every step on all earlier weeks.
 

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 def fit_predict_gbt(train: DataFrame, test: DataFrame, features: list[str], label: str,
                     max_iter: int = 20, max_depth: int = 5, step: float = 0.1, seed: int = 42,
-                    log_target: bool = False) -> DataFrame:
+                    log_target: bool = False, save_to: str | None = None) -> DataFrame:
     """Fit ``GBTRegressor`` on ``train`` and return ``test`` with a ``forecast`` column.
 
-    ``log_target`` fits on log1p(max(y, 0)) and maps predictions back with expm1.
+    ``log_target`` fits on log1p(max(y, 0)) and maps predictions back with expm1;
+    ``save_to`` writes the fitted pipeline.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
@@ -24,6 +25,9 @@ def fit_predict_gbt(train: DataFrame, test: DataFrame, features: list[str], labe
         GBTRegressor(featuresCol="features", labelCol="_target", maxIter=max_iter, maxDepth=max_depth,
                      stepSize=step, seed=seed)])
     model = pipe.fit(tr)
+    if save_to:
+        from tillcast.sources.tables import save_model
+        save_model(model, save_to)
     out = model.transform(test)
     pred = F.expm1("prediction") if log_target else F.col("prediction")
     return out.withColumn("forecast", pred).drop("features", "prediction")
@@ -36,7 +40,7 @@ def global_gbt(gf: DataFrame, horizon_weeks: int = 20, **kw) -> DataFrame:
     cut = last - dt.timedelta(weeks=horizon_weeks)
     feats = ["store_code", "dept_code", "is_holiday", "fuel_price", "cpi", "unemployment", "size",
              "weekofyear", "month", "year"]
-    gf = gf.fillna(0.0, subset=["cpi", "unemployment", "fuel_price", "size"])
+    gf = gf.dropna(subset=["cpi", "unemployment", "fuel_price", "size"])
     out = fit_predict_gbt(gf.where(F.col("date") <= cut), gf.where(F.col("date") > cut), feats,
                           "weekly_sales", **kw)
     return out.select("store", "dept", "date", F.col("weekly_sales").alias("actual"), "forecast")

@@ -167,3 +167,26 @@ def lof_blocked(spark, sf_dir):
 def stl_decompose(spark, sf_dir):
     from tillcast.operators.stl import stl_decompose as stl
     return stl(Views(spark, sf_dir).prepared)
+
+
+@register("detector_rates")
+def detector_rates(spark, sf_dir):
+    """Percent of weeks flagged by each of the four detectors."""
+    from tillcast.operators.iforest import isolation_forest as iforest
+    from tillcast.operators.lof import lof_blocked as lof
+    v = Views(spark, sf_dir)
+    keys = ["store", "dept", "date"]
+    g, cols = detector_features(v)
+    g = written(g)
+    forest = iforest(g, keys, cols, n_trees=100, psi=256, contamination=0.002).select(*keys, "if_anomaly")
+    near = lof(g, ["store", "dept"], "date", LOF_FEATURES[:2], k=40, contamination=0.005).select(*keys, "lof_anomaly")
+    flags = v.cleaned.select(*keys, "rolling_anomaly", "stk_anomaly").join(forest, keys).join(near, keys)
+    out = anomaly.flag_rates(flags, ["rolling_anomaly", "stk_anomaly", "if_anomaly", "lof_anomaly"])
+    return out.select("detector", r4("percent").alias("percent"))
+
+
+@register("stl_cleaned")
+def stl_cleaned(spark, sf_dir):
+    """Sales repaired with STL in place of the moving-average decomposition."""
+    return anomaly.clean_sales(Views(spark, sf_dir).prepared, decomposition="stl").select(
+        "store", "dept", "date", "weekly_sales", "rolling_anomaly", "stk_anomaly", "final_anomaly", "weekly_sales_cleaned")

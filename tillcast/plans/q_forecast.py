@@ -10,6 +10,7 @@ from tillcast.operators import evaluate as EV
 from tillcast.operators import forecast as FC
 from tillcast.plans.registry import Views, register
 from tillcast.plans.sqlbase import with_cleaned, with_views
+from tillcast.session import written
 
 HORIZON = 20
 # The stores drawn side by side by the comparison query.
@@ -419,22 +420,89 @@ def forecast_results(spark, sf_dir):
     return out.join(m, on, "left").drop("m_level", "m_store", "m_model")
 
 
+EXOG = ["total_markdown"]
+
+
+def _with_markdown(spark, sf_dir):
+    """Level series with the mean markdown of the week (of the store, or of the chain)."""
+    p = Views(spark, sf_dir).prepared
+    store = p.groupBy("store", "date").agg(F.avg("total_markdown").alias("total_markdown"))
+    chain = p.groupBy("date").agg(F.avg("total_markdown").alias("total_markdown"))
+    x = store.select(F.lit("store").alias("level"), "store", "date", "total_markdown").unionByName(
+        chain.select(F.lit("chain").alias("level"), F.lit(None).cast("int").alias("store"), "date", "total_markdown"))
+    x = x.select(F.col("level").alias("xl"), F.col("store").alias("xs"), F.col("date").alias("xd"), "total_markdown")
+    s = _series(spark, sf_dir)
+    on = (F.col("level") == F.col("xl")) & F.col("store").eqNullSafe(F.col("xs")) & (F.col("date") == F.col("xd"))
+    return s.join(x, on, "left").drop("xl", "xs", "xd")
+
+
 @register("fourier_trend")
 def fourier_trend(spark, sf_dir):
     from tillcast.operators.solve import fourier_trend as ft
-    return ft(_series(spark, sf_dir), HORIZON)
+    return ft(_series(spark, sf_dir), HORIZON, log_target=True)
 
 
 @register("arx_walk_forward")
 def arx_walk_forward(spark, sf_dir):
     from tillcast.operators.solve import arx_walk_forward as arx
-    return arx(_series(spark, sf_dir), horizon=8)
+    return arx(_with_markdown(spark, sf_dir), horizon=8, exog=EXOG, log_target=True)
 
 
 @register("grid_search_arx")
 def grid_search_arx(spark, sf_dir):
     from tillcast.operators.solve import grid_search_arx as gs
-    return gs(_series(spark, sf_dir))
+    return gs(written(_with_markdown(spark, sf_dir)), exog=EXOG)
+
+
+def _all_models(spark, sf_dir):
+    """Forecast rows of every model over the same test weeks, ineligible series left out."""
+    from tillcast.operators.solve import arx_walk_forward as arx, fourier_trend as ft
+    from tillcast.operators.trees import pooled_series_gbt
+    s = written(_with_markdown(spark, sf_dir))
+    y = s.drop(*EXOG)
+    parts = [FC.naive_forecasts(y, HORIZON),
+             FC.apply_eligibility(ft(y, HORIZON, log_target=True), y, "enough_weeks", HORIZON),
+             FC.apply_eligibility(arx(s, horizon=HORIZON, exog=EXOG, log_target=True), y, "arx_ok", HORIZON),
+             FC.apply_eligibility(pooled_series_gbt(FC.long_features(y), LONG_COLS + ["weekofyear", "month", "year"], "gbt_long",
+                                                    horizon=HORIZON, log_target=True), y, "split_ok", HORIZON)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return written(out)
+
+
+@register("model_ranking")
+def model_ranking(spark, sf_dir):
+    """Naive, Fourier, ARX and boosted trees ranked together in every series."""
+    return _mcols(EV.results_with_best(EV.forecast_metrics(_all_models(spark, sf_dir))))
+
+
+@register("model_winners")
+def model_winners(spark, sf_dir):
+    """How many stores each model wins."""
+    return EV.best_by_store(EV.forecast_metrics(_all_models(spark, sf_dir))).groupBy("model").agg(F.count(F.lit(1)).alias("wins"))
+
+
+@register("inner_split", WF + """
+select level, store, date, pos, train_size, cast(floor(train_size * 8e-1) as integer) as inner_size,
+       case when pos <= floor(train_size * 8e-1) then 'train' when pos <= train_size then 'val' else 'test' end as split
+from pos""")
+def inner_split(spark, sf_dir):
+    return FC.inner_split(_series(spark, sf_dir)).select("level", "store", "date", "pos", "train_size", "inner_size", "split")
+
+
+@register("naive_short", WF + """
+, w8 as (select *, lag(y, 8) over (partition by level, store order by date) as f from pos)
+select level, store, 'naive_short' as model, date, r4(y) as actual, r4(f) as forecast from w8
+where pos > train_size and pos <= train_size + 8 and n - train_size >= 8 and train_size > 52""")
+def naive_short(spark, sf_dir):
+    return _fc_cols(FC.naive_short(_series(spark, sf_dir)))
+
+
+@register("chain_train_totals", WF + """
+select date, r4(sum(y)) as train_total from pos where level = 'store' and pos <= train_size group by date""")
+def chain_train_totals(spark, sf_dir):
+    return FC.chain_train_totals(_series(spark, sf_dir)).select("date", r4("train_total").alias("train_total"))
 
 
 @register("parse_forecast_text", WF + """

@@ -219,10 +219,26 @@ def hierarchical(spark, sf_dir):
 def segment_methods(spark, sf_dir):
     from tillcast.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
+    from pyspark.ml.functions import vector_to_array
     pts, cols = _scaled_store_features(spark, sf_dir)
-    pts = pts.checkpoint()  # one small table (a row per store) feeds every method
-    vec = written(S.assemble(pts, "store", cols))
-    return S.segment_methods(vec, "store", 2, dbscan_input=(pts, cols, 0.3, 7))
+    # every method sees the components that hold 95 % of the variance (a row per store)
+    vec, k = S.pca_space(written(S.assemble(pts, "store", cols)), "store")
+    vec = written(vec)
+    axes = [f"pc{i}" for i in range(k)]
+    pts = vec.select("store", *[vector_to_array("features")[i].alias(c) for i, c in enumerate(axes)])
+    return S.segment_methods(vec, "store", 2, dbscan_input=(pts, axes, 0.3, 7))
+
+
+@register("cluster_box")
+def cluster_box(spark, sf_dir):
+    """Box numbers of the store features by k-means cluster."""
+    v = Views(spark, sf_dir)
+    feats = written(S.store_features(v.cleaned, v.stores))
+    scaled = S.log_minmax(feats, "store", S.STORE_FEATURES)
+    vec = written(S.assemble(scaled, "store", [f"{c}_scaled" for c in S.STORE_FEATURES]))
+    out = S.cluster_box(feats, S.kmeans_segments(vec, "store", 2), "store", S.STORE_FEATURES)
+    return out.select("cluster", "feature", *[r4(c).alias(c) for c in ("q1", "median", "q3", "lower_whisker", "upper_whisker")],
+                      "n_outliers", "n")
 
 
 @register("vif")

@@ -50,8 +50,7 @@ def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     df = df.toDF(*[c.lower() for c in df.columns])
     if "date" in df.columns:
         df = df.withColumn("date", parse_dmy("date"))
-    return (df.withColumnRenamed("weekly_sales", "weekly_sales")
-              .withColumnRenamed("isholiday", "is_holiday"))
+    return df.withColumnRenamed("isholiday", "is_holiday")
 
 
 def write_layer(df: DataFrame, path: str, partition_by: list[str] | None = None,
@@ -63,14 +62,6 @@ def write_layer(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w.parquet(path)
 
 
-def with_default_columns(df: DataFrame, columns: list[str], value: float = 0.0) -> DataFrame:
-    """Create any missing exogenous column as a constant (schema tolerance)."""
-    for c in columns:
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(value).cast("double"))
-    return df
-
-
 def write_rules(rules: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Rule table (antecedents/consequents as ', '-joined text, metrics as doubles)."""
     rules.write.mode(mode).parquet(path)
@@ -82,6 +73,23 @@ def write_forecasts(forecasts: DataFrame, metrics: DataFrame, path: str, mode: s
     metrics.write.mode(mode).parquet(f"{path.rstrip('/')}/metrics")
 
 
+def write_chain_totals(train: DataFrame, actual_vs_pred: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Chain train totals by week and chain actual against predicted by model and week."""
+    train.write.mode(mode).parquet(f"{path.rstrip('/')}/chain_train")
+    actual_vs_pred.write.mode(mode).partitionBy("model").parquet(f"{path.rstrip('/')}/chain_forecast")
+
+
+def write_best_models(ranked: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One row a series: its best model with metrics (``ranked`` holds is_best)."""
+    ranked.where("is_best").select("level", "store", "model", "rmse", "r2").write.mode(mode).parquet(f"{path.rstrip('/')}/best_models")
+
+
+def load_pipeline(path: str):
+    """A fitted MLlib pipeline written by ``save_model``."""
+    from pyspark.ml import PipelineModel
+    return PipelineModel.load(path)
+
+
 def save_model(model, path: str) -> None:
     """Persist a fitted MLlib model or pipeline (replaces pickled estimators)."""
     model.write().overwrite().save(path)
