@@ -10,7 +10,8 @@ A byte goes if a 50-byte string covers it that also starts in a document of smal
    more than one document holds. It is only a filter: the fewer bits a seed gets at
    scale, the more fragments travel, with the same result.
 2. The neighbouring windows of one seed form a fragment of at most 84 bytes. Fragments
-   of marked seeds are partitioned by seed, so equal windows meet in one task.
+   of marked seeds are partitioned by seed, so equal windows meet in one task; equal
+   fragments of a task travel as one row with all their places.
 3. There, distinct fragments form a collection; its Burrows-Wheeler transform and
    common prefixes are built column by column (``bwt``), and neighbouring suffixes that
    share 50 bytes are one class of equal windows. Each class has a first document.
@@ -41,7 +42,9 @@ MAX_FILTER_BITS = 29
 HOT, MAX_HOT = 50_000, 4_000_000
 MAX_COPIES = 1_000_000  # whole copies whose ids are broadcast, 16 MB; beyond that they are joined by shuffle
 COLLECTION = 65_000  # bytes to a collection, unless one seed has more
-ROWS = 4_000  # fragments handled together in a task
+ROWS = 4_000  # rows of pieces handled together in a task
+PENDING = 100_000  # fragments a task gathers to send equal pieces once
+WHO = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<i4")])
 
 _BYTES = words.mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -188,10 +191,30 @@ def _filter(texts: DataFrame, size: int, hot: int) -> Filter:
 
 
 def _emit(shared):
-    """Rows (seed, doc, row, start, piece) of the marked fragments."""
+    """Rows (seed, piece, who) of the marked fragments.
+
+    A task sends a piece once for every PENDING fragments, with all its places (WHO).
+    """
     def run(batches):
         marks = shared.value
+        number: dict[tuple[int, bytes], int] = {}
+        which: list[int] = []
+        who: list[np.ndarray] = []
+
+        def flush():
+            order = np.argsort(np.array(which), kind="stable")
+            places = np.concatenate(who)[order].tobytes()
+            to = np.cumsum(np.bincount(which)) * WHO.itemsize
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([s for s, _ in number], pa.int64()), pa.array([p for _, p in number], pa.binary()),
+                 pa.array([places[a:b] for a, b in zip([0, *to], to)], pa.binary())], names=["seed", "piece", "who"])
+            number.clear()
+            which.clear()
+            who.clear()
+            return out
+
         for batch in batches:
+            docs, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for c in text_chunks(batch.column(2)):
                 f = Fragments(c)
                 keep = np.flatnonzero(marks.shared(f.seed))
@@ -199,13 +222,16 @@ def _emit(shared):
                 if not len(keep):
                     continue
                 start, size, text = f.start[keep], f.windows[keep] + WIDTH - 1, f.text[keep]
-                to = np.concatenate(([0], np.cumsum(size)))
-                raw = c.data[np.arange(to[-1]) + np.repeat(start - to[:-1], size)]
-                piece = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(raw)])
-                rows = pa.array(c.start + text)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(f.seed[keep].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows),
-                     pa.array((start - c.offsets[text]).astype(np.int32)), piece], names=["seed", "doc", "row", "start", "piece"])
+                raw = c.data.tobytes()
+                which += [number.setdefault((s, raw[a:b]), len(number)) for s, a, b in
+                          zip(f.seed[keep].view(np.int64).tolist(), start.tolist(), (start + size).tolist())]
+                place = np.empty(len(keep), WHO)
+                place["doc"], place["row"], place["start"] = docs[c.start + text], rows[c.start + text], start - c.offsets[text]
+                who.append(place)
+                if len(which) >= PENDING:
+                    yield flush()
+        if which:
+            yield flush()
     return run
 
 
@@ -217,7 +243,7 @@ def _match(batches):
         held.append(batch)
         have += batch.num_rows
         if have >= ROWS:
-            table = pa.Table.from_batches(held).combine_chunks()
+            table = pa.Table.from_batches(held)
             seed = table.column("seed").to_numpy()
             cut = int(np.searchsorted(seed, seed[-1]))  # the last seed may go on
             if cut:
@@ -226,20 +252,29 @@ def _match(batches):
             else:
                 held = table.to_batches()
     if have:
-        yield from _ranges(pa.Table.from_batches(held).combine_chunks())
+        yield from _ranges(pa.Table.from_batches(held))
 
 
 def _ranges(table: pa.Table):
-    seed, doc = table.column("seed").to_numpy(), table.column("doc").to_numpy()
+    seed = table.column("seed").to_numpy()
     first = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))
     group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(seed))))
-    several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+    lists = table.column("who").to_pylist()
+    places = np.frombuffer(b"".join(lists), WHO)
+    length = np.array([len(x) for x in lists]) // WHO.itemsize
+    at = np.cumsum(length) - length  # first place of each row
+    low, high = np.minimum.reduceat(places["doc"], at), np.maximum.reduceat(places["doc"], at)
+    several = np.minimum.reduceat(low, first) < np.maximum.reduceat(high, first)
     rows = np.flatnonzero(several[group])
     if not len(rows):
         return
-    doc, group, table = doc[rows], group[rows], table.take(pa.array(rows))
+    pieces = table.column("piece").take(pa.array(rows)).to_pylist()
     number: dict[tuple[int, bytes], int] = {}
-    which = np.array([number.setdefault(x, len(number)) for x in zip(group.tolist(), table.column("piece").to_pylist())])
+    which = np.array([number.setdefault(x, len(number)) for x in zip(group[rows].tolist(), pieces)])
+    length = length[rows]
+    which = np.repeat(which, length)
+    places = places[np.repeat(at[rows] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
+    doc = places["doc"]
     least = np.full(len(number), np.iinfo(np.int64).max)
     np.minimum.at(least, which, doc)
     pieces = [p for _, p in number]
@@ -278,10 +313,9 @@ def _ranges(table: pa.Table):
     if not len(opens):
         return
     row = np.searchsorted(to, opens, "right") - 1
-    start = table.column("start").to_numpy()[row].astype(np.int64)
-    out = table.select(["doc", "row"]).take(pa.array(row))
+    start = places["start"][row].astype(np.int64)
     span = ((start + place[opens]) << 32) | (start + place[closes] + WIDTH)
-    yield pa.RecordBatch.from_arrays([out.column("doc").combine_chunks(), out.column("row").combine_chunks(), pa.array(span)],
+    yield pa.RecordBatch.from_arrays([pa.array(doc[row].astype(np.int64)), pa.array(places["row"][row].astype(np.int64)), pa.array(span)],
                                      names=["doc", "row", "span"])
 
 
@@ -315,7 +349,7 @@ def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shared = spark.sparkContext.broadcast(_filter(docs.select("text"), size, hot))
-    pieces = docs.select("doc", "row", "text").mapInArrow(_emit(shared), "seed long, doc long, row long, start int, piece binary")
+    pieces = docs.select("doc", "row", "text").mapInArrow(_emit(shared), "seed long, piece binary, who binary")
     found = (pieces.repartition("seed").sortWithinPartitions("seed")
              .mapInArrow(_match, "doc long, row long, span long"))
     if len(shared.value.hot):
