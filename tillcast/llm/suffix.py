@@ -97,7 +97,7 @@ class Fragments:
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         self.start = np.repeat(edge, parts) + nth * SPAN
         self.windows = np.minimum(np.repeat(run, parts) - nth * SPAN, SPAN)
-        self.seed = least[self.start]
+        self.seed = words.mix(least[self.start])  # least values crowd at the low end; spread them again
         self.text = np.searchsorted(chunk.offsets, self.start, "right") - 1
 
 
