@@ -56,10 +56,10 @@ def group_mean_ratios(df: DataFrame, value: str = "weekly_sales") -> DataFrame:
 
 def frequency_encode(df: DataFrame, cols: list[str]) -> DataFrame:
     """Row count of each value of each column, attached to every row."""
+    cell = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))  # one pass; each column is rolled up from it
     out = df
     for c in cols:
-        counts = df.groupBy(c).agg(F.count(F.lit(1)).alias(f"{c}_id_freq"))
-        out = out.join(counts, c, "left")
+        out = out.join(cell.groupBy(c).agg(F.sum("_n").alias(f"{c}_id_freq")), c, "left")
     return out
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tillcast.functions.numeric import r4, snap8
 from tillcast.operators import anomaly
 from tillcast.plans.registry import Views, register
-from tillcast.plans.sqlbase import with_views
+from tillcast.plans.sqlbase import sales_cte, with_views
 from tillcast.session import written
 
 ROLLING_SQL = with_views() + """
@@ -27,6 +27,15 @@ def rolling_zscore(spark, sf_dir):
     return out.select("store", "dept", "date", "weekly_sales",
                       r4("rolling_zscore").alias("rolling_zscore"), "rolling_anomaly")
 
+
+
+@register("rolling_zscore_by_supplier", ROLLING_SQL.replace(with_views(), "with " + sales_cte("p_brand", store="s_suppkey")))
+def rolling_zscore_by_supplier(spark, sf_dir):
+    """The flagship over supplier and brand, whose number of series grows with the data."""
+    out = anomaly.rolling_zscore(Views(spark, sf_dir).supplier_sales)
+    return out.select("store", "dept", "date", "weekly_sales",
+                      r4("rolling_zscore").alias("rolling_zscore"), "rolling_anomaly")
+
 from tillcast.plans.sqlbase import with_cleaned  # noqa: E402
 
 
@@ -108,7 +117,7 @@ LOF_FEATURES = ["sales_vs_dept_scaled", "sales_vs_store_transformed_scaled", "de
 
 def _lof_sql() -> str:
     from tillcast.plans.q_features import GM_CTE
-    from tillcast.plans.sqlbase import with_views
+    from tillcast.plans.sqlbase import sales_cte, with_views
     f = LOF_FEATURES
     dist = " + ".join(f"power(a.{c} - b.{c}, 2)" for c in f)
     return with_views(GM_CTE, """tr as (select *, case when sales_vs_store > 0 then ln(1 + sales_vs_store) else 1e0 end

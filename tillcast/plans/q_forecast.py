@@ -203,8 +203,8 @@ from fc f join chosen c on c.store = f.store and f.model = c.best_model
 where f.level = 'store' and f.store in ({', '.join(map(str, COMPARE))})""")
 def compare_stores(spark, sf_dir):
     v = Views(spark, sf_dir)
-    s = _series(spark, sf_dir)
-    fc = FC.naive_forecasts(s, HORIZON)
+    s = written(_series(spark, sf_dir))
+    fc = written(FC.naive_forecasts(s, HORIZON))
     out = EV.compare_stores(s, fc, EV.forecast_metrics(fc), v.stores, COMPARE)
     return out.select("store", "date", "kind", r4("value").alias("value"), "best_model",
                       r4("best_rmse").alias("best_rmse"), "type")

@@ -69,8 +69,8 @@ class Views:
         return fixtures.sales(self.spark, self.sf_dir)
 
     @cached_property
-    def brand_sales(self) -> DataFrame:
-        return fixtures.sales(self.spark, self.sf_dir, dept_col="p_brand")
+    def supplier_sales(self) -> DataFrame:
+        return fixtures.sales(self.spark, self.sf_dir, dept_col="p_brand", store_col="s_suppkey")
 
     @cached_property
     def stores(self) -> DataFrame:

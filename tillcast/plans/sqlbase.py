@@ -13,10 +13,10 @@ def fri(x: str) -> str:
     return f"({d} + cast((5 - isodow({d}) + 7) % 7 as integer))"
 
 
-def sales_cte(dept: str = "p_type", name: str = "sales") -> str:
+def sales_cte(dept: str = "p_type", name: str = "sales", store: str = "s_nationkey") -> str:
     return f"""{name} as (
   select store, dept, date, weekly_sales, weekofyear(date) in (6, 36, 47, 52) as is_holiday from (
-    select s.s_nationkey as store, p.{dept} as dept, {fri('l.l_shipdate')} as date,
+    select s.{store} as store, p.{dept} as dept, {fri('l.l_shipdate')} as date,
            cast(sum(case when l.l_returnflag = 'R' then -cast(l.l_extendedprice as decimal(18,2))
                          else cast(l.l_extendedprice as decimal(18,2)) end) as double) as weekly_sales
     from lineitem l join supplier s on s.s_suppkey = l.l_suppkey

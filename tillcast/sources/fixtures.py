@@ -16,19 +16,21 @@ from tillcast.functions.numeric import TWO_PI, money
 from tillcast.sources.tables import read_table
 
 
-def sales(spark: SparkSession, sf_dir: str, dept_col: str = "p_type") -> DataFrame:
-    """(store int, dept string, date date, weekly_sales double, is_holiday boolean)."""
+def sales(spark: SparkSession, sf_dir: str, dept_col: str = "p_type", store_col: str = "s_nationkey") -> DataFrame:
+    """(store int, dept string, date date, weekly_sales double, is_holiday boolean).
+
+    With ``store_col`` s_suppkey and ``dept_col`` p_brand the number of series grows with the data.
+    """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_partkey", "l_shipdate", "l_returnflag", "l_extendedprice")
-    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", F.col(store_col).alias("store"))
     part = read_table(spark, sf_dir, "part").select("p_partkey", F.col(dept_col).alias("dept"))
     price = money("l_extendedprice")
     signed = F.when(F.col("l_returnflag") == "R", -price).otherwise(price)
     return (
         li.join(sup, li.l_suppkey == sup.s_suppkey)
         .join(part, li.l_partkey == part.p_partkey)
-        .groupBy(F.col("s_nationkey").alias("store"), "dept",
-                 week_ending_friday("l_shipdate").alias("date"))
+        .groupBy("store", "dept", week_ending_friday("l_shipdate").alias("date"))
         .agg(F.sum(signed).cast("double").alias("weekly_sales"))
         .withColumn("is_holiday", is_holiday_week("date"))
     )
