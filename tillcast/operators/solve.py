@@ -47,7 +47,7 @@ def _solve_batch(m: np.ndarray, p: int, ridge: float) -> np.ndarray:
         d = np.sqrt(np.einsum("nii->ni", a))
         d = np.where(d > 0, d, 1.0)
         a = a / d[:, :, None] / d[:, None, :] + ridge * np.eye(p)[None]
-        out[ok] = np.einsum("nij,nj->ni", np.linalg.pinv(a, rcond=1e-13, hermitian=True), b / d) / d
+        out[ok] = np.einsum("nij,nj->ni", np.linalg.pinv(a, rcond=1e-10, hermitian=True), b / d) / d
     return out
 
 
