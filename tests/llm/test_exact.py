@@ -180,10 +180,11 @@ def test_simhash_query(spark, monkeypatch, bucket, segments):
 def test_simhash_edge(edge, nothing):
     assert sorted(str(tuple(r)) for r in simhash.near_duplicates(edge).collect()) == components(edges(edge))
     assert simhash.near_duplicates(nothing).count() == 0
-    kept = simhash.keep_one(edge)
-    assert kept.columns == edge.columns
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert ids.count(None) == 1 and ids.count(8) == 1 and 9 not in ids
+    for limit in (1000, 0):
+        kept = simhash.keep_one(edge, max_broadcast=limit)
+        assert kept.columns == edge.columns
+        ids = [r.doc_id for r in kept.select("doc_id").collect()]
+        assert ids.count(None) == 1 and ids.count(8) == 1 and 9 not in ids
 
 
 @pytest.mark.parametrize("bucket", [64, 2])

@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillcast.operators.components import connected_components
 
-from .common import Chunk, Scratch, col, read, with_text_columns
+from .common import Chunk, Scratch, col, fresh, read, with_text_columns
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 2, 3, 42
 BUCKET = 64
+MAX_GONE = 1_000_000  # ids to take out that are broadcast, 8 MB; beyond that they are joined by shuffle
 BLOCK = 1 << 16  # shingles hashed at once
 
 
@@ -126,16 +127,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each component the row of the smallest doc_id, once; columns are those of docs."""
-    found = near_duplicates(docs, doc_id, text)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep"))
-    kept = Scratch(docs.sparkSession, "simhash").keep(kept)
-    unique = kept.distinct()
-    out = docs.join(unique, col(doc_id) == F.col("__keep"), "left_semi")
-    if kept.count() == unique.count():
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_broadcast: int = MAX_GONE) -> DataFrame:
+    """Of each component the row of the smallest doc_id, once; columns are those of docs.
+
+    Rows without a doc_id cannot be told apart and all stay. ``max_broadcast`` changes
+    how rows are taken out, not which.
+    """
+    name = fresh(docs, "__gone")
+    found = near_duplicates(docs.where(col(doc_id).isNotNull()), doc_id, text)
+    ids = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    ids = Scratch(docs.sparkSession, "simhash").keep(ids)
+    gone = ids.where(~F.col("stays")).select(F.col("doc_id").alias(name))
+    if gone.count() <= max_broadcast:  # 8 bytes each; more are joined by shuffle
+        gone = F.broadcast(gone)
+    out = docs.join(gone, col(doc_id) == F.col(name), "left_anti")
+    if ids.where(F.col("stays") & (F.col("n") > 1)).limit(1).count() == 0:
         return out
-    return out.dropDuplicates([doc_id])
+    # ids that repeat: one row each, those without an id aside
+    known = out.where(col(doc_id).isNotNull()).dropDuplicates([doc_id])
+    return known.unionByName(out.where(col(doc_id).isNull()))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
