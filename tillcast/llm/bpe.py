@@ -23,10 +23,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import Chunk, col, read, with_text_columns
+from .common import Chunk, col, read, small_batches, with_text_columns
 
 CACHE = 1 << 17  # pieces remembered in a task; beyond it the cache starts anew
 SIDE = 64  # pieces of up to so many bytes are merged side by side
+IDS = 1 << 17  # ids decoded at once
 LONG = 256  # pieces of more bytes are merged with a heap
 
 # Code point classes
@@ -136,7 +137,7 @@ class Pairs:
                      for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
         keys = np.array([k for k, _ in got], np.int64)
         self.none = np.int32(max(ranks.values()) + 1)
-        bits = 21
+        bits = 18
         while True:  # a few keys share a slot
             self.shift = np.uint64(64 - bits)
             slot = self._slot(keys)
@@ -336,6 +337,7 @@ def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     kept = [c for c in tokens.columns if c not in ("decoded", "ids_le")]
     src = tokens.select(*[col(c) for c in kept])
     at = kept.index(ids)
+    small_batches(tokens.sparkSession)
     schema = T.StructType([*src.schema.fields, T.StructField("decoded", T.BinaryType()), T.StructField("ids_le", T.BinaryType())])
 
     def run(batches):
@@ -351,14 +353,13 @@ def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
             lists = batch.column(at)
             n = len(lists)
             lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             cuts = np.concatenate(([0], np.cumsum(lengths)))
             done = 0
-            while done < n:  # about 2 MB of ids at once
-                stop = int(np.searchsorted(cuts, cuts[done] + (1 << 18), "right")) - 1
+            while done < n:
+                stop = int(np.searchsorted(cuts, cuts[done] + IDS, "right")) - 1
                 stop = min(n, max(stop, done + 1))
-                own = flat[cuts[done]:cuts[stop]]
-                if len(own) and not known[own].all():
+                own = lists.slice(done, stop - done).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                if len(own) and (own.min() < 0 or own.max() >= len(known) or not known[own].all()):
                     raise ValueError("an id is not in the vocabulary")
                 width = size[own]
                 to = np.cumsum(width)

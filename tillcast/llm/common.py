@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tillcast.session import ensure_checkpoint_dir
 
-CHUNK_BYTES = 1 << 20  # text handled at once inside a task; a longer document is a chunk of its own
+CHUNK_BYTES = 1 << 18  # text handled at once inside a task; a longer document is a chunk of its own
 
 
 def col(name: str) -> Column:
@@ -21,6 +21,23 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows of whole texts go to Python 1,000 at a time, unless the session says otherwise.
+
+    The default of 10,000 rows holds tens of MB for each task on either side.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -63,10 +80,6 @@ class Chunk:
     def __len__(self) -> int:
         return self.stop - self.start
 
-    def texts(self) -> list[str]:
-        raw, o = self.data.tobytes(), self.offsets.tolist()
-        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(o, o[1:])]
-
     def chars(self) -> tuple[str, np.ndarray]:
         """All texts as one string, and where each starts in it (n + 1 places)."""
         whole = self.data.tobytes().decode("utf-8")
@@ -109,6 +122,7 @@ def with_text_columns(df: DataFrame, text: str, schema: str | T.StructType,
     src = df.select(*[col(c) for c in kept], *([col(text)] if hidden else []))
     at = (kept + [text]).index(text)
     out = T.StructType([df.schema[c] for c in kept] + new.fields)
+    small_batches(df.sparkSession)
     n_kept = len(kept)
 
     def run(batches):

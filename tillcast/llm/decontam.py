@@ -17,16 +17,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import words
-from .common import Chunk, col, read, with_text_columns
+from .common import Chunk, col, fresh, read, with_text_columns
 
 K1, B = 1.2, 0.75
 SHINGLE, OVERLAP = 5, 0.8
 BLOCK = 8  # items to a block of postings
 SHARD_ITEMS, SHARD_BYTES = 4096, 4 << 20  # an index holds at most about so many items and bytes of text
-LEAK = "array<struct<item_id:bigint,score:double,threshold:double,overlap:double,question:double,answer:double>>"
+LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType())] + [
+    T.StructField(c, T.DoubleType()) for c in ("score", "threshold", "overlap", "question", "answer")]))
 
 
 def answer_start(text: str) -> int:
@@ -60,7 +61,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         raw = [t.encode() for _, t in items]
         offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-        w = words.Words(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        w = words.Words(np.frombuffer(b"".join(raw) or b" ", np.uint8)[:offsets[-1]], offsets)
         n = len(items)
         own = [w.hash[a:b] for a, b in zip(w.first, w.first[1:])]
         self.ids = [i for i, _ in items]
@@ -79,7 +80,7 @@ class Index:
         term, item = key // n, key % n  # postings, by term then item
         df = np.bincount(term, minlength=len(self.terms))
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / max(length.mean(), 1e-9))
+        norm = K1 * (1 - B + B * length / max(length.mean() if n else 0, 1e-9))
         impact = idf[term] * tf * (K1 + 1) / (tf + norm[item])
         self.threshold = np.zeros(n)
         for i in range(n):
@@ -176,12 +177,13 @@ def _expand(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return owner, np.arange(len(owner)) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with ``leaks``: the items found in each text, with score and overlaps.
+def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+               name: str = "leaks") -> DataFrame:
+    """docs with column ``name``: the items found in each text, with score and overlaps.
 
     Words are runs of letters and digits in lower case. An item without words is never
     found; one of fewer than five words is one shingle. A null or empty text has no
-    leaks. Repeated items are found each. A column of docs named leaks is replaced;
+    leaks. Repeated items are found each. A column of docs called ``name`` is replaced;
     every row is kept. Items go out in shards of bounded size, one index at a time.
     """
     spark = docs.sparkSession
@@ -189,13 +191,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
         col(item_id).cast("long").alias("i"), col(item_text).alias("t"))
     n, size = test.agg(F.count(F.lit(1)), F.sum(F.octet_length("t"))).first()
     shards = max(-(-n // SHARD_ITEMS), -(-(size or 0) // SHARD_BYTES), 1)
-    out = docs.drop("leaks")
+    out = docs.select(*[col(c) for c in docs.columns if c != name])
+    parts = [fresh(docs, f"__leaks{k}") for k in range(shards)]
     for k in range(shards):
         part = test.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k) if shards > 1 else test
         index = Index([(r.i, r.t) for r in part.orderBy("i", "t").collect()])
-        out = _search(spark, out, index, text, f"__leaks{k}")
-    found = F.concat(*[F.col(f"__leaks{k}") for k in range(shards)])
-    return out.select(*[col(c) for c in docs.columns if c != "leaks"], found.alias("leaks"))
+        out = _search(spark, out, index, text, parts[k])
+    return out.select(*[col(c) for c in docs.columns if c != name], F.concat(*parts).alias(name))
 
 
 def _search(spark: SparkSession, docs: DataFrame, index: Index, text: str, name: str) -> DataFrame:
@@ -213,7 +215,7 @@ def _search(spark: SparkSession, docs: DataFrame, index: Index, text: str, name:
             return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(rows, kind))]
         return run
 
-    return with_text_columns(docs, text, f"{name} {LEAK}", maker)
+    return with_text_columns(docs, text, T.StructType([T.StructField(name, LEAK)]), maker)
 
 
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

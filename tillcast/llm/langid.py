@@ -11,7 +11,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import words
 from .common import Chunk, bounded_sample, col, crc_mod, read, text_chunks, with_text_columns
@@ -107,12 +107,13 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", alpha: f
     return labels, logp, np.log(docs / docs.sum()) if len(labels) else np.zeros(0)
 
 
-def identify(spark: SparkSession, docs: DataFrame, model, text: str = "text") -> DataFrame:
-    """docs with ``lang_pred`` and ``score`` (posterior probability, 0 to 1).
+def identify(spark: SparkSession, docs: DataFrame, model, text: str = "text",
+             names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language and its posterior probability (0 to 1), called by ``names``.
 
     ``und`` with score 0 if the text is null, empty or without a letter, and if the
     model knows no label. Equal posteriors go to the label that sorts first. Columns
-    of docs named lang_pred or score are replaced; every row is kept.
+    of docs with those names are replaced; every row is kept.
     """
     shared = spark.sparkContext.broadcast(model)
 
@@ -131,7 +132,8 @@ def identify(spark: SparkSession, docs: DataFrame, model, text: str = "text") ->
                     pa.array(np.where(known, p, 0.0))]
         return score
 
-    return with_text_columns(docs, text, "lang_pred string, score double", maker)
+    schema = T.StructType([T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return with_text_columns(docs, text, schema, maker)
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

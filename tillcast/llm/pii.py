@@ -17,7 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import col
+from .common import col, fresh
 
 _OCTET = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 
@@ -100,38 +100,28 @@ def _score(kind: str, prior: float, text: Column, s: Column) -> Column:
             - F.when(F.regexp_like(near, F.lit("[0-9] • |• [0-9]")), AGAINST).otherwise(0.0))
 
 
-def _proposed(text: Column, pattern: str) -> tuple[Column, Column]:
-    """All matches, and the text before each."""
-    m = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    return m, gaps
-
-
-def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.6) -> DataFrame:
-    """docs with column ``pii``: array of (kind, start, end, score, match), by kind and start.
+def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.6, name: str = "pii") -> DataFrame:
+    """docs with column ``name``: array of (kind, start, end, score, match), by kind and start.
 
     Places are code points, end exclusive. A null text counts as empty and gives an
     empty array. Kinds are found apart, so spans of two kinds may overlap. Very long
-    texts and many matches in one text are fine. A column named ``pii`` is replaced;
+    texts and many matches in one text are fine. A column called ``name`` is replaced;
     repeated rows are each treated alike.
     """
-    body = F.coalesce(col(text), F.lit(""))
-    keep = [col(c) for c in docs.columns if c != "pii"]
-    df = docs.select(*keep, body.alias("__t"))
-    steps = []
+    keep = [col(c) for c in docs.columns if c != name]
+    body, made = fresh(docs, "__text"), {k: fresh(docs, f"__{k}") for k, *_ in KINDS}
+    df = docs.select(*keep, F.coalesce(col(text), F.lit("")).alias(body))
+    none = F.array().cast("array<string>")
+    found, gaps = [], []
     for kind, pattern, needs, _ in KINDS:
-        if needs:
-            holds = F.contains(F.col("__t"), F.lit(needs))
-        else:
-            holds = F.regexp_like(F.col("__t"), F.lit("[0-9]"))
-        found, gaps = _proposed(F.col("__t"), pattern)
-        none = F.array().cast("array<string>")
-        steps.append((f"__{kind}_m", F.when(holds, found).otherwise(none)))
-        steps.append((f"__{kind}_g", F.when(holds & F.regexp_like(F.col("__t"), F.lit(pattern)), gaps).otherwise(none)))
-    df = df.select("*", *[e.alias(n) for n, e in steps])
-    df = df.select(*keep, "__t", *[_spans(F.col(f"__{k}_m"), F.col(f"__{k}_g")).alias(f"__{k}") for k, *_ in KINDS])
-    kinds = [_confirmed(kind, prior, F.col("__t"), F.col(f"__{kind}"), threshold) for kind, _, _, prior in KINDS]
-    return df.select(*keep, F.concat(*kinds).alias("pii"))
+        holds = F.contains(F.col(body), F.lit(needs)) if needs else F.regexp_like(F.col(body), F.lit("[0-9]"))
+        m = F.regexp_extract_all(F.col(body), F.lit(pattern), F.lit(0))
+        found.append(F.when(holds, m).otherwise(none).alias(made[kind] + "m"))
+        gaps.append(F.when(F.size(made[kind] + "m") > 0, F.split(F.col(body), pattern, -1)).otherwise(none).alias(made[kind] + "g"))
+    df = df.select("*", *found).select("*", *gaps)
+    df = df.select(*keep, body, *[_spans(F.col(c + "m"), F.col(c + "g")).alias(c) for c in made.values()])
+    kinds = [_confirmed(kind, prior, F.col(body), F.col(made[kind]), threshold) for kind, _, _, prior in KINDS]
+    return df.select(*keep, F.concat(*kinds).alias(name))
 
 
 def _confirmed(kind: str, prior: float, text: Column, spans: Column, threshold: float) -> Column:
@@ -194,8 +184,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Overlapping spans are merged under the name of the first. Columns are those of docs.
     """
-    found = find_pii(docs, text)
-    order = F.array_sort(F.transform("pii", lambda s: F.struct(
+    name = fresh(docs, "__pii")
+    found = find_pii(docs, text, name=name)
+    order = F.array_sort(F.transform(name, lambda s: F.struct(
         s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -206,5 +197,5 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                       ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
     done = F.aggregate(order, start, cut)
-    out = F.when(F.size("pii") > 0, F.concat(F.array_join(done["out"], ""), F.substr(col(text), (done["at"] + 1).cast("int"))))
+    out = F.when(F.size(name) > 0, F.concat(F.array_join(done["out"], ""), F.substr(col(text), (done["at"] + 1).cast("int"))))
     return found.select(*[(F.coalesce(out, col(text)).alias(c) if c == text else col(c)) for c in docs.columns])

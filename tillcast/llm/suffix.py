@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import words
 from .bwt import window_classes
-from .common import Chunk, Scratch, col, read, text_chunks
+from .common import Chunk, Scratch, col, read, small_batches, text_chunks
 
 WIDTH, GRAM, BLOCK = 50, 16, 5
 SPAN = WIDTH - GRAM + 1  # grams in a window, and the most windows to a fragment
@@ -381,6 +381,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ignored. ``hot`` and ``max_broadcast`` change how frequent seeds and copies are
     handled, not the result.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     ids = rows.where("doc_id is not null").groupBy("doc_id").count()
     unique = ids.where("count > 1").limit(1).count() == 0
