@@ -278,7 +278,27 @@ def dbscan_core(spark, sf_dir):
     return core_points(sc, "store", cols, 0.3, 7)
 
 
-@register("dbscan")
+def _dbscan_sql():
+    cols = [f"{c}_scaled" for c in S.STORE_FEATURES]
+    d2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in cols)
+    sel = ", ".join(f"coalesce({c}, 0e0) as {c}" for c in cols)
+    sql = with_cleaned(
+        *STORE_PROFILE, STORE_FEATURES_CTE, *_SF_CTES,
+        f"sc as (select store, {sel} from ({_SF_SEL.replace('r4(s8(', '((')}) t)",
+        f"nb as (select a.store as a, b.store as b from sc a join sc b on sqrt({d2}) <= 0.3)",
+        "core as (select a from nb group by a having count(*) >= 7)",
+        "reach(id, r) as (select a, a from core union "
+        "select x.id, n.b from reach x join nb n on n.a = x.r join core c on c.a = n.b)",
+        "lab as (select id, min(r) as label from reach group by id)",
+        "labels as (select id, label from lab union all "
+        "select n.a, min(l.label) from nb n join lab l on l.id = n.b where n.a not in (select a from core) group by n.a)",
+        "ranked as (select label, dense_rank() over (order by label) - 1 as cluster from (select distinct label from labels) z)")
+    return sql.replace("with ", "with recursive ", 1) + """
+select sc.store, cast(coalesce(k.cluster, -1) as integer) as cluster
+from sc left join labels l on l.id = sc.store left join ranked k on k.label = l.label"""
+
+
+@register("dbscan", _dbscan_sql())
 def dbscan(spark, sf_dir):
     from tillcast.operators.dbscan import dbscan as db
     from tillcast.session import ensure_checkpoint_dir
