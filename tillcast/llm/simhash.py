@@ -127,6 +127,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_first(docs: DataFrame, found: DataFrame, node: str, doc_id: str, text: str, max_broadcast: int = MAX_GONE) -> DataFrame:
+    """Of each component the row of the smallest doc_id, once.
+
+    docs has a column ``node`` that names a row's text; found (doc_id, node, component)
+    has all its rows with an id. Decided by row, so another text under the same id
+    stays if its own component has no smaller id. Of equal nodes under one id the least
+    text stays.
+    """
+    scratch = Scratch(docs.sparkSession, "first")
+    rows = scratch.keep(found.groupBy("component", "doc_id", "node").agg(F.count(F.lit(1)).alias("n")))
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    rows = rows.join(first, "component").withColumn("stays", F.struct("doc_id", "node") == F.col("first"))
+    rows = scratch.keep(rows.where("not stays or n > 1").select(F.col("doc_id").alias("__i"), F.col("node").alias("__n"), "stays"))
+
+    def named(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= max_broadcast else df  # some bytes each; more are joined by shuffle
+
+    same = (col(doc_id) == F.col("__i")) & (col(node) == F.col("__n"))
+    gone, twice = (named(rows.where(c).select("__i", "__n")) for c in (~F.col("stays"), F.col("stays")))
+    out = docs.join(gone, same, "left_anti")
+    if rows.where("stays").limit(1).count() == 0:
+        return out
+    every = F.struct(*map(col, docs.columns))
+    once = (out.join(twice, same, "left_semi").groupBy(col(doc_id), col(node))
+            .agg(F.min_by(every, F.struct(col(text), F.xxhash64(every))).alias("__row")))
+    return out.join(twice, same, "left_anti").unionByName(once.select("__row.*"))
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_broadcast: int = MAX_GONE) -> DataFrame:
     """Of each component the row of the smallest doc_id, once; columns are those of docs.
 
