@@ -187,7 +187,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", key: st
             [pa.array(np.append(hit, -1), pa.int32()), pa.array(np.append(w[hit], b))], names=["f", "w"])
 
     fitted = (sample.select(col(text), col(label).cast("int"), F.xxhash64(col(key)).alias("k"))
-              .coalesce(1).mapInArrow(fit, "f int, w double").toPandas())
+              .repartition(1).mapInArrow(fit, "f int, w double").toPandas())
     w, b = np.zeros(SIZE), -8.0
     if len(fitted):
         at = fitted["f"].to_numpy()
