@@ -45,8 +45,8 @@ def _bit_counts(words: list[bytes], n: int) -> tuple[np.ndarray, int]:
     return counts, len(first)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """docs with ``fp`` (long): bit set if set in over half the shingles' XXH64.
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, name: str = "fp") -> DataFrame:
+    """docs with ``fp`` (long, called by ``name``): bit set if set in over half the shingles' XXH64.
 
     Words are runs without ASCII white space, A-Z in lower case. A text of fewer words
     than a shingle is one shingle; a null text or one without words has fingerprint 0.
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) ->
             return [pa.array(np.packbits(bits, axis=1).view(">i8").ravel().astype(np.int64))]
         return run
 
-    return with_text_columns(docs, text, "fp long", maker)
+    return with_text_columns(docs, text, f"`{name}` long", maker)
 
 
 def _turned(fp: Column, by: int) -> Column:
@@ -111,6 +111,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     empty result; rows with a null doc_id are fingerprinted and join a component, whose
     id is the smallest id that is not null.
     """
+    found = _members(docs, doc_id, text, segments)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _members(docs: DataFrame, doc_id: str, text: str, segments: int | None = None) -> DataFrame:
+    """(doc_id, fp, component, component_id), one row a row; component is the smallest fingerprint reachable."""
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = fingerprints(docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")))
     prints = scratch.keep(prints.select("doc_id", "fp"))
@@ -122,9 +128,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "component", F.coalesce("component", "fp"))
     placed = scratch.keep(placed)
     names = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    table = placed.join(names, "component").select("fp", "component_id")
-    return prints.join(table, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    table = placed.join(names, "component").select("fp", "component", "component_id")
+    return prints.join(table, "fp").select("doc_id", "fp", "component", "component_id")
 
 
 def keep_first(docs: DataFrame, found: DataFrame, node: str, doc_id: str, text: str, max_broadcast: int = MAX_GONE) -> DataFrame:
@@ -161,19 +166,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_br
     Rows without a doc_id cannot be told apart and all stay. ``max_broadcast`` changes
     how rows are taken out, not which.
     """
-    name = fresh(docs, "__gone")
-    found = near_duplicates(docs.where(col(doc_id).isNotNull()), doc_id, text)
-    ids = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n"))
-    ids = Scratch(docs.sparkSession, "simhash").keep(ids)
-    gone = ids.where(~F.col("stays")).select(F.col("doc_id").alias(name))
-    if gone.count() <= max_broadcast:  # 8 bytes each; more are joined by shuffle
-        gone = F.broadcast(gone)
-    out = docs.join(gone, col(doc_id) == F.col(name), "left_anti")
-    if ids.where(F.col("stays") & (F.col("n") > 1)).limit(1).count() == 0:
-        return out
-    # ids that repeat: one row each, those without an id aside
-    known = out.where(col(doc_id).isNotNull()).dropDuplicates([doc_id])
-    return known.unionByName(out.where(col(doc_id).isNull()))
+    name = fresh(docs, "__fp")
+    found = _members(docs.where(col(doc_id).isNotNull()), doc_id, text).withColumnRenamed("fp", "node")
+    return keep_first(fingerprints(docs, text, name=name), found, name, doc_id, text, max_broadcast).select(*map(col, docs.columns))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
