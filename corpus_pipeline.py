@@ -7,10 +7,9 @@ the stages in order, each result written to the shared checkpoint folder and rea
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillcast.llm import bpe, decontam, langid, nearcopies, pii
+from tillcast.llm import bpe, decontam, langid, pii, simhash
 from tillcast.llm.common import Scratch, col, crc_mod, fresh, read
 
 MIN_POSTERIOR = 0.5
@@ -29,8 +28,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts with a similarity of 0.8 or more the document of the smallest id."""
-    return nearcopies.keep_one(docs)
+    """Of each component of texts whose fingerprints are linked the document of the smallest id.
+
+    Fingerprints and links are those of op2_simhash. All texts without a word, null and
+    empty ones among them, have one fingerprint and are one component. Rows without a
+    doc_id stay.
+    """
+    return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +50,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the bytes decoded from them."""
+    """Token ids of every document, with digests of the ids and of the bytes decoded from them.
+
+    Reads the columns doc_id, text, lang, source and n_chars; others are left out.
+    """
+    import public_tokenizers
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode(docs, vocabulary).drop("text")
     back = bpe.decode(encoded, vocabulary)
