@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, nearest, pii, quality, sharding, simhash, suffix, toxicity
+from . import align, bpe, decontam, langid, lines, nearest, pii, quality, sharding, simhash, spelling, suffix, toxicity
 from .common import read
 
 
@@ -29,6 +29,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.op8_quality,
     "op9_bpe": bpe.op9_bpe,
     "op10_sharding": op10_sharding,
+    "op11_lines": lines.op11_lines,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_align": align.op13_align,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_lines": lines.OP11_SQL}
