@@ -28,7 +28,7 @@ from .common import Scratch, col, read, small_batches, text_chunks
 
 WORD = re.compile("[a-zÀ-ÿ]+")
 MIN_LETTERS, MIN_COUNT, RATIO, EVERY = 7, 2, 10, 31
-CLASSES, TILE, BLOCK = 6, 1024, 512
+CLASSES, TILE, BLOCK = 12, 1024, 256
 HELD = 200_000  # distinct words a task holds before it passes on their counts
 LETTERS = 26 + 64  # a to z, U+00C0 to U+00FF
 
@@ -117,21 +117,23 @@ def _keyed(batches):
                                          names=["key", "part", "word", "n"])
 
 
-def one_edit(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs of Latin-1 words, a the longer or as long: is it one edit, and the first place where they differ."""
-    ok, place = np.zeros(len(a), bool), np.zeros(len(a), np.int64)
-    width = max(map(len, a), default=0) + 1
+def one_edit(words: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) of Latin-1 words are one edit apart, words[i] the longer or as long."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    ok = np.zeros(len(i), bool)
+    width = int(max(size[i].max(initial=0), size[j].max(initial=0))) + 1
     step = max(1, (1 << 22) // width)
-    for lo in range(0, len(a), step):
-        x, y = (np.array(w[lo:lo + step], f"S{width}").view(np.uint8).reshape(-1, width) for w in (a, b))
-        longer = np.array([len(p) - len(q) for p, q in zip(a[lo:lo + step], b[lo:lo + step])])
+    for lo in range(0, len(i), step):
+        a, b = i[lo:lo + step], j[lo:lo + step]
+        used, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        letters = np.array([words[k] for k in used.tolist()], f"S{width}").view(np.uint8).reshape(-1, width)
+        x, y = letters[at[:len(a)]], letters[at[len(a):]]
+        longer = size[a] - size[b]
         differ = x != y
-        first = differ.argmax(axis=1)
-        after = np.arange(width - 1)[None, :] >= first[:, None]
+        after = np.arange(width - 1)[None, :] >= differ.argmax(axis=1)[:, None]
         shifted = ~((x[:, 1:] != y[:, :-1]) & after).any(axis=1)
         ok[lo:lo + step] = np.where(longer == 0, differ.sum(axis=1) == 1, (longer == 1) & shifted)
-        place[lo:lo + step] = first
-    return ok, place
+    return ok
 
 
 def _near_in(group: np.ndarray, tile: np.ndarray, whole: np.ndarray, part: np.ndarray, words: list[bytes]):
@@ -140,22 +142,24 @@ def _near_in(group: np.ndarray, tile: np.ndarray, whole: np.ndarray, part: np.nd
     ``whole``: the two tiles of the block are one, else only pairs across tiles count.
     """
     counts = _letters(words)
-    square = np.einsum("ij,ij->i", counts, counts)
-    distance = square[:, None] + square[None, :] - 2 * (counts @ counts.T)
+    letters = np.flatnonzero(counts.any(axis=0))
+    counts = counts[:, letters]
+    square, one = np.einsum("ij,ij->i", counts, counts)[:, None], np.ones((len(words), 1), counts.dtype)
+    distance = np.hstack((counts, square, one)) @ np.hstack((-2 * counts, one, square)).T
+    i, j = np.nonzero(distance <= 2)
+    some = (i < j) & (group[i] == group[j])
+    i, j = i[some], j[some]
     longer = part >= 0
-    want = np.where(longer[:, None] & longer[None, :], 2, 1)
-    want[np.ix_(~longer, ~longer)] = -1
-    fits = (distance == want) & (group[:, None] == group[None, :])
-    fits &= whole[:, None] | (tile[:, None] != tile[None, :])
-    i, j = np.nonzero(np.triu(fits, 1))
+    fits = np.where(longer[i] & longer[j], 2, np.where(longer[i] | longer[j], 1, -1)) == distance[i, j]
+    fits &= whole[i] | (tile[i] != tile[j])
+    i, j = i[fits], j[fits]
     swap = ~longer[i]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
-    a, b = [words[k] for k in i.tolist()], [words[k] for k in j.tolist()]
-    ok, place = one_edit(a, b)
-    if len(i):  # two words of one profile meet under every class; they count where the edit is
-        for k in np.flatnonzero(ok & longer[j]).tolist():
-            c = a[k][place[k]]
-            ok[k] = CLASS[c - 97 if c < 128 else c - 0xC0 + 26] == part[i[k]]
+    # two words of one profile meet under every class they have; they count where the letter that goes is of that class
+    gone = letters[(counts[i] - counts[j]).argmax(axis=1)] if len(i) else i
+    here = ~longer[j] | (CLASS[gone] == part[i])
+    i, j = i[here], j[here]
+    ok = one_edit(words, i, j)
     return i[ok], j[ok]
 
 
@@ -169,21 +173,22 @@ def _pairs(batches):
         new = np.flatnonzero((key[1:] != key[:-1]) | (t[1:] != t[:-1]) | (u[1:] != u[:-1])) + 1
         starts = np.concatenate(([0], new, [len(key)]))
         group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        text = table.column("word")
-        lo = 0
+        text = table.column("word").combine_chunks()
+        words = [w.encode("latin-1") for w in text.to_pylist()]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        many = lo = 0
         while lo < len(starts) - 1:
             hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + BLOCK, "right")) - 1)
             a, b = int(starts[lo]), int(starts[hi])
             lo = hi
-            if b - a < 2:
-                continue
-            words = [w.encode("latin-1") for w in text.slice(a, b - a).to_pylist()]
-            i, j = _near_in(group[a:b], tile[a:b], t[a:b] == u[a:b], part[a:b], words)
-            if not len(i):
-                continue
-            own, other = np.concatenate((i, j)) + a, np.concatenate((j, i)) + a
-            yield pa.RecordBatch.from_arrays([text.take(pa.array(own)).combine_chunks(), text.take(pa.array(other)).combine_chunks(), pa.array(n[other])],
-                                             names=["word", "near", "near_n"])
+            if b - a > 1:
+                i, j = _near_in(group[a:b], tile[a:b], t[a:b] == u[a:b], part[a:b], words[a:b])
+                found += [(i + a, j + a), (j + a, i + a)]
+                many += len(i)
+            if found and (many >= 1 << 16 or lo == len(starts) - 1):
+                own, other = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([text.take(pa.array(own)), text.take(pa.array(other)), pa.array(n[other])], names=["word", "near", "near_n"])
+                found, many = [], 0
 
     for batch in batches:
         if not batch.num_rows:
