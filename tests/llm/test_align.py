@@ -9,7 +9,7 @@ import pytest
 from tillcast.llm import align, queries as Q
 
 SMALL = "/root/testdata/sf0.001"
-A, B = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+A, B, RANKS = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), P.path("byte_bpe_50k.tiktoken")
 
 
 @pytest.fixture(scope="module")
@@ -65,11 +65,11 @@ def test_query(spark, tokenizers):
     assert sorted((tuple(r) for r in Q.QUERIES["op13_align"](spark, SMALL).select(COLUMNS).collect()), key=str) == brute(tokenizers, docs)
 
 
-@pytest.mark.parametrize("block", [1, 1 << 23])
-def test_odd_texts_repeats_and_blocks(spark, tokenizers, edge, block):
+@pytest.mark.parametrize("block, ranks", [(1, None), (1 << 23, RANKS)])
+def test_odd_texts_repeats_and_blocks(spark, tokenizers, edge, block, ranks):
     docs = [tuple(r) for r in edge.select("doc_id", "text").collect()] + list(enumerate(ODD + fuzz(), 100))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    assert sorted((tuple(r) for r in align.linked(df, A, B, block=block).select(COLUMNS).collect()), key=str) == brute(tokenizers, docs)
+    assert sorted((tuple(r) for r in align.linked(df, A, B, block=block, byte_ranks=ranks).select(COLUMNS).collect()), key=str) == brute(tokenizers, docs)
 
 
 def test_groups_of_rows_with_clashing_names(tokenizers, edge, nothing):
@@ -115,3 +115,19 @@ def test_wide_groups_count_their_links_like_narrow_ones(tokenizers):
             out[t, a, b] += n
         return out
     assert total(0) == total(1) == total(4096)
+
+
+def test_ranks_give_the_same_ids_on_settled_code_points(tokenizers):
+    fast = align.Tokenizers(A, B, RANKS)
+    points = [chr(c) for c in range(0x250)]
+    texts = [f"{x}{c}{y}" for c in points for x in ("", "a", " ", "7", ".", "\n", "\x85", "'") for y in ("", "b", "  ", "3", "!", "\xa0", "s ")]
+    r = random.Random(1)
+    texts += ["".join(r.choices(points, k=40)) for _ in range(3000)]
+    assert not any(align._SETTLED.search(t) for t in texts)
+    assert fast.encode(texts) == tokenizers.encode(texts)
+    assert align._SETTLED.search("\u0250") and fast.encode(["漢字 x"]) == tokenizers.encode(["漢字 x"])
+
+
+def test_ranks_of_another_vocabulary_are_refused():
+    with pytest.raises(ValueError):
+        align.Tokenizers(A, B, P.path("byte_bpe_multi_50k.tiktoken"))
