@@ -1,14 +1,18 @@
 """Benchmark decontamination: every passage of a text is a BM25 query over the test items.
 
-A shard of items becomes an inverted index whose postings are cut into blocks of
-items with the greatest impact of each term in each block (block-max). A passage is
-dropped as soon as a bound shows that it cannot reach any item's threshold: first by
-the terms' greatest impacts, then block by block; what is left is scored in full.
-Passages are handled side by side in arrays rather than one cursor at a time.
-
-An item's threshold is its own full score less what a passage may lack and still hold
-``OVERLAP`` of the item's five-word shingles, so retrieval misses no such passage.
-Retrieved pairs are then verified by the shingles of question and answer.
+Items become inverted indexes whose postings are cut into blocks of items with the
+greatest impact of each term in each block (block-max). A passage is dropped as soon as a
+bound shows that it cannot reach any item's threshold: first by the terms' greatest
+impacts, then block by block; what is left is scored in full. Passages are handled side
+by side in arrays rather than one cursor at a time. Document frequencies and the mean
+length are those of all items.
+
+A passage is as long as the item sought asks for: items are indexed by the power of two
+above their length, and each index has passages of its own. An item's threshold is its own
+full score less what a passage may lack and still hold ``OVERLAP`` of the item's five-word
+shingles, so retrieval misses no such passage. Retrieved pairs are then verified: overall
+by ``OVERLAP``, and question and answer each by ``PART``. What is found of an item
+therefore does not depend on the other items.
 """
 
 from __future__ import annotations
@@ -20,27 +24,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import words
-from .common import Chunk, col, fresh, read, with_text_columns
+from .common import Chunk, Scratch, col, fresh, read, with_text_columns
 
 K1, B = 1.2, 0.75
 SHINGLE, OVERLAP = 5, 0.8
+PART = 0.5  # of the shingles of the question, and of the answer
 BLOCK = 8  # items to a block of postings
-SHARD_ITEMS, SHARD_BYTES = 4096, 4 << 20  # an index holds at most about so many items and bytes of text
+SHARD_ITEMS = 4096  # an index holds at most so many items
+PASS_BYTES = 32 << 20  # items of about so many bytes are sought in one pass over the texts
 LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType())] + [
     T.StructField(c, T.DoubleType()) for c in ("score", "threshold", "overlap", "question", "answer")]))
 
 
-def answer_start(text: str) -> int:
+def answer_start(text: str) -> int | None:
     """Where an item's answer begins: after "answer:", else after the last question mark
-    that text follows, else the last sentence."""
+    that text follows. None: question and answer cannot be told apart."""
     marks = list(re.finditer(r"(?i)\banswer\s*:", text))
     if marks:
         return marks[-1].end()
     ends = [m.end() for m in re.finditer(r"\?(?=.*\w)", text, re.S)]
-    if ends:
-        return ends[-1]
-    ends = [m.end() for m in re.finditer(r"[.!\n](?=.*\w)", text, re.S)]
-    return ends[-1] if ends else len(text)
+    return ends[-1] if ends else None
 
 
 def _shingles(hashes: np.ndarray) -> np.ndarray:
@@ -55,70 +58,87 @@ def _shingles(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def words_of(texts: list[str]) -> tuple[words.Words, np.ndarray]:
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+    return words.Words(np.frombuffer(b"".join(raw) or b" ", np.uint8)[:offsets[-1]], offsets), offsets
+
+
+def length_class(n_words: int) -> int:
+    """Items of a class have fewer than 2 ** class words."""
+    return int(n_words).bit_length()
+
+
 class Index:
-    """Inverted index of a shard of items (id, text)."""
+    """Inverted index of items (id, text) of one length class.
 
-    def __init__(self, items: list[tuple[int, str]]):
-        raw = [t.encode() for _, t in items]
-        offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-        w = words.Words(np.frombuffer(b"".join(raw) or b" ", np.uint8)[:offsets[-1]], offsets)
+    ``terms``: sorted term hashes, ``df``: how many of all ``n_all`` items hold each;
+    ``mean``: words of an item on average.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], terms: np.ndarray, df: np.ndarray, n_all: int, mean: float):
+        w, offsets = words_of([t for _, t in items])
         n = len(items)
         own = [w.hash[a:b] for a, b in zip(w.first, w.first[1:])]
         self.ids = [i for i, _ in items]
         self.shingles = [_shingles(h) for h in own]
-        self.answer = []  # first shingle whose last word belongs to the answer
+        self.answer = []  # first shingle whose last word belongs to the answer; None: all belong to both
         for (_, text), a, b, o in zip(items, w.first, w.first[1:], offsets):
-            cut = len(text[:answer_start(text)].encode())
-            question = int(np.searchsorted(w.start[a:b] - o, cut))
-            self.answer.append(max(question - min(SHINGLE, b - a) + 1, 0) if question < b - a else max(b - a - SHINGLE + 1, 1))
+            at = answer_start(text)
+            question = 0 if at is None else int(np.searchsorted(w.start[a:b] - o, len(text[:at].encode())))
+            self.answer.append(max(question - min(SHINGLE, b - a) + 1, 0) if 0 < question < b - a else None)
         length = np.diff(w.first)
-        self.step = int(max(32, np.ceil(1.25 * length.max()))) if n else 32
-        self.terms = np.unique(w.hash)
+        self.step = max(32, -(-5 * 2 ** max(map(length_class, length), default=0) // 4))
+        self.n_terms = len(terms)
         item = np.repeat(np.arange(n), length)
-        term = np.searchsorted(self.terms, w.hash)
-        key, tf = np.unique(term * n + item, return_counts=True)
+        key, tf = np.unique(np.searchsorted(terms, w.hash) * n + item, return_counts=True)
         term, item = key // n, key % n  # postings, by term then item
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / max(length.mean() if n else 0, 1e-9))
+        idf = np.log1p((n_all - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * length / max(mean, 1e-9))
         impact = idf[term] * tf * (K1 + 1) / (tf + norm[item])
         self.threshold = np.zeros(n)
-        for i in range(n):
-            mine = np.sort(impact[item == i])[::-1]
+        for i, mine in enumerate(np.split(impact[np.argsort(item, kind="stable")], np.cumsum(np.bincount(item, minlength=n))[:-1])):
+            mine = np.sort(mine)[::-1]
             self.threshold[i] = max(mine.sum() - mine[:int((1 - OVERLAP) * len(self.shingles[i]) + 1e-9)].sum() - 1e-9, 1e-9)
         share = impact / self.threshold[item]
-        self.item, self.impact, self.at = item, impact, np.searchsorted(term, np.arange(len(self.terms) + 1))
+        self.item, self.impact, self.at = item, impact, np.searchsorted(term, np.arange(self.n_terms + 1))
         block = item // BLOCK
         head = np.ones(len(term), bool)
         head[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
         first = np.flatnonzero(head)
         self.n_blocks = -(-n // BLOCK)
-        self.block, self.block_at = block[first], np.searchsorted(term[first], np.arange(len(self.terms) + 1))
-        if len(first):
-            self.block_max = np.maximum.reduceat(share, first)
-            self.most = np.maximum.reduceat(share, self.at[:-1])
-        else:
-            self.block_max = self.most = np.zeros(0)
-
-    def search(self, w: words.Words) -> list[tuple[int, int, float, float, float, float]]:
-        """(text, item, score, overlap, question, answer) of verified pairs, best passage of each."""
-        if not len(self.terms) or not len(w.hash):
+        self.block, self.block_at = block[first], np.searchsorted(term[first], np.arange(self.n_terms + 1))
+        self.block_max = np.maximum.reduceat(share, first) if len(first) else np.zeros(0)
+        self.most = np.zeros(self.n_terms)
+        np.maximum.at(self.most, term, share)
+
+    def search(self, w: words.Words, known: np.ndarray, term: np.ndarray) -> list[tuple]:
+        """(text, item, score, overlap, question, answer) of verified pairs, best passage of each.
+
+        ``known``: the words that are terms, ``term``: their numbers.
+        """
+        here = self.most[term] > 0
+        known, term = known[here], term[here]
+        if not len(known):
             return []
-        term = np.minimum(np.searchsorted(self.terms, w.hash), len(self.terms) - 1)
-        known = np.flatnonzero(self.terms[term] == w.hash)
         count = np.diff(w.first)
-        text = np.repeat(np.arange(len(count)), count)
         halves = -(-count // self.step)
         half0 = np.concatenate(([0], np.cumsum(halves)))
-        half = half0[text[known]] + (known - w.first[text[known]]) // self.step
-        n_terms = len(self.terms)
-        pairs = np.unique(half * n_terms + term[known])
-        half, term = pairs // n_terms, pairs % n_terms
-        # a passage is a half and the next of the same text
+        text = np.searchsorted(w.first, known, "right") - 1
+        half = half0[text] + (known - w.first[text]) // self.step
         n_half = int(half0[-1])
-        bound = np.bincount(half, self.most[term], n_half)
         last = np.zeros(n_half, bool)
         last[half0[1:][halves > 0] - 1] = True
+        n_terms = self.n_terms
+        # repeated terms raise a bound; where even that is too low nothing is sorted
+        loose = np.bincount(half, self.most[term], n_half)
+        open_half = loose + np.where(last, 0, np.append(loose[1:], 0)) >= 1
+        open_half[1:] |= open_half[:-1] & ~last[:-1]
+        some = open_half[half]
+        pairs = np.unique(half[some] * n_terms + term[some])
+        half, term = pairs // n_terms, pairs % n_terms
+        # a passage is a half and the next of the same text
+        bound = np.bincount(half, self.most[term], n_half)
         both = bound + np.where(last, 0, np.append(bound[1:], 0))
         alive = np.flatnonzero(both >= 1)
         if not len(alive):
@@ -148,9 +168,10 @@ class Index:
                 x = int(np.searchsorted(half0, g, "right")) - 1
                 a = w.first[x] + (g - half0[x]) * self.step
                 held = np.isin(self.shingles[i], _shingles_of(w.hash[a:min(a + 2 * self.step, w.first[x + 1])], len(self.shingles[i]), self.step))
-                if held.mean() >= OVERLAP:
-                    q, r = held[:self.answer[i]], held[self.answer[i]:]
-                    found = (float(held.mean()), s, float(q.mean()) if len(q) else 1.0, float(r.mean()) if len(r) else 1.0)
+                cut = self.answer[i]
+                q, r = (held, held) if not cut else (held[:cut], held[cut:])
+                if held.mean() >= OVERLAP and q.mean() >= PART and r.mean() >= PART:
+                    found = (float(held.mean()), s, float(q.mean()), float(r.mean()))
                     out[x, i] = max(out.get((x, i), found), found)
         return [(x, i, s, o, q, r) for (x, i), (o, s, q, r) in sorted(out.items())]
 
@@ -177,42 +198,70 @@ def _expand(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return owner, np.arange(len(owner)) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
+def _terms(batches):
+    """(i, t, n_words, terms): the different words of each item, hashed."""
+    for batch in batches:
+        w, _ = words_of(batch.column("t").to_pylist())
+        own = [np.unique(w.hash[a:b]).view(np.int64) for a, b in zip(w.first, w.first[1:])]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in own]))), pa.int32()),
+                                         pa.array(np.concatenate([np.zeros(0, np.int64), *own])))
+        yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("t"), pa.array(np.diff(w.first), pa.int64()), lists],
+                                         names=["i", "t", "n_words", "terms"])
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                name: str = "leaks") -> DataFrame:
     """docs with column ``name``: the items found in each text, with score and overlaps.
 
     Words are runs of letters and digits in lower case. An item without words is never
-    found; one of fewer than five words is one shingle. A null or empty text has no
-    leaks. Repeated items are found each. A column of docs called ``name`` is replaced;
-    every row is kept. Items go out in shards of bounded size, one index at a time.
+    found; one of fewer than five words is one shingle. An item with "answer:" or a
+    question mark inside needs both parts, any other is question and answer in one. A null
+    or empty text has no leaks. Repeated items are found each. A column of docs called
+    ``name`` is replaced; every row is kept. Items go through the driver PASS_BYTES at a
+    time, and each such share costs one pass over the texts.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "leaks")
     test = items.where(col(item_text).isNotNull() & col(item_id).isNotNull()).select(
         col(item_id).cast("long").alias("i"), col(item_text).alias("t"))
-    n, size = test.agg(F.count(F.lit(1)), F.sum(F.octet_length("t"))).first()
-    shards = max(-(-n // SHARD_ITEMS), -(-(size or 0) // SHARD_BYTES), 1)
+    test = scratch.keep(test.mapInArrow(_terms, "i long, t string, n_words long, terms array<long>").where("n_words > 0"))
+    n, size, mean = test.agg(F.count(F.lit(1)), F.sum(F.octet_length("t")), F.avg("n_words")).first()
+    passes = max(-(-(size or 0) // PASS_BYTES), 1)
+    counted = scratch.keep(test.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     out = docs.select(*[col(c) for c in docs.columns if c != name])
-    parts = [fresh(docs, f"__leaks{k}") for k in range(shards)]
-    for k in range(shards):
-        part = test.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k) if shards > 1 else test
-        index = Index([(r.i, r.t) for r in part.orderBy("i", "t").collect()])
-        out = _search(spark, out, index, text, parts[k])
+    parts = [fresh(docs, f"__leaks{k}") for k in range(passes)]
+    for k in range(passes):
+        part = test.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k) if passes > 1 else test
+        rows = part.select("i", "t", "n_words").orderBy("i", "t").collect()
+        used = counted.join(part.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi").toPandas()
+        terms = used.term.to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(terms)
+        terms, df = terms[order], used["df"].to_numpy(float)[order]
+        classes: dict[int, list[tuple[int, str]]] = {}
+        for r in rows:
+            classes.setdefault(length_class(r.n_words), []).append((r.i, r.t))
+        indexes = [Index(own[at:at + SHARD_ITEMS], terms, df, n, mean) for _, own in sorted(classes.items()) for at in range(0, len(own), SHARD_ITEMS)]
+        out = _search(spark, out, terms, indexes, text, parts[k])
     return out.select(*[col(c) for c in docs.columns if c != name], F.concat(*parts).alias(name))
 
 
-def _search(spark: SparkSession, docs: DataFrame, index: Index, text: str, name: str) -> DataFrame:
-    shared = spark.sparkContext.broadcast(index)  # bounded by SHARD_ITEMS and SHARD_BYTES
+def _search(spark: SparkSession, docs: DataFrame, terms: np.ndarray, indexes: list[Index], text: str, name: str) -> DataFrame:
+    shared = spark.sparkContext.broadcast((terms, indexes))  # bounded by PASS_BYTES
 
     def maker():
-        index = shared.value
+        terms, indexes = shared.value
+        kind = pa.struct([("item_id", pa.int64())] + [(c, pa.float64()) for c in ("score", "threshold", "overlap", "question", "answer")])
 
         def run(chunk: Chunk):
-            found = index.search(words.Words(chunk.data, chunk.offsets))
+            found = []
+            if len(terms):
+                w = words.Words(chunk.data, chunk.offsets)
+                term = np.minimum(np.searchsorted(terms, w.hash), len(terms) - 1)
+                known = np.flatnonzero(terms[term] == w.hash)
+                found = sorted(((x, index.ids[i], {"item_id": index.ids[i], "score": s, "threshold": float(index.threshold[i]), "overlap": o, "question": q, "answer": r})
+                               for index in indexes for x, i, s, o, q, r in index.search(w, known, term[known])), key=lambda f: f[:2])
             at = np.searchsorted([f[0] for f in found], np.arange(len(chunk) + 1))
-            rows = [{"item_id": index.ids[i], "score": s, "threshold": float(index.threshold[i]), "overlap": o, "question": q, "answer": r}
-                    for _, i, s, o, q, r in found]
-            kind = pa.struct([("item_id", pa.int64())] + [(c, pa.float64()) for c in ("score", "threshold", "overlap", "question", "answer")])
-            return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(rows, kind))]
+            return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array([f[2] for f in found], kind))]
         return run
 
     return with_text_columns(docs, text, T.StructType([T.StructField(name, LEAK)]), maker)
