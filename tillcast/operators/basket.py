@@ -139,17 +139,20 @@ def lift_pivot(rules: DataFrame, items: list[str]) -> DataFrame:
 
 
 def item_week_matrix_corr(df: DataFrame, item: str = "dept", value: str = "weekly_sales_cleaned") -> DataFrame:
-    """Pearson correlation between items over weeks (absent weeks count as 0), long form.
+    """Pearson correlation between all pairs of items over weeks (absent weeks count as 0), long form.
 
-    Items that meet in a week are paired inside the week; an absent week adds nothing
-    to sums and products, so moments over the weeks at hand and the number of all weeks
-    give the correlation. Pairs that never meet follow from their sums alone.
+    Items that meet in a week are paired inside the week; an absent week adds nothing to
+    sums and products, so moments over the weeks at hand and the number of all weeks
+    give the correlation. One more row of all items, each with the value 0, pairs those
+    that never share a week. A pair with an item of equal value in every week is null.
     """
     wk = df.groupBy("date", item).agg(F.sum(value).cast("double").alias("v"))
     wk = written(wk.select("date", F.col(item).alias("i"), "v"))
     n = F.lit(float(wk.select("date").distinct().count()))
     one = wk.groupBy("i").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    week = wk.groupBy("date").agg(F.collect_list(F.struct("i", "v")).alias("all"))  # the items of one week
+    rows = wk.select(F.struct("date").alias("row"), "i", "v").unionByName(
+        one.select(F.lit(None).cast("struct<date: date>").alias("row"), "i", F.lit(0.0).alias("v")))
+    week = rows.groupBy("row").agg(F.collect_list(F.struct("i", "v")).alias("all"))  # the items of one week
     pair = (week.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
             .groupBy(F.col("x.i").alias("dept1"), F.col("y.i").alias("dept2"))
             .agg(F.sum(F.col("x.v") * F.col("y.v")).alias("p")))
@@ -157,7 +160,7 @@ def item_week_matrix_corr(df: DataFrame, item: str = "dept", value: str = "weekl
     b = one.select(F.col("i").alias("dept2"), F.col("s").alias("s2"), F.col("q").alias("q2"))
     r = pair.join(a, "dept1").join(b, "dept2")
     cov = F.col("p") - F.col("s1") * F.col("s2") / n
-    spread = F.sqrt((F.col("q1") - F.col("s1") * F.col("s1") / n) * (F.col("q2") - F.col("s2") * F.col("s2") / n))
+    spread = F.sqrt(F.greatest((F.col("q1") - F.col("s1") * F.col("s1") / n) * (F.col("q2") - F.col("s2") * F.col("s2") / n), F.lit(0.0)))
     return r.select("dept1", "dept2", F.try_divide(cov, spread).alias("corr"))
 
 

@@ -185,3 +185,37 @@ def strong_pairs(spark, sf_dir):
     from tillcast.functions.numeric import snap8
     c = B.strong_pairs(B.item_week_matrix_corr(Views(spark, sf_dir).cleaned), POS_CORR, NEG_CORR)
     return c.select("dept1", "dept2", r4(snap8("corr")).alias("corr"), "sign")
+
+
+PARITY_CTES = [
+    "hs as (select store, date, dept || case when weekofyear(date) % 2 = 0 then ' even' else ' odd' end as dept, weekly_sales_cleaned from cleaned)",
+    """hpiv as (select d.dept, dt.date, coalesce(sum(c.weekly_sales_cleaned), 0e0) as sales
+               from (select distinct dept from hs) d cross join (select distinct date from hs) dt
+               left join hs c on c.dept = d.dept and c.date = dt.date group by d.dept, dt.date)""",
+    """hcorr as (select a.dept as dept1, b.dept as dept2,
+                        case when stddev_samp(a.sales) * stddev_samp(b.sales) <> 0 then corr(a.sales, b.sales) end as corr
+                 from hpiv a join hpiv b on a.date = b.date group by a.dept, b.dept)""",
+]
+
+
+def _week_parity(spark, sf_dir):
+    """Departments told apart by even and odd weeks: items of different weeks never meet."""
+    c = Views(spark, sf_dir).cleaned
+    parity = F.when(F.weekofyear("date") % 2 == 0, F.lit(" even")).otherwise(F.lit(" odd"))
+    return c.withColumn("dept", F.concat("dept", parity))
+
+
+@register("alternating_corr", with_cleaned(*PARITY_CTES) + "select dept1, dept2, r4(s8(corr)) as corr from hcorr")
+def alternating_corr(spark, sf_dir):
+    from tillcast.functions.numeric import snap8
+    c = B.item_week_matrix_corr(_week_parity(spark, sf_dir))
+    return c.select("dept1", "dept2", r4(snap8("corr")).alias("corr"))
+
+
+@register("alternating_pairs", with_cleaned(*PARITY_CTES) + """
+select dept1, dept2, r4(s8(corr)) as corr, case when corr > 3e-1 then 'positive' else 'negative' end as sign
+from hcorr where dept1 < dept2 and (corr > 3e-1 or corr < -3e-1)""")
+def alternating_pairs(spark, sf_dir):
+    from tillcast.functions.numeric import snap8
+    c = B.strong_pairs(B.item_week_matrix_corr(_week_parity(spark, sf_dir)), 0.3, -0.3)
+    return c.select("dept1", "dept2", r4(snap8("corr")).alias("corr"), "sign")
