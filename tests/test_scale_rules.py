@@ -21,6 +21,38 @@ def test_group_quantiles_of_many_distinct_values(spark):
     assert np.allclose(exact_quantiles(df, ["x"], qs)["x"], np.quantile(pdf.x, qs), rtol=1e-14)
 
 
+@pytest.mark.parametrize("n, band", [(400_000, 50), (10_000_000, 100_000)])
+def test_quantile_bands_are_narrowed(spark, monkeypatch, n, band):
+    from tillcast.functions import quantiles
+    monkeypatch.setattr(quantiles, "BAND", band)
+    sizes, keep = [], quantiles.written
+
+    def counted(t):
+        out = keep(t)
+        sizes.append(out.groupBy("c", "_i").count().agg(F.max("count")).first()[0])
+        return out
+    monkeypatch.setattr(quantiles, "written", counted)
+    shift = 12345
+    df = spark.range(n).select(((F.col("id") * 7919 + shift) % n).cast("double").alias("x"))  # every value once, in no order
+    qs = [0.0, 0.25, 0.5, 0.995, 1.0]
+    assert quantiles.exact_quantiles(df, ["x"], qs)["x"] == pytest.approx([(n - 1) * q for q in qs], rel=1e-14)
+    assert sizes[-1] <= band + 1  # and the row of all below
+    assert n < 1_000_000 or len(sizes) <= 2
+
+
+def test_narrowed_bands_of_ties_and_groups(spark, monkeypatch):
+    from tillcast.functions import quantiles
+    monkeypatch.setattr(quantiles, "BAND", 3)
+    monkeypatch.setattr(quantiles, "GRID", 10)
+    v = np.random.default_rng(8).normal(size=3000).round(2)
+    g = np.arange(3000) % 4
+    df = spark.createDataFrame([(None if k == 3 else int(k), float(x)) for k, x in zip(g, v)], "g int, x double")
+    qs = [0.1, 0.333, 0.5, 0.9]
+    for r in quantiles.exact_group_quantiles(df, ["g"], "x", qs).collect():
+        own = v[g == (3 if r.g is None else r.g)]
+        assert [r[f"q{i}"] for i in range(4)] == pytest.approx(list(np.quantile(own, qs)), rel=1e-12) or r.g is None
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 10, 37, 999, 1001, 2500])
 def test_quantiles_of_every_size(spark, n):
     from tillcast.functions.quantiles import exact_quantiles

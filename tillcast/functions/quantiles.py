@@ -6,7 +6,9 @@ by one rank and by the sketch's error. Pass 2: rows below a band are only counte
 rows inside are counted by value, both with map-side combine; a running sum over a
 band's distinct values (a few thousandths of a group) finds the values at the two
 neighbouring ranks, interpolated linearly as ``percentile`` and ``quantile_cont``
-do. The result is a DataFrame with one row per group; no value passes through the
+do. A band of more than ``BAND`` distinct values is narrowed first: a sketch over its own
+values cuts it into cells, whose counts tell which cells hold the ranks, and the rows
+below those are merged into one; again, until the band is small. The result is a DataFrame with one row per group; no value passes through the
 driver. A rank outside its band raises an error, below as well as above.
 """
 
@@ -17,7 +19,35 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillcast.session import written
+
 GRID = 1000
+BAND = 100_000  # distinct values of a band that one task sorts at most
+
+
+def _narrow(counts: DataFrame, by: list[str], qs: list[float], accuracy: int) -> DataFrame:
+    """counts (by, _n, _i, _v, _k) with only the cells of each band that hold its ranks; all below them is one row without a value."""
+    key = [*by, "_i"]
+    on = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(key)]
+    cuts = counts.where("_v is not null").groupBy(*key).agg(
+        F.percentile_approx("_v", [i / GRID for i in range(1, GRID)], accuracy).alias("_cuts")).select(
+        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(key)], F.array_distinct("_cuts").alias("_cuts"))
+    placed = counts.join(cuts, on, "left").select(
+        *key, "_n", "_v", "_k", F.when(F.col("_v").isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).alias("_cell"))
+    cells = placed.groupBy(*key, "_n", "_cell").agg(F.sum("_k").alias("_c"))  # GRID and one a band
+    before = F.sum("_c").over(Window.partitionBy(*key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
+    pos = (F.col("_n") - 1) * F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("_i") + 1)
+    cells = cells.withColumn("_low", before)
+    held = F.lit(False)
+    for rank in (F.floor(pos), F.ceil(pos)):
+        held |= (F.col("_low") <= rank) & (rank < F.col("_low") + F.col("_c"))
+    cells = cells.withColumn("_held", held)
+    first = F.min(F.when(F.col("_held"), F.col("_cell"))).over(Window.partitionBy(*key))
+    kept = cells.withColumn("_first", first).where(F.col("_held") | (F.col("_cell") < F.col("_first")))
+    kept = kept.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(key)], F.col("_cell").alias("_kept"), "_held")
+    met = placed.join(kept, [*on, F.col("_cell") == F.col("_kept")])
+    value = F.when(F.col("_held"), F.col("_v"))
+    return met.groupBy(*key, "_n", value.alias("_v")).agg(F.sum("_k").alias("_k")).select(*by, "_n", "_i", "_v", "_k")
 
 
 def exact_group_quantiles(df: DataFrame, by: list[str], col: str, qs: list[float],
@@ -45,6 +75,9 @@ def exact_group_quantiles(df: DataFrame, by: list[str], col: str, qs: list[float
     counts = (rows.select(*by, "_n", F.explode(F.array_compact(F.array(*held))).alias("_h"))
               .groupBy(*by, "_n", F.col("_h.i").alias("_i"), F.col("_h.v").alias("_v"))
               .agg(F.count(F.lit(1)).alias("_k")))
+    counts = written(counts)
+    while (counts.groupBy(*by, "_i").agg(F.count("_v").alias("_c")).agg(F.max("_c")).first()[0] or 0) > BAND:
+        counts = written(_narrow(counts, by, qs, accuracy))
     order = Window.partitionBy(*by, "_i").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("_to", F.sum("_k").over(order))
     picks = []
