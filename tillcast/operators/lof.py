@@ -93,18 +93,35 @@ def knn_blocked(df: DataFrame, block: list[str], rid: str, feats: list[str], k:
         m *= 2
 
 
-def lof_blocked(df: DataFrame, block: list[str], rid: str, feats: list[str], k: int = 40,
-                contamination: float = 0.005, u: str | None = None) -> DataFrame:
-    """Adds ``lof`` (null for one-row blocks) and ``lof_anomaly`` to ``df``."""
-    pairs = knn_blocked(df, block, rid, feats, k, u)
+def _scores(pairs: DataFrame, block: list[str], rid: str) -> DataFrame:
+    """(block, rid, lof) of a neighbour table (block, rid, _o, _d, _kdist)."""
     kd = pairs.select(*block, F.col(rid).alias("_o"), F.col("_kdist").alias("_kdo")).distinct()
     reach = pairs.join(kd, [*block, "_o"]).withColumn("_reach", F.greatest("_kdo", "_d"))
     lrd = reach.groupBy(*block, rid).agg((F.lit(1.0) / (F.avg("_reach") + F.lit(1e-10))).alias("_lrd"))
     lrd_o = lrd.select(*block, F.col(rid).alias("_o"), F.col("_lrd").alias("_lrdo"))
-    lof = (pairs.join(lrd_o, [*block, "_o"]).groupBy(*block, rid).agg(F.avg("_lrdo").alias("_m"))
-           .join(lrd, [*block, rid]).select(*block, rid, snap8(F.col("_m") / F.col("_lrd")).alias("lof")))
-    out = written(df.join(lof, [*block, rid], "left"))
+    return (pairs.join(lrd_o, [*block, "_o"]).groupBy(*block, rid).agg(F.avg("_lrdo").alias("_m"))
+            .join(lrd, [*block, rid]).select(*block, rid, snap8(F.col("_m") / F.col("_lrd")).alias("lof")))
+
+
+def _flagged(df: DataFrame, lof: DataFrame, on: list[str], contamination: float) -> DataFrame:
     from tillcast.functions.quantiles import exact_quantiles
+    out = written(df.join(lof, on, "left"))
     cut = exact_quantiles(out, ["lof"], [1.0 - contamination])["lof"][0]
     flag = F.coalesce((F.col("lof") > F.lit(cut)).cast("int"), F.lit(0)) if cut is not None else F.lit(0)
     return out.withColumn("lof_anomaly", flag)
+
+
+def lof_blocked(df: DataFrame, block: list[str], rid: str, feats: list[str], k: int = 40,
+                contamination: float = 0.005, u: str | None = None) -> DataFrame:
+    """Adds ``lof`` (null for one-row blocks) and ``lof_anomaly`` to ``df``."""
+    return _flagged(df, _scores(knn_blocked(df, block, rid, feats, k, u), block, rid), [*block, rid], contamination)
+
+
+def lof_all(df: DataFrame, rid: str, feats: list[str], k: int = 40, contamination: float = 0.005, cell_rows: int = 2000) -> DataFrame:
+    """The factor with neighbours among all rows: adds ``lof`` and ``lof_anomaly`` to ``df``.
+
+    Exact (``neighbours.nearest_all``); ``rid`` names each row once. Rows with a null
+    feature have no factor and no flag.
+    """
+    from tillcast.operators.neighbours import nearest_all
+    return _flagged(df, _scores(nearest_all(df, rid, feats, k, cell_rows), [], rid), [rid], contamination)
