@@ -68,3 +68,18 @@ def ship_package(spark: SparkSession) -> None:
     home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     base = os.path.join(tempfile.mkdtemp(prefix="tillcast-"), "tillcast")
     spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", home, "tillcast"))
+
+
+def bucketed(df: DataFrame, keys: list[str], order: str | None = None, buckets: int | None = None) -> DataFrame:
+    """df as a table bucketed by ``keys`` and sorted by them and ``order``, in the shared checkpoint folder.
+
+    Windows, joins and aggregates on the keys read it without an exchange. ``buckets``
+    should be a few times the cluster's cores; it defaults to the session's shuffle partitions.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"layer_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    one_file_a_bucket = df.repartition(n, *keys)
+    one_file_a_bucket.write.bucketBy(n, *keys).sortBy(*keys, *([order] if order else [])).option("path", path).saveAsTable(name)
+    return spark.table(name)

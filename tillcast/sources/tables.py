@@ -95,5 +95,20 @@ def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def write_models(table: DataFrame, path: str, mode: str = "append") -> None:
+    """Model table (level, store, model, version, params, coef), partitioned by model, so that one model is read alone."""
+    table.write.mode(mode).partitionBy("model").parquet(path)
+
+
+def read_models(spark: SparkSession, path: str, model: str, level: str | None = None, store: int | None = None,
+                version: str | None = None) -> DataFrame:
+    """The rows of a model table for a model, and if given of one level, store and version."""
+    out = spark.read.parquet(path).where(F.col("model") == model)
+    for name, value in (("level", level), ("store", store), ("version", version)):
+        if value is not None:
+            out = out.where(F.col(name) == value)
+    return out
+
+
 def read_layer(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
