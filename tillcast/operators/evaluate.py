@@ -21,6 +21,13 @@ def forecast_metrics(fc: DataFrame, keys: list[str] = (*LEVEL, "model")) -> Data
         F.count(F.lit(1)).alias("n"))
 
 
+def common_weeks(fc: DataFrame, n_models: int) -> DataFrame:
+    """The rows of weeks that all ``n_models`` models forecast in a series, so that all are scored on the same ones."""
+    known = fc.where(F.col("forecast").isNotNull())
+    w = Window.partitionBy(*LEVEL, "date")
+    return known.withColumn("_m", F.count(F.lit(1)).over(w)).where(F.col("_m") == n_models).drop("_m")
+
+
 def rank_models(metrics: DataFrame) -> DataFrame:
     """Rank inside (level, store): R^2 desc, RMSE asc, model name; rank 1 is best."""
     w = Window.partitionBy(*LEVEL).orderBy(F.desc_nulls_last("r2"), F.asc_nulls_last("rmse"), "model")

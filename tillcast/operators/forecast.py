@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tillcast.functions.dates import iso_week
 from tillcast.operators.features import category_codes, lags, shifted_rolling, store_dept_week
-from tillcast.operators.prepare import weekly_spine
+from tillcast.operators.prepare import weekly_spine, with_defaults
 
 LEVEL = ["level", "store"]
 
@@ -116,9 +116,11 @@ def long_features(series: DataFrame, keys: list[str] = LEVEL) -> DataFrame:
     return t.dropna(subset=["lag_1", "lag_2", "lag_52", "roll_mean_4", "roll_mean_12", "roll_mean_52"])
 
 
-def short_features(series: DataFrame, exog: DataFrame | None = None, keys: list[str] = LEVEL) -> DataFrame:
+def short_features(series: DataFrame, exog: DataFrame | None = None, keys: list[str] = LEVEL,
+                   exog_cols: list[str] = ()) -> DataFrame:
     """Calendar, time index, lags 1, 2, 4, 8, full shifted rolling mean/std 4, 8, exogenous
-    columns (left join on the series key and date); complete rows only."""
+    columns (left join on the series key and date); complete rows only. A column of
+    ``exog_cols`` that ``exog`` does not have is 0 in every row."""
     from tillcast.operators.features import calendar_features
     t = calendar_features(series, keys)
     t = t.withColumn("is_year_start", F.col("is_year_start").cast("int")) \
@@ -131,7 +133,7 @@ def short_features(series: DataFrame, exog: DataFrame | None = None, keys: list[
     if exog is not None:
         t = t.join(exog, [*keys, "date"], "left")
         need += [c for c in exog.columns if c not in (*keys, "date")]
-    return t.dropna(subset=need)
+    return with_defaults(t, exog_cols).dropna(subset=need)
 
 
 def walk_forward_folds(series: DataFrame, horizon: int = 20, start_frac: float = 0.7,

@@ -103,3 +103,8 @@ def resample_week_fri(df: DataFrame, keys: list[str], ts: str, value: str,
     agg = F.sum(value) if how == "sum" else F.avg(value)
     binned = df.groupBy(*keys, week_ending_friday(ts).alias("week")).agg(agg.alias(value))
     return fill_spine(binned, keys, value, "week", 0.0 if how == "sum" else None)
+
+
+def with_defaults(df: DataFrame, cols: list[str], value: float = 0.0) -> DataFrame:
+    """df with every column of ``cols``; those it lacks hold ``value`` in every row."""
+    return df.select("*", *[F.lit(value).cast("double").alias(c) for c in cols if c not in df.columns])

@@ -61,7 +61,12 @@ DEPT_FEATURES = ["median_sales", "std_sales", "seasonality_strength", "volatilit
 
 
 def store_features(cleaned: DataFrame, stores: DataFrame) -> DataFrame:
-    prof = profile(weekly_totals(cleaned, "store"), "store")
+    return store_profile(weekly_totals(cleaned, "store"), stores)
+
+
+def store_profile(weekly: DataFrame, stores: DataFrame) -> DataFrame:
+    """``store_features`` from the stores' weekly totals, for instance a layer of them."""
+    prof = profile(weekly, "store")
     prof = prof.join(stores.select("store", "size"), "store", "left")
     return prof.withColumn("sales_per_size", safe_div("mean_sales", "size")) \
                .select("store", *STORE_FEATURES)
@@ -201,8 +206,9 @@ def segment_methods(vec: DataFrame, key: str, k: int = 2, seed: int = 0,
                     dbscan_input: tuple | None = None) -> DataFrame:
     """Silhouette of each clustering method on the same features.
 
-    ``dbscan_input`` = (points DataFrame, feature columns, eps, min_samples) adds
-    DBSCAN, scored without its noise points and -1 when it finds fewer than two clusters.
+    ``dbscan_input`` = (points DataFrame, feature columns, eps, min_samples) adds Ward
+    linkage of those points, and DBSCAN, scored without its noise points and -1 when it
+    finds fewer than two clusters.
     """
     from pyspark.ml.evaluation import ClusteringEvaluator
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
@@ -210,7 +216,9 @@ def segment_methods(vec: DataFrame, key: str, k: int = 2, seed: int = 0,
                 ("bisecting_kmeans", bisecting_segments(vec, key, k, seed))]
     if dbscan_input is not None:
         from tillcast.operators.dbscan import dbscan
+        from tillcast.operators.ward import ward
         pts, cols, eps, min_samples = dbscan_input
+        labelled.append(("ward", ward(pts, key, cols, k)))
         labelled.append(("dbscan", dbscan(pts, key, cols, eps, min_samples).where(F.col("cluster") >= 0)))
     rows = []
     for name, lab in labelled:

@@ -8,7 +8,7 @@ from tillcast.functions.numeric import r4, snap8
 from tillcast.operators import anomaly
 from tillcast.plans.registry import Views, register
 from tillcast.plans.sqlbase import sales_cte, with_views
-from tillcast.session import written
+from tillcast.session import bucketed, ensure_checkpoint_dir, written
 
 ROLLING_SQL = with_views() + """
 select store, dept, date, weekly_sales, r4(z) as rolling_zscore,
@@ -36,6 +36,34 @@ def rolling_zscore_by_supplier(spark, sf_dir):
     return out.select("store", "dept", "date", "weekly_sales",
                       r4("rolling_zscore").alias("rolling_zscore"), "rolling_anomaly")
 
+
+
+def _rolling_out(df):
+    return df.select("store", "dept", "date", "weekly_sales", r4("rolling_zscore").alias("rolling_zscore"), "rolling_anomaly")
+
+
+@register("rolling_zscore_layer", ROLLING_SQL)
+def rolling_zscore_layer(spark, sf_dir):
+    """The flagship on a layer bucketed by series: no exchange before the window."""
+    return _rolling_out(anomaly.rolling_zscore(bucketed(Views(spark, sf_dir).sales, ["store", "dept"], "date")))
+
+
+@register("rolling_zscore_refreshed", ROLLING_SQL)
+def rolling_zscore_refreshed(spark, sf_dir):
+    """The flagship as a layer by month that was built without the latest eight weeks and without each
+    series' corrected week, then brought up to date."""
+    import uuid
+    from tillcast.sources import refresh as R
+    sales = written(Views(spark, sf_dir).sales)
+    last = sales.agg(F.max("date")).first()[0]
+    new = (F.col("date") > F.date_sub(F.lit(last), 56)) | (F.pmod(F.xxhash64("store", "dept", "date"), F.lit(997)) == 0)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rolling-{uuid.uuid4().hex}"
+    month = F.date_format("date", "yyyy-MM")
+    R.write_parts(anomaly.rolling_zscore(sales.where(~new)), path, month)
+    R.refresh(sales, sales.where(new).select("store", "dept", "date"), path, anomaly.rolling_zscore, month, ["store", "dept"], back=7, on=7)
+    return _rolling_out(spark.read.parquet(path))
+
+
 from tillcast.plans.sqlbase import with_cleaned  # noqa: E402
 
 
@@ -172,6 +200,19 @@ def lof_blocked(spark, sf_dir):
     return out.select("store", "dept", "date", "weekly_sales", r4("lof").alias("lof"), "lof_anomaly")
 
 
+def _lof_all(g, keys=("store", "dept", "date")):
+    from tillcast.operators.lof import lof_all as lof
+    return lof(written(g.withColumn("row", F.concat_ws("|", *keys))), "row", LOF_FEATURES, k=40, contamination=0.005)
+
+
+@register("lof_all")
+def lof_all(spark, sf_dir):
+    """Local outlier factor with neighbours among all rows, over all five features."""
+    g, _ = detector_features(Views(spark, sf_dir))
+    out = _lof_all(g)
+    return out.select("store", "dept", "date", "weekly_sales", r4("lof").alias("lof"), "lof_anomaly")
+
+
 @register("stl_decompose")
 def stl_decompose(spark, sf_dir):
     from tillcast.operators.stl import stl_decompose as stl
@@ -182,13 +223,12 @@ def stl_decompose(spark, sf_dir):
 def detector_rates(spark, sf_dir):
     """Percent of weeks flagged by each of the four detectors."""
     from tillcast.operators.iforest import isolation_forest as iforest
-    from tillcast.operators.lof import lof_blocked as lof
     v = Views(spark, sf_dir)
     keys = ["store", "dept", "date"]
     g, cols = detector_features(v)
     g = written(g)
     forest = iforest(g, keys, cols, n_trees=100, psi=256, contamination=0.002).select(*keys, "if_anomaly")
-    near = lof(g, ["store", "dept"], "date", LOF_FEATURES[:2], k=40, contamination=0.005).select(*keys, "lof_anomaly")
+    near = _lof_all(g).select(*keys, "lof_anomaly")
     flags = v.cleaned.select(*keys, "rolling_anomaly", "stk_anomaly").join(forest, keys).join(near, keys)
     out = anomaly.flag_rates(flags, ["rolling_anomaly", "stk_anomaly", "if_anomaly", "lof_anomaly"])
     return out.select("detector", r4("percent").alias("percent"))

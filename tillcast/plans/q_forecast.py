@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillcast.functions.numeric import r4
+from tillcast.operators import boost as BO
 from tillcast.operators import evaluate as EV
 from tillcast.operators import forecast as FC
+from tillcast.operators import tuning as TU
 from tillcast.plans.registry import Views, register
 from tillcast.plans.sqlbase import with_cleaned, with_views
 from tillcast.session import written
@@ -303,7 +305,7 @@ SHORT_COLS = ["lag_1", "lag_2", "lag_4", "lag_8", "rolling_mean_4", "rolling_mea
               "rolling_std_8"]
 
 
-def _short_sql():
+def _short_sql(markdown='x.total_markdown'):
     def full(fn, w):
         fr = f"(w rows between {w} preceding and 1 preceding)"
         return f"case when count(y) over {fr} = {w} then {fn}(y) over {fr} end"
@@ -318,7 +320,7 @@ sf as (select s.*, cast(year(s.date) as integer) as year, cast(month(s.date) as
               lag(y, 1) over w as lag_1, lag(y, 2) over w as lag_2, lag(y, 4) over w as lag_4, lag(y, 8) over w as lag_8,
               {full('avg', 4)} as rolling_mean_4, {full('avg', 8)} as rolling_mean_8,
               {full('stddev_samp', 4)} as rolling_std_4, {full('stddev_samp', 8)} as rolling_std_8,
-              x.is_holiday, x.total_markdown
+              x.is_holiday, {markdown} as total_markdown
        from series s left join sx x on x.store = s.store and x.date = s.date
        window w as (partition by s.level, s.store order by s.date))
 select level, store, date, r4(y) as y, year, month, week_of_year, day_of_week, is_year_start, is_year_end,
@@ -328,17 +330,32 @@ from sf where level = 'store' and {" and ".join(f"{c} is not null" for c in SHOR
       and is_holiday is not null and total_markdown is not null"""
 
 
-@register("short_features", _short_sql())
-def short_features(spark, sf_dir):
+SHORT_EXOG = ["is_holiday", "total_markdown"]
+
+
+def _short_rows(spark, sf_dir, series, exog_cols=SHORT_EXOG):
+    """Short-horizon feature rows of the store series."""
     p = Views(spark, sf_dir).prepared
-    s = _series(spark, sf_dir).where(F.col("level") == "store")
-    exog = p.groupBy("store", "date").agg(F.avg("is_holiday").alias("is_holiday"),
-                                          F.avg("total_markdown").alias("total_markdown"))
-    t = FC.short_features(s, exog.withColumn("level", F.lit("store")))
+    exog = p.groupBy("store", "date").agg(*[F.avg(c).alias(c) for c in exog_cols])
+    return FC.short_features(series.where(F.col("level") == "store"), exog.withColumn("level", F.lit("store")), exog_cols=SHORT_EXOG)
+
+
+def _short_out(t):
     rc = set(SHORT_COLS) | {"y", "is_holiday", "total_markdown"}
     return t.select(*[r4(c).alias(c) if c in rc else F.col(c) for c in t.columns])
 
 
+@register("short_features", _short_sql())
+def short_features(spark, sf_dir):
+    return _short_out(_short_rows(spark, sf_dir, _series(spark, sf_dir)))
+
+
+@register("short_features_default", _short_sql("0e0"))
+def short_features_default(spark, sf_dir):
+    """Sales without a markdown column: it is 0 in every row."""
+    return _short_out(_short_rows(spark, sf_dir, _series(spark, sf_dir), ["is_holiday"]))
+
+
 @register("walk_forward_folds", WF + f"""
 , st as (select level, store, n, cast(floor(n * 7e-1) as integer) as start0 from (select distinct level, store, n from pos) x
          where n - {HORIZON} - 1 >= cast(floor(n * 7e-1) as integer)),
@@ -383,35 +400,78 @@ def global_gbt(spark, sf_dir):
     return gg(FC.global_features(Views(spark, sf_dir).cleaned))
 
 
+# Budgets of the two rungs (trees), and the number of settings tried: parameters of these queries.
+RUNGS, TRIALS = [30, 120], 9
+LONG_FEATURES = LONG_COLS + ["weekofyear", "month", "year"]
+SHORT_FEATURES = SHORT_COLS + ["year", "month", "week_of_year", "day_of_week", "is_year_start", "is_year_end",
+                               "days_since_start", "is_holiday", "total_markdown"]
+
+
+def _long_rungs(series):
+    """(feature rows, rung table) of the long-horizon trees; positions are those of the whole series."""
+    pos = written(FC.with_positions(series))
+    rows = written(FC.long_features(pos))
+    return rows, TU.halving(rows, TU.walk_forward_ranges(pos, HORIZON), BO.random_settings(TRIALS), BO.tree_loss(LONG_FEATURES), RUNGS)
+
+
+def _long_trees(series, rungs=None):
+    rows, rungs = _long_rungs(series) if rungs is None else rungs
+    return BO.series_trees(rows, TU.choice(rungs), BO.random_settings(TRIALS), LONG_FEATURES, "gbt_long", HORIZON)
+
+
 @register("long_gbt")
 def long_gbt(spark, sf_dir):
-    from tillcast.operators.trees import pooled_series_gbt
-    feat = FC.long_features(_series(spark, sf_dir))
-    return pooled_series_gbt(feat, LONG_COLS + ["weekofyear", "month", "year"], "gbt_long")
+    """Boosted trees per series (stores and chain), settings chosen by successive halving, rounds by validation weeks."""
+    return _long_trees(_series(spark, sf_dir))
 
 
 @register("short_gbt")
 def short_gbt(spark, sf_dir):
-    from tillcast.operators.trees import pooled_series_gbt
-    p = Views(spark, sf_dir).prepared
-    s = _series(spark, sf_dir).where(F.col("level") == "store")
-    exog = p.groupBy("store", "date").agg(F.avg("is_holiday").alias("is_holiday"),
-                                          F.avg("total_markdown").alias("total_markdown"))
-    feat = FC.short_features(s, exog.withColumn("level", F.lit("store")))
-    cols = SHORT_COLS + ["year", "month", "week_of_year", "day_of_week", "is_year_start", "is_year_end",
-                         "days_since_start", "is_holiday", "total_markdown"]
-    return pooled_series_gbt(feat, cols, "gbt_short", horizon=8)
+    """Boosted trees per store over 8 weeks, settings chosen on the last six position folds."""
+    pos = written(FC.with_positions(_series(spark, sf_dir)))
+    rows = written(_short_rows(spark, sf_dir, pos))
+    folds = TU.last_folds(TU.position_ranges(pos.where(F.col("level") == "store")), 6)
+    rungs = TU.halving(rows, folds, BO.random_settings(TRIALS), BO.tree_loss(SHORT_FEATURES), RUNGS)
+    return BO.series_trees(rows, TU.choice(rungs), BO.random_settings(TRIALS), SHORT_FEATURES, "gbt_short", 8)
+
+
+@register("tuning_folds", WF + f"""
+, st as (select distinct level, store, train_size, cast(floor(train_size * 7e-1) as integer) as start0 from pos),
+f as (select level, store, unnest(generate_series(start0, train_size - {HORIZON}, {HORIZON})) as start
+      from st where start0 > 0 and start0 + {HORIZON} <= train_size)
+select level, store, cast(row_number() over (partition by level, store order by start) - 1 as integer) as fold,
+       cast(start as integer) as start, cast(start + {HORIZON} as integer) as stop from f""")
+def tuning_folds(spark, sf_dir):
+    """The folds that settings are chosen on: position ranges inside the train part, one row a fold."""
+    return TU.walk_forward_ranges(FC.with_positions(_series(spark, sf_dir)), HORIZON)
+
+
+@register("tuning_rungs", WF + f"""
+, st as (select distinct level, store, train_size, cast(floor(train_size * 7e-1) as integer) as start0 from pos),
+f as (select level, store, count(*) as n_folds from (
+        select level, store, unnest(generate_series(start0, train_size - {HORIZON}, {HORIZON})) as start
+        from st where start0 > 0 and start0 + {HORIZON} <= train_size) x group by level, store),
+r as (select unnest([0, 1]) as rung, unnest({RUNGS}) as budget, unnest([{TRIALS}, 3]) as n_settings, unnest([3, 1]) as n_kept)
+select f.level, f.store, cast(r.rung as integer) as rung, cast(r.budget as integer) as budget, cast(r.n_settings as bigint) as n_settings,
+       f.n_folds, cast(r.n_kept as bigint) as n_kept, true as best_kept, true as losses_ordered
+from f cross join r""")
+def tuning_rungs(spark, sf_dir):
+    """What each rung tried and kept in every series, and whether those kept have the least mean losses."""
+    _, t = _long_rungs(_series(spark, sf_dir))
+    of = t.groupBy("level", "store", "rung", "budget", "setting").agg(
+        F.count("loss").alias("folds"), F.avg("loss").alias("mean"), F.first("rank").alias("rank"), F.first("survives").alias("survives"))
+    return of.groupBy("level", "store", "rung", "budget").agg(
+        F.count(F.lit(1)).alias("n_settings"), F.max("folds").alias("n_folds"), F.count_if("survives").alias("n_kept"),
+        F.coalesce(F.max(F.when(F.col("survives"), F.col("mean"))) <= F.min(F.when(~F.col("survives"), F.col("mean"))), F.lit(True)).alias("best_kept"),
+        (F.min_by("mean", "rank") == F.min("mean")).alias("losses_ordered"))
 
 
 @register("forecast_results")
 def forecast_results(spark, sf_dir):
     """Results of models with different columns in one table (missing columns null)."""
-    from tillcast.operators.trees import pooled_series_gbt
     s = _series(spark, sf_dir)
     naive = FC.naive_forecasts(s, HORIZON)
-    gbt = pooled_series_gbt(FC.long_features(s), LONG_COLS + ["weekofyear", "month", "year"], "gbt_long",
-                            horizon=HORIZON)
-    gbt = gbt.withColumn("log_target", F.lit(False))
+    gbt = _long_trees(s)
     out = naive.unionByName(gbt, allowMissingColumns=True)
     m = EV.forecast_metrics(out).select(F.col("level").alias("m_level"), F.col("store").alias("m_store"),
                                         F.col("model").alias("m_model"), "rmse", "r2")
@@ -442,41 +502,104 @@ def fourier_trend(spark, sf_dir):
     return ft(_series(spark, sf_dir), HORIZON, log_target=True)
 
 
+@register("trend_breaks")
+def trend_breaks(spark, sf_dir):
+    """Trend with breaks kept by the lasso out of 25 candidates, yearly terms and holiday: test forecasts."""
+    from tillcast.operators.solve import trend_breaks as tb
+    return tb(_series(spark, sf_dir), HORIZON)[0]
+
+
+@register("trend_terms", WF + """
+select distinct level, store, cast(34 as bigint) as n_terms, cast(25 as bigint) as n_candidates, true as optimal, true as free_terms_fit
+from pos""")
+def trend_terms(spark, sf_dir):
+    """The optimality conditions of every series' breaks: the gradient is the signed penalty at a kept break, no larger elsewhere."""
+    from tillcast.operators.solve import trend_breaks as tb
+    t = tb(_series(spark, sf_dir), HORIZON)[1]
+    slack = 1e-6 * F.col("penalty") + F.lit(1e-7)
+    kept = F.abs(F.col("gradient") - F.signum("coef") * F.col("penalty")) <= slack
+    held = F.when(F.col("coef") == 0, F.abs("gradient") <= F.col("penalty") + slack).otherwise(kept)
+    return t.groupBy("level", "store").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.count("at").alias("n_candidates"), F.every(F.when(F.col("at").isNotNull(), held)).alias("optimal"),
+        F.every(F.when(F.col("at").isNull(), F.col("coef").isNotNull() & ~F.isnan("coef"))).alias("free_terms_fit"))
+
+
 @register("arx_walk_forward")
 def arx_walk_forward(spark, sf_dir):
     from tillcast.operators.solve import arx_walk_forward as arx
     return arx(_with_markdown(spark, sf_dir), horizon=8, exog=EXOG, log_target=True)
 
 
+@register("arma_walk_forward")
+def arma_walk_forward(spark, sf_dir):
+    """With a moving-average term: two lags, the yearly lag, one lagged innovation, holiday and markdown."""
+    from tillcast.operators.solve import arma_walk_forward as arma
+    return arma(_with_markdown(spark, sf_dir), horizon=8, exog=EXOG, log_target=True)
+
+
 @register("grid_search_arx")
 def grid_search_arx(spark, sf_dir):
     from tillcast.operators.solve import grid_search_arx as gs
     return gs(written(_with_markdown(spark, sf_dir)), exog=EXOG)
 
 
+# Settings of the autoregression that are compared on the folds.
+ARMA_SETTINGS = [{"season": s, "ma": q, "log": 1} for s in (4, 13, 26, 52) for q in (0, 1)]
+# Models that are ranked together.
+MODELS = ["naive_tail", "seasonal_naive", "fourier_trend", "trend_breaks", "arma", "gbt_long"]
+
+
+def _arma(series, horizon):
+    from tillcast.operators.solve import tuned_arma
+    n_folds = 3
+    folds = TU.last_folds(TU.walk_forward_ranges(FC.with_positions(series), horizon), n_folds)
+    # folds start at steps of a horizon, so the latest may end up to a horizon before the train part does
+    return tuned_arma(series, folds, ARMA_SETTINGS, (n_folds + 1) * horizon, horizon, exog=EXOG)
+
+
+@register("arma_losses")
+def arma_losses(spark, sf_dir):
+    """Loss of every setting of the autoregression on every fold, its rank, and the one chosen."""
+    return _arma(written(_with_markdown(spark, sf_dir)), HORIZON)[1]
+
+
 def _all_models(spark, sf_dir):
-    """Forecast rows of every model over the same test weeks, ineligible series left out."""
-    from tillcast.operators.solve import arx_walk_forward as arx, fourier_trend as ft
-    from tillcast.operators.trees import pooled_series_gbt
+    """Forecast rows of every model, on settings chosen inside the train weeks, over the same test weeks.
+
+    The test weeks of a series are cut once, by position in the whole series; a week
+    counts if all models forecast it.
+    """
+    from tillcast.operators.solve import fourier_trend as ft, trend_breaks as tb
     s = written(_with_markdown(spark, sf_dir))
     y = s.drop(*EXOG)
     parts = [FC.naive_forecasts(y, HORIZON),
              FC.apply_eligibility(ft(y, HORIZON, log_target=True), y, "enough_weeks", HORIZON),
-             FC.apply_eligibility(arx(s, horizon=HORIZON, exog=EXOG, log_target=True), y, "arx_ok", HORIZON),
-             FC.apply_eligibility(pooled_series_gbt(FC.long_features(y), LONG_COLS + ["weekofyear", "month", "year"], "gbt_long",
-                                                    horizon=HORIZON, log_target=True), y, "split_ok", HORIZON)]
+             FC.apply_eligibility(tb(y, HORIZON)[0], y, "enough_weeks", HORIZON),
+             FC.apply_eligibility(_arma(s, HORIZON)[0].drop("setting"), y, "arx_ok", HORIZON),
+             FC.apply_eligibility(_long_trees(y).drop("setting", "rounds"), y, "split_ok", HORIZON)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return written(out)
+    return written(EV.common_weeks(out, len(MODELS)))
 
 
 @register("model_ranking")
 def model_ranking(spark, sf_dir):
-    """Naive, Fourier, ARX and boosted trees ranked together in every series."""
+    """Naive, trend, autoregression and boosted trees ranked together in every series."""
     return _mcols(EV.results_with_best(EV.forecast_metrics(_all_models(spark, sf_dir))))
 
 
+@register("ranked_weeks", WF + f"""
+select p.level, p.store, m.model, cast(count(*) as bigint) as n, min(p.date) as first_date, max(p.date) as last_date, r4(sum(p.y)) as actual
+from pos p cross join (select unnest({MODELS}) as model) m
+where p.pos > p.train_size and p.pos <= p.train_size + {HORIZON} and p.n - p.train_size >= {HORIZON}
+group by p.level, p.store, m.model""")
+def ranked_weeks(spark, sf_dir):
+    """The weeks that each model is ranked on: the same for all models of a series."""
+    return _all_models(spark, sf_dir).groupBy("level", "store", "model").agg(
+        F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), r4(F.sum("actual")).alias("actual"))
+
+
 @register("model_winners")
 def model_winners(spark, sf_dir):
     """How many stores each model wins."""

@@ -9,7 +9,7 @@ from tillcast.functions.numeric import r4, snap8
 from tillcast.operators import segment as S
 from tillcast.plans.registry import Views, register
 from tillcast.plans.sqlbase import with_cleaned
-from tillcast.session import written
+from tillcast.session import bucketed, written
 
 
 def decompose_sql(src: str, key: str, y: str, name: str) -> list[str]:
@@ -136,6 +136,14 @@ def store_features(spark, sf_dir):
     return _rs(S.store_features(v.cleaned, v.stores), "store")
 
 
+@register("store_features_layer", with_cleaned(*STORE_PROFILE, STORE_FEATURES_CTE) +
+          f"select store, {_r(S.STORE_FEATURES)} from sf")
+def store_features_layer(spark, sf_dir):
+    """Store features on weekly totals bucketed by store: no exchange before the windows."""
+    v = Views(spark, sf_dir)
+    return _rs(S.store_profile(bucketed(S.weekly_totals(v.cleaned, "store"), ["store"], "date"), v.stores), "store")
+
+
 @register("dept_features", with_cleaned(*DEPT_PROFILE) + f"select dept, {_r(S.DEPT_FEATURES)} from prof")
 def dept_features(spark, sf_dir):
     return _rs(S.dept_features(Views(spark, sf_dir).cleaned), "dept")
@@ -211,8 +219,52 @@ def kmeans_segments(spark, sf_dir):
 
 @register("hierarchical")
 def hierarchical(spark, sf_dir):
-    vec, _ = _vec(spark, sf_dir)
-    return S.bisecting_segments(vec, "store", 2)
+    """Ward linkage of the scaled store features, two clusters."""
+    from tillcast.operators.ward import ward
+    pts, cols = _scaled_store_features(spark, sf_dir)
+    return ward(pts, "store", cols, 2)
+
+
+def _silhouette_sql():
+    cols = [f"{c}_scaled" for c in S.STORE_FEATURES]
+    d2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in cols)
+    sel = ", ".join(f"coalesce({c}, 0e0) as {c}" for c in cols)
+    return with_cleaned(
+        *STORE_PROFILE, STORE_FEATURES_CTE, *_SF_CTES,
+        f"sc as (select store, {sel} from ({_SF_SEL.replace('r4(s8(', '((')}) t)",
+        "lab as (select sc.*, s.type as c from sc join stores s on s.store = sc.store)",
+        "num as (select c, cast(count(*) as double) as m from lab group by c)",
+        f"""tot as (select a.store, a.c as own, b.c as other, sum(sqrt({d2})) as total
+                    from lab a join lab b on true group by a.store, a.c, b.c)""",
+        """ab as (select t.store, t.own, max(case when t.own = t.other and n.m > 1 then t.total / (n.m - 1) end) as inside,
+                         min(case when t.own <> t.other then t.total / n.m end) as outside
+                  from tot t join num n on n.c = t.other group by t.store, t.own)""") + """
+select r4(s8(avg(case when inside is null or greatest(inside, outside) = 0 then 0e0 else (outside - inside) / greatest(inside, outside) end))) as silhouette,
+       0e0 as standard_error, count(*) as n_scored, count(*) as n_rows, cast(count(distinct own) as integer) as n_clusters from ab"""
+
+
+@register("silhouette_types", _silhouette_sql())
+def silhouette_types(spark, sf_dir):
+    """Euclidean silhouette of the stores' types on the scaled store features."""
+    from tillcast.operators.silhouette import silhouette
+    from tillcast.functions.numeric import snap8
+    pts, cols = _scaled_store_features(spark, sf_dir)
+    out = silhouette(Views(spark, sf_dir).stores.select("store", F.col("type").alias("cluster")), pts, "store", cols)
+    return out.withColumn("silhouette", r4(snap8("silhouette")))
+
+
+@register("silhouette_euclidean")
+def silhouette_euclidean(spark, sf_dir):
+    """Euclidean silhouette of k-means on the scaled store features for k = 2 to 10."""
+    from tillcast.operators.silhouette import silhouette
+    pts, cols = _scaled_store_features(spark, sf_dir)
+    pts = written(pts)
+    vec = written(S.assemble(pts, "store", cols))
+    out = None
+    for k in range(2, 11):
+        one = silhouette(S.kmeans_segments(vec, "store", k), pts, "store", cols).withColumn("k", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("segment_methods")
