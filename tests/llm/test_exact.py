@@ -386,6 +386,7 @@ def test_leaks_in_several_passes_are_the_same(spark, monkeypatch, limit):
     want = leaks_of(docs, items)
     monkeypatch.setattr(decontam, "PASS_BYTES", items.selectExpr("sum(octet_length(text))").first()[0] // 3 + limit)
     monkeypatch.setattr(decontam, "SHARD_ITEMS", 7)
+    monkeypatch.setattr(decontam, "GROUP", 2)
     assert leaks_of(docs, items) == want and len(want) > 2
 
 

@@ -30,6 +30,7 @@ K1, B = 1.2, 0.75
 SHINGLE, OVERLAP = 5, 0.8
 PART = 0.5  # of the shingles of the question, and of the answer
 BLOCK = 8  # items to a block of postings
+GROUP = 512  # passages looked up side by side
 SHARD_ITEMS = 4096  # an index holds at most so many items
 PASS_BYTES = 32 << 20  # items of about so many bytes are sought in one pass over the texts
 LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType())] + [
@@ -145,8 +146,8 @@ class Index:
             return []
         cut = np.searchsorted(half, np.arange(n_half + 2))
         out: dict[tuple[int, int], tuple] = {}
-        for at in range(0, len(alive), 512):
-            group = alive[at:at + 512]
+        for at in range(0, len(alive), GROUP):
+            group = alive[at:at + GROUP]
             stop = np.where(last[group], cut[group + 1], cut[np.minimum(group + 2, n_half)])
             passage, rows = _expand(cut[group], stop)
             t = term[rows]
@@ -168,8 +169,8 @@ class Index:
                 x = int(np.searchsorted(half0, g, "right")) - 1
                 a = w.first[x] + (g - half0[x]) * self.step
                 held = np.isin(self.shingles[i], _shingles_of(w.hash[a:min(a + 2 * self.step, w.first[x + 1])], len(self.shingles[i]), self.step))
-                cut = self.answer[i]
-                q, r = (held, held) if not cut else (held[:cut], held[cut:])
+                answer = self.answer[i]
+                q, r = (held, held) if not answer else (held[:answer], held[answer:])
                 if held.mean() >= OVERLAP and q.mean() >= PART and r.mean() >= PART:
                     found = (float(held.mean()), s, float(q.mean()), float(r.mean()))
                     out[x, i] = max(out.get((x, i), found), found)
