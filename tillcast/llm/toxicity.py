@@ -33,7 +33,7 @@ class Sentences:
     """first: each sentence's first word (k + 1 places); of: each text's first sentence (n + 1 places)."""
 
     def __init__(self, chunk: Chunk):
-        self.low = words.fold(chunk.data)
+        self.low, self.offsets = words.fold(chunk.data), chunk.offsets
         w = self.words = words.Words(chunk.data, chunk.offsets, self.low)
         n = len(w.start)
         text = self.text = np.repeat(np.arange(len(chunk)), np.diff(w.first))
@@ -51,15 +51,19 @@ class Sentences:
         self.two[inside] = (words.mix(w.hash[inside] * np.uint64(3) + w.hash[inside + 1]) >> _TOP).astype(np.int32)
 
     def parts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Features of the parts of words, and the word of each."""
-        w, n = self.words, len(self.low)
+        """Features of the parts of words, and the word of each. A gap stands before and after every text."""
+        w, sizes = self.words, np.diff(self.offsets)
+        n = len(self.low) + len(sizes) + 1
         if n < GRAM or not len(w.start):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        at = np.arange(len(self.low)) + np.repeat(np.arange(1, len(sizes) + 1), sizes)
+        low = np.zeros(n, np.uint64)
+        low[at] = self.low
         own = np.zeros(n + 1, np.int32)  # number of the word that covers a byte, from 1; 0: none
-        own[w.start] += np.arange(1, len(w.start) + 1, dtype=np.int32)
-        own[w.end] -= np.arange(1, len(w.start) + 1, dtype=np.int32)
+        own[at[w.start]] += np.arange(1, len(w.start) + 1, dtype=np.int32)
+        own[at[w.end - 1] + 1] -= np.arange(1, len(w.start) + 1, dtype=np.int32)
         own = np.cumsum(own[:n], dtype=np.int32)
-        sym = np.where(own > 0, self.low, 0).astype(np.uint64)
+        sym = np.where(own > 0, low, np.uint64(0))
         m = n - GRAM + 1
         h = np.zeros(m, np.uint64)
         for j in range(GRAM):
