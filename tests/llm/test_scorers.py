@@ -60,6 +60,21 @@ def test_language_model_and_scores(spark, docs, edge):
         assert r.lang_pred == labels[int(at.argmax())] and r.score == pytest.approx(p, rel=1e-6, abs=1e-9)
 
 
+def test_rare_languages_are_learned_whole(spark, monkeypatch):
+    rows = [(k, f"the common tongue number {k} of many", "aa") for k in range(2000)] + [(5000 + k, f"szczęście źródło żółw {k}", "zz") for k in range(9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels, logp, prior = langid.train(frame, max_rows=100)
+    count = Counter(g for _, t, lang in rows if lang == "zz" for g in grams(t))
+    total = sum(count.values()) + 0.5 * langid.FEATURES
+    assert labels == ["aa", "zz"] and prior == pytest.approx([math.log(2000 / 2009), math.log(9 / 2009)])
+    assert all(logp[g, 1] == pytest.approx(math.log((n + 0.5) / total)) for g, n in count.items())
+    got = langid.identify(spark, spark.createDataFrame([(1, "źródło żółw"), (2, "common number")], "doc_id long, text string"), (labels, logp, prior))
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "zz", 2: "aa"}
+    monkeypatch.setattr(langid, "MAX_LABELS", 1)
+    with pytest.raises(ValueError):
+        langid.train(frame)
+
+
 # --- toxicity
 
 def mix(h):

@@ -170,3 +170,22 @@ def bounded_sample(df: DataFrame, key: str, text: str, max_rows: int, max_bytes:
         return df
     cut = math.floor(share * (1 << 40))
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), col(key)), F.lit(1 << 40)) < cut)
+
+
+def sample_by_label(df: DataFrame, key: str, text: str, label: str, max_rows: int, max_bytes: int,
+                    max_labels: int) -> tuple[DataFrame, dict[str, int]]:
+    """A bounded sample in which every label has an equal part of the bounds, and the rows of each label in df.
+
+    A rare label is taken whole as long as it fits its part. More than ``max_labels``
+    labels are an error: what is learned of them would have no bound.
+    """
+    stats = (df.groupBy(col(label).cast("string").alias("l")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(col(text))).alias("b"))
+             .orderBy("l").limit(max_labels + 1).collect())
+    if len(stats) > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
+    part = max(len(stats), 1)
+    share = {r.l: min(1.0, max_rows / part / r.n, max_bytes / part / r.b if r.b else 1.0) for r in stats}
+    if stats and min(share.values()) < 1:
+        cuts = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(math.floor(v * (1 << 40))))])
+        df = df.where(F.pmod(F.xxhash64(F.lit("sample"), col(key)), F.lit(1 << 40)) < cuts[col(label).cast("string")])
+    return df, {r.l: r.n for r in stats}

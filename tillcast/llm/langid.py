@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import words
-from .common import Chunk, bounded_sample, col, crc_mod, read, text_chunks, with_text_columns
+from .common import Chunk, col, crc_mod, read, sample_by_label, text_chunks, with_text_columns
 
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
-MAX_ROWS, MAX_BYTES = 20_000, 64 << 20  # the training sample: at most about this many rows and bytes
+MAX_ROWS, MAX_BYTES = 20_000, 64 << 20  # the training sample: at most about this many rows and bytes, an equal part for each label
+MAX_LABELS = 256  # a matrix of FEATURES by labels is broadcast: 134 MB
 UNKNOWN = "und"
 
 
@@ -67,10 +68,11 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", alpha: f
           max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, key: str = "doc_id"):
     """(labels, log-probabilities [FEATURES + 1, labels], log priors).
 
-    Rows with a null label or text teach nothing. Without any, labels is empty.
+    Rows with a null label or text teach nothing. Without any, labels is empty. A label's
+    prior is its share of all rows with a label, whatever the sample took of it.
     """
     rows = labelled.where(col(label).isNotNull() & col(text).isNotNull())
-    sample = bounded_sample(rows, key, text, max_rows, max_bytes)
+    sample, known = sample_by_label(rows, key, text, label, max_rows, max_bytes, MAX_LABELS)
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -86,7 +88,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", alpha: f
                     got += np.bincount(number * width + g, minlength=len(got))
                 for i, k in enumerate(kinds):
                     part = got[i * width:(i + 1) * width].copy()
-                    part[FEATURES] = names.count(k)  # documents, for the prior
+                    part[FEATURES] = 0  # places without a feature
                     sums[k] = sums[k] + part if k in sums else part
         for k, v in sums.items():
             hit = np.flatnonzero(v)
@@ -97,12 +99,12 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", alpha: f
     counts = (sample.select(col(text), col(label).cast("string"))
               .mapInArrow(count, "label string, f int, n long")
               .groupBy("label", "f").agg(F.sum("n").alias("n")).toPandas())  # labels x FEATURES rows at most
-    labels = sorted(counts["label"].unique())
+    labels = sorted(known)
     n = np.zeros((FEATURES + 1, len(labels)))
     for j, name in enumerate(labels):
         one = counts[counts["label"] == name]
         n[one["f"].to_numpy(), j] = one["n"].to_numpy()
-    docs, n = n[FEATURES], n[:FEATURES] + alpha
+    docs, n = np.array([known[k] for k in labels], float), n[:FEATURES] + alpha
     logp = np.vstack([np.log(n / n.sum(axis=0)), np.zeros(len(labels))])
     return labels, logp, np.log(docs / docs.sum()) if len(labels) else np.zeros(0)
 
