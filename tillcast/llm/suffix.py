@@ -117,7 +117,7 @@ def _pack(buckets: int):
             head = np.ones(len(key), bool)
             head[1:] = key[1:] != key[:-1]
             first = np.flatnonzero(head)
-            count = np.minimum(np.diff(np.append(first, len(key))), 65535).astype("<u2")
+            count = np.diff(np.append(first, len(key))).astype("<u4")
             key = key[first]
             cut = np.searchsorted(key >> np.uint64(32), np.arange((1 << buckets) + 1).astype(np.uint64))
             low = key.astype("<u4")
@@ -145,7 +145,7 @@ def _mark(bits: int, hot: int):
     """A bucket's part of the bit map, and its seeds of more than ``hot`` texts."""
     def run(rows: pa.Table) -> pa.Table:
         key = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("keys").to_pylist()])
-        texts = np.concatenate([np.frombuffer(x, "<u2") for x in rows.column("texts").to_pylist()])
+        texts = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("texts").to_pylist()])
         order = np.argsort(key, kind="stable")
         key, texts = key[order], texts[order].astype(np.int64)
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
