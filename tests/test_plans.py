@@ -35,3 +35,9 @@ def test_no_cross_join_or_row_udf_in_any_checked_query(spark):
         if hits:
             bad[key] = hits
     assert bad == {}
+
+
+def test_inputs_are_planned_once(spark):
+    # prepared sales and store weeks are layers that the rest of a plan reads
+    for key, most in (("group_mean_ratios", 4), ("results_with_best", 6)):
+        assert _plan(E.queries()[key](spark, SMALL)).count("FileScan") <= most, key

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tillcast.functions.dates import iso_week
 from tillcast.operators.features import category_codes, lags, shifted_rolling, store_dept_week
 from tillcast.operators.prepare import weekly_spine, with_defaults
+from tillcast.session import written
 
 LEVEL = ["level", "store"]
 
@@ -16,12 +17,13 @@ LEVEL = ["level", "store"]
 def level_series(df: DataFrame, value: str, chain: bool = True) -> DataFrame:
     """(level, store, date, y): store totals and the chain total (store null), each on a
     regular weekly spine with absent weeks 0. The chain is reduced to one row per
-    date before any window, so it never becomes one huge partition."""
-    st = df.groupBy("store", "date").agg(F.sum(value).alias("y"))
+    date before any window, so it never becomes one huge partition. Store weeks are
+    written once; spines and the chain are read from them."""
+    st = written(df.groupBy("store", "date").agg(F.sum(value).alias("y")))
     st = weekly_spine(st, ["store"]).join(st, ["store", "date"], "left")
     out = st.select(F.lit("store").alias("level"), "store", "date", F.coalesce("y", F.lit(0.0)).alias("y"))
     if chain:
-        ch = df.groupBy("date").agg(F.sum(value).alias("y"))
+        ch = st.groupBy("date").agg(F.sum("y").alias("y"))
         ch = weekly_spine(ch, []).join(ch, ["date"], "left")
         out = out.unionByName(ch.select(F.lit("chain").alias("level"), F.lit(None).cast("int").alias("store"),
                                         "date", F.coalesce("y", F.lit(0.0)).alias("y")))

@@ -122,7 +122,7 @@ def detector_features(v):
     """The five detector inputs: ratio features scaled as in the reference, plus codes."""
     from tillcast.operators.features import frequency_encode, group_mean_ratios, log_transform, robust_scale
     # the two scaler fits read the same ratio table: it is written once
-    g = written(group_mean_ratios(v.prepared))
+    g = written(group_mean_ratios(written(v.prepared)))
     g = log_transform(g, ["sales_vs_store"])
     g = robust_scale(g, ["size", "sales_vs_dept"])
     g = frequency_encode(g, ["store", "dept"])
@@ -143,28 +143,33 @@ LOF_FEATURES = ["sales_vs_dept_scaled", "sales_vs_store_transformed_scaled", "de
                 "size_scaled"]
 
 
-def _lof_sql() -> str:
+def detector_ctes() -> list[str]:
+    """The detector table ``pts`` in SQL: five scaled features a row."""
     from tillcast.plans.q_features import GM_CTE
-    from tillcast.plans.sqlbase import sales_cte, with_views
-    f = LOF_FEATURES
-    dist = " + ".join(f"power(a.{c} - b.{c}, 2)" for c in f)
-    return with_views(GM_CTE, """tr as (select *, case when sales_vs_store > 0 then ln(1 + sales_vs_store) else 1e0 end
+    return [GM_CTE, """tr as (select *, case when sales_vs_store > 0 then ln(1 + sales_vs_store) else 1e0 end
                                      as sales_vs_store_transformed from gm)""",
-                      """qp as (select quantile_cont(sales_vs_store_transformed, 0.25) as a1,
+            """qp as (select quantile_cont(sales_vs_store_transformed, 0.25) as a1,
                                       quantile_cont(sales_vs_store_transformed, 0.5) as a2,
                                       quantile_cont(sales_vs_store_transformed, 0.75) as a3,
                                       quantile_cont(size, 0.25) as b1, quantile_cont(size, 0.5) as b2,
                                       quantile_cont(size, 0.75) as b3,
                                       quantile_cont(sales_vs_dept, 0.25) as c1, quantile_cont(sales_vs_dept, 0.5) as c2,
                                       quantile_cont(sales_vs_dept, 0.75) as c3 from tr)""",
-                      """pts as (select t.store, t.dept, t.date, t.weekly_sales,
+            """pts as (select t.store, t.dept, t.date, t.weekly_sales,
               (t.sales_vs_store_transformed - a2) / coalesce(nullif(a3 - a1, 0), 1e0) as sales_vs_store_transformed_scaled,
               (t.size - b2) / coalesce(nullif(b3 - b1, 0), 1e0) as size_scaled,
               (t.sales_vs_dept - c2) / coalesce(nullif(c3 - c1, 0), 1e0) as sales_vs_dept_scaled,
               cast(count(*) over (partition by t.dept) as double) as dept_id_freq,
               cast(count(*) over (partition by t.store) as double) as store_id_freq,
               count(*) over (partition by t.store, t.dept) as n_block
-       from tr t cross join qp)""",
+       from tr t cross join qp)"""]
+
+
+def _lof_sql() -> str:
+    from tillcast.plans.sqlbase import with_views
+    f = LOF_FEATURES
+    dist = " + ".join(f"power(a.{c} - b.{c}, 2)" for c in f)
+    return with_views(*detector_ctes(),
                       f"""knn as (select * from (
          select a.store, a.dept, a.date as p, b.date as o, sqrt({dist}) as d, a.n_block,
                 row_number() over (partition by a.store, a.dept, a.date order by sqrt({dist}), b.date) as r

@@ -9,6 +9,7 @@ from tillcast.operators import features as FE
 from tillcast.operators.prepare import MARKDOWNS
 from tillcast.plans.registry import Views, register
 from tillcast.plans.sqlbase import with_views
+from tillcast.session import written
 
 GM_CTE = """gm as (
   select p.*, sm.store_mean, dm.dept_mean, sdm.store_dept_mean,
@@ -22,7 +23,7 @@ GM_CTE = """gm as (
 
 
 def _gm(spark, sf_dir):
-    return FE.group_mean_ratios(Views(spark, sf_dir).prepared)
+    return FE.group_mean_ratios(written(Views(spark, sf_dir).prepared))
 
 
 @register("group_mean_ratios", with_views(GM_CTE, prepared=True) + """

@@ -293,17 +293,33 @@ def cluster_box(spark, sf_dir):
                       "n_outliers", "n")
 
 
-@register("vif")
+VIF_FEATURES = ["sales_vs_store_transformed_scaled", "dept_id_freq", "store_id_freq", "size_scaled", "sales_vs_dept_scaled"]
+
+
+def _vif_sql():
+    """The inverse correlation matrix by sweeping one feature after another."""
+    from tillcast.plans.q_anomaly import detector_ctes
+    from tillcast.plans.sqlbase import with_views
+    n = range(len(VIF_FEATURES))
+    rows = " union all ".join(f"select {i} as i, {j} as j, corr({VIF_FEATURES[i]}, {VIF_FEATURES[j]}) as v from pts" for i in n for j in n)
+    steps = [f"s0 as ({rows})"]
+    for k in n:
+        steps.append(f"""s{k + 1} as (select a.i, a.j, case when a.i = {k} and a.j = {k} then 1 / p.v when a.i = {k} then a.v / p.v
+                         when a.j = {k} then -a.v / p.v else a.v - r.v * c.v / p.v end as v
+                    from s{k} a join s{k} p on p.i = {k} and p.j = {k} join s{k} r on r.i = a.i and r.j = {k} join s{k} c on c.i = {k} and c.j = a.j)""")
+    names = "case i " + " ".join(f"when {i} then '{c}'" for i, c in enumerate(VIF_FEATURES)) + " end"
+    return with_views(*detector_ctes(), *steps, prepared=True) + f" select {names} as feature, r4(s8(v)) as vif from s{len(VIF_FEATURES)} where i = j"
+
+
+@register("vif", _vif_sql())
 def vif(spark, sf_dir):
-    from tillcast.operators.features import UNSKEWED, group_mean_ratios, log_transform, robust_scale
-    from tillcast.operators.features import frequency_encode
+    from tillcast.functions.numeric import snap8
+    from tillcast.operators.features import frequency_encode, group_mean_ratios, log_transform, robust_scale
     v = Views(spark, sf_dir)
-    g = log_transform(group_mean_ratios(v.prepared), ["sales_vs_store"])
+    g = log_transform(group_mean_ratios(written(v.prepared)), ["sales_vs_store"])
     g = robust_scale(g, ["size", "sales_vs_dept"])
     g = frequency_encode(g, ["store", "dept"])
-    cols = ["sales_vs_store_transformed_scaled", "dept_id_freq", "store_id_freq", "size_scaled",
-            "sales_vs_dept_scaled"]
-    return S.vif(g.select(*[F.col(c).cast("double") for c in cols]), cols)
+    return S.vif(g.select(*[F.col(c).cast("double") for c in VIF_FEATURES]), VIF_FEATURES).withColumn("vif", r4(snap8("vif")))
 
 
 def _scaled_store_features(spark, sf_dir):

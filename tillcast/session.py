@@ -55,9 +55,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_TABLES: dict[str, list[str]] = {}  # by application: folders to delete
+
+
+def remember(spark: SparkSession, path: str) -> str:
+    """Note a folder of intermediate tables, for ``drop_written``."""
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this session's queries have written so far; how many.
+
+    Results made from them can no longer be read: call it once they are stored or collected.
+    """
+    paths = _TABLES.pop(spark.sparkContext.applicationId, [])
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        name = path.rsplit("/", 1)[-1]
+        if name.startswith("layer_"):
+            spark.sql(f"drop table if exists {name}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(paths)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared checkpoint folder: computed once, lost with no executor, nothing cached."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    """df as a table in the shared checkpoint folder: computed once, lost with no executor, nothing cached.
+
+    The folder stays until ``drop_written``.
+    """
+    path = remember(df.sparkSession, f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -79,7 +107,7 @@ def bucketed(df: DataFrame, keys: list[str], order: str | None = None, buckets:
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"layer_{uuid.uuid4().hex}"
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    path = remember(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}")
     one_file_a_bucket = df.repartition(n, *keys)
     one_file_a_bucket.write.bucketBy(n, *keys).sortBy(*keys, *([order] if order else [])).option("path", path).saveAsTable(name)
     return spark.table(name)
