@@ -155,6 +155,14 @@ def test_toxicity_fit_is_where_the_gradient_vanishes():
     assert now <= loss(np.zeros_like(w), b) and now <= loss(w * 0.5, b) and now <= loss(w, b + 1) + 1e-9
 
 
+def test_repeated_and_contradictory_labels(spark):
+    from tillcast.llm.common import labelled_sample
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(5)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 0), (1, 0), (2, 1), (2, 0), (9, 1), (3, None), (4, None), (4, 1)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels.where("toxic is not null"), "doc_id", 100).collect()
+    assert sorted((r.doc_id, r.toxic) for r in got) == [(0, 1), (1, 0), (4, 1)]
+
+
 # --- quality
 
 def plain_features(text):

@@ -150,8 +150,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, max_rows: int)
     """docs joined with about ``max_rows`` rows of labels at most, chosen by a hash of the key.
 
     Labels are sampled before the join, so that no text is shuffled: what is broadcast
-    has a row for each sampled label and no more.
+    has a row for each sampled label and no more. Repeated labels of a key count once; a
+    key with labels that contradict each other teaches nothing.
     """
+    label = next(c for c in labels.columns if c != key)
+    one = labels.groupBy(col(key)).agg(F.min(col(label)).alias(label), F.max(col(label)).alias("__most"))
+    labels = one.where(col(label) == F.col("__most")).drop("__most")
     n = labels.count()
     cut = math.floor(min(1.0, max_rows / max(n, 1)) * (1 << 40))
     few = labels.where(F.pmod(F.xxhash64(F.lit("labels"), col(key)), F.lit(1 << 40)) < cut)
