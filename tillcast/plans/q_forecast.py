@@ -459,11 +459,12 @@ def tuning_rungs(spark, sf_dir):
     """What each rung tried and kept in every series, and whether those kept have the least mean losses."""
     _, t = _long_rungs(_series(spark, sf_dir))
     of = t.groupBy("level", "store", "rung", "budget", "setting").agg(
-        F.count("loss").alias("folds"), F.avg("loss").alias("mean"), F.first("rank").alias("rank"), F.first("survives").alias("survives"))
+        F.count("loss").alias("folds"), F.first("mean_loss").alias("mean"), F.avg("loss").alias("again"), F.first("rank").alias("rank"),
+        F.first("survives").alias("survives"))
     return of.groupBy("level", "store", "rung", "budget").agg(
         F.count(F.lit(1)).alias("n_settings"), F.max("folds").alias("n_folds"), F.count_if("survives").alias("n_kept"),
         F.coalesce(F.max(F.when(F.col("survives"), F.col("mean"))) <= F.min(F.when(~F.col("survives"), F.col("mean"))), F.lit(True)).alias("best_kept"),
-        (F.min_by("mean", "rank") == F.min("mean")).alias("losses_ordered"))
+        ((F.min_by("mean", "rank") == F.min("mean")) & F.every(F.abs(F.col("again") - F.col("mean")) <= 1e-9 * F.col("mean"))).alias("losses_ordered"))
 
 
 @register("forecast_results")
