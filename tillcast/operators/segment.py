@@ -107,12 +107,25 @@ def assemble(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
 
 STARTS = range(10)  # k-means starts; the one of least cost is kept
 MAX_ITER = 300
+PARALLEL = 10  # fits or evaluations that run side by side
+
+
+def side_by_side(vec: DataFrame, work, items) -> list:
+    """[work(i) for i in items], PARALLEL at a time.
+
+    A fit is dozens of short jobs, one after the other; on few rows each keeps one core
+    busy and waits for the driver most of its time.
+    """
+    from multiprocessing.pool import ThreadPool
+    from pyspark import inheritable_thread_target
+    with ThreadPool(PARALLEL) as pool:
+        return pool.map(inheritable_thread_target(vec.sparkSession)(work), items, chunksize=1)
 
 
 def best_kmeans(vec: DataFrame, k: int, seeds=STARTS):
     """The k-means model of least training cost over the starts, each run to tolerance."""
     from pyspark.ml.clustering import KMeans
-    fits = [KMeans(k=k, seed=s, maxIter=MAX_ITER).fit(vec) for s in seeds]
+    fits = side_by_side(vec, lambda s: KMeans(k=k, seed=s, maxIter=MAX_ITER).fit(vec), seeds)
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
@@ -136,10 +149,9 @@ def silhouette_sweep(vec: DataFrame, ks=range(2, 11), seeds=STARTS) -> DataFrame
     """Silhouette (squared Euclidean, MLlib) of k-means labels for each k."""
     from pyspark.ml.evaluation import ClusteringEvaluator
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    rows = []
-    for k in ks:
-        pred = best_kmeans(vec, k, seeds).transform(vec)
-        rows.append((int(k), float(ev.evaluate(pred))))
+    models = [best_kmeans(vec, k, seeds) for k in ks]
+    scores = side_by_side(vec, lambda m: float(ev.evaluate(m.transform(vec))), models)
+    rows = [(int(k), s) for k, s in zip(ks, scores)]
     return vec.sparkSession.createDataFrame(rows, "k int, silhouette double")
 
 
