@@ -146,6 +146,13 @@ def crc_mod(doc_id: str, n: int) -> Column:
     return F.pmod(F.crc32(col(doc_id).cast("string")), F.lit(n))
 
 
+def agreed_labels(labels: DataFrame, key: str) -> DataFrame:
+    """One row a key: repeated labels count once, a key with labels that contradict each other is left out."""
+    label = next(c for c in labels.columns if c != key)
+    one = labels.groupBy(col(key)).agg(F.min(col(label)).alias(label), F.max(col(label)).alias("__most"))
+    return one.where(col(label) == F.col("__most")).drop("__most")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, max_rows: int) -> DataFrame:
     """docs joined with about ``max_rows`` rows of labels at most, chosen by a hash of the key.
 
@@ -153,9 +160,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, max_rows: int)
     has a row for each sampled label and no more. Repeated labels of a key count once; a
     key with labels that contradict each other teaches nothing.
     """
-    label = next(c for c in labels.columns if c != key)
-    one = labels.groupBy(col(key)).agg(F.min(col(label)).alias(label), F.max(col(label)).alias("__most"))
-    labels = one.where(col(label) == F.col("__most")).drop("__most")
+    labels = agreed_labels(labels, key)
     n = labels.count()
     cut = math.floor(min(1.0, max_rows / max(n, 1)) * (1 << 40))
     few = labels.where(F.pmod(F.xxhash64(F.lit("labels"), col(key)), F.lit(1 << 40)) < cut)

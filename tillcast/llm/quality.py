@@ -2,21 +2,31 @@
 
 P(a beats b) = sigmoid(r(a) - r(b)) with r linear in features of the text's shape:
 shares of pairs of neighbouring byte kinds, lengths, repetition of words and lines.
+The model is the optimum over all pairs of a good and a bad labelled text. The pairs are
+not formed: r is one number a text, so what a text is pulled by all texts of the other
+label is a smooth function of r, a polynomial in each of a row of bins, which power sums
+of the other label's r give to 14 digits. A step costs two passes over the labelled rows.
 The cut between good and bad is the quantile of r that leaves the labelled share of
 bad texts below it; the score is 0.7 there.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tillcast.functions.quantiles import exact_quantiles
+
 from . import words
-from .common import Chunk, bounded_sample, col, crc_mod, labelled_sample, read, text_chunks, with_text_columns
+from .common import Chunk, Scratch, agreed_labels, col, crc_mod, read, small_batches, text_chunks, with_text_columns
 
-MAX_ROWS, MAX_BYTES = 8_000, 24 << 20  # the training sample: at most about this many rows and bytes
+MAX_ROWS = 8_000  # rows from which the first weights come; the steps over all rows go on from there
 PAIRS = 20_000
+BIN, TERMS = 0.5, 17  # width of a bin of r, and power sums kept in it
+TOLERANCE, MOST_STEPS = 1e-8, 60
 RIDGE, STEPS = 1e-2, 12
 CUT = 0.7
 
@@ -86,15 +96,155 @@ def _fit(x: np.ndarray, y: np.ndarray) -> dict:
     return {"w": w / spread, "mean": mean, "cut": cut, "scale": float(r.std() / 4 + 1e-9)}
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id",
-          max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> dict:
-    """Model of a bounded sample, fitted in one task. Rows with a null text or label teach nothing.
+def _sigmoid_terms(d: np.ndarray) -> np.ndarray:
+    """The first TERMS Taylor coefficients of the sigmoid at each d."""
+    t = np.empty((TERMS, *d.shape))
+    t[0] = 1 / (1 + np.exp(-np.clip(d, -700, 700)))
+    for k in range(TERMS - 1):  # s' = s - s * s, as power series
+        t[k + 1] = (t[k] - sum(t[i] * t[k - i] for i in range(k + 1))) / (k + 1)
+    return t
+
+
+def _pull(sign: int, own: np.ndarray, other: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Sum of sigmoid(sign * (r - s)) over all s of the other label, as a polynomial for each bin of ``own``.
+
+    ``sums`` holds, for each bin of ``other``, the sums of powers of s less the bin's
+    middle; the polynomial is in r less the bin's middle.
+    """
+    out = np.zeros((len(own), TERMS))
+    for lo in range(0, len(own), 64):
+        t = _sigmoid_terms(sign * BIN * (own[lo:lo + 64, None] - other).astype(float))
+        for q in range(TERMS):
+            for k in range(q, TERMS):
+                out[lo:lo + 64, q] += math.comb(k, q) * sign ** k * (-1) ** (k - q) * (t[k] @ sums[:, k - q])
+    return out
+
+
+def _arrays(batches):
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, FEATURES)
+
+
+def _total(rows: DataFrame, part) -> np.ndarray | None:
+    """Sum of ``part(y, x)``, a vector, over all rows (y, x); None without rows.
+
+    Tasks add up their rows, a few tasks the sums of those, one the rest.
+    """
+    def added(vectors):
+        out = None
+        for v in vectors:
+            out = v if out is None else out + v
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], names=["v"])
+
+    def first(batches):
+        return added(part(y, x) for y, x in _arrays(batches))
+
+    def again(batches):
+        return added(b.column(0).flatten().to_numpy().reshape(b.num_rows, -1).sum(axis=0) for b in batches if b.num_rows)
+
+    got = (rows.select("y", "x").mapInArrow(first, "v array<double>").repartition(32).mapInArrow(again, "v array<double>")
+           .repartition(1).mapInArrow(again, "v array<double>").collect())
+    return np.array(got[0].v) if got else None
+
+
+def _bins(rows: DataFrame, rank) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For label 0 and 1: the bins that hold an r, and the power sums in each."""
+    def tally(batches):
+        for y, x in _arrays(batches):
+            r = rank(x)
+            b = np.floor(r / BIN).astype(np.int64)
+            d = r - (b + 0.5) * BIN
+            key, at = np.unique(2 * b + y, return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), *[pa.array(np.bincount(at, d ** k, len(key))) for k in range(TERMS)]],
+                names=["key", *[f"m{k}" for k in range(TERMS)]])
+
+    names = [f"m{k}" for k in range(TERMS)]
+    sums = rows.select("y", "x").mapInArrow(tally, ", ".join(["key long", *[f"{m} double" for m in names]]))
+    sums = sums.groupBy("key").agg(F.array(*[F.sum(m) for m in names]).alias("m"))
+    got = sums.agg(F.sort_array(F.collect_list(F.struct("key", "m"))).alias("all")).collect()[0]["all"]
+    key, m = np.array([g.key for g in got]), np.array([g.m for g in got])
+    return [(key[key & 1 == y] >> 1, m[key & 1 == y]) for y in (0, 1)]
 
-    Without rows of both labels there are no pairs: every text then scores the share of
-    label 1 (0.5 if there are no labels).
+
+def _step(rows: DataFrame, w: np.ndarray, mean: np.ndarray, spread: np.ndarray):
+    """Gradient and curvature of the mean loss of all pairs, mean and variance of r.
+
+    The gradient is exact to rounding; the curvature takes r at the middle of its bin.
+    """
+    def rank(x):
+        return ((x - mean) / spread) @ w
+
+    bins = _bins(rows, rank)
+    (bad, bad_sums), (good, good_sums) = bins
+    pull = [_pull(1, bad, good, good_sums), _pull(-1, good, bad, bad_sums)]
+    bend = _sigmoid_terms(BIN * (good[:, None] - bad).astype(float))[1]
+    heavy = [bend.T @ good_sums[:, 0], bend @ bad_sums[:, 0]]
+    middle = [(b + 0.5) * BIN for b, _ in bins]
+    p = len(w)
+
+    def part(y, x):
+        z = (x - mean) / spread
+        r = rank(x)
+        slope, curve, sides = np.zeros(p), np.zeros((p, p)), []
+        for label in (0, 1):
+            mine = np.flatnonzero(y == label)
+            zs, at = z[mine], np.searchsorted((middle[label][1:] + middle[label][:-1]) / 2, r[mine])
+            d = r[mine] - middle[label][at]
+            a = np.zeros(len(mine))
+            for q in range(TERMS - 1, -1, -1):
+                a = a * d + pull[label][at, q]
+            slope += (1 - 2 * label) * (a @ zs)
+            curve += (zs * heavy[label][at][:, None]).T @ zs
+            side = np.zeros((len(middle[label]), p))
+            np.add.at(side, at, zs)
+            sides.append(side.ravel())
+        return np.concatenate([slope, curve[np.triu_indices(p)], *sides])
+
+    v = _total(rows, part)
+    pairs = bad_sums[:, 0].sum() * good_sums[:, 0].sum()
+    curve = np.zeros((p, p))
+    tri = p * (p + 1) // 2
+    curve[np.triu_indices(p)] = v[p:p + tri]
+    curve = curve + np.triu(curve, 1).T
+    side_bad, side_good = np.split(v[p + tri:].reshape(-1, p), [len(bad)])
+    cross = side_good.T @ bend @ side_bad
+    n = sum(m[:, 0].sum() for _, m in bins)
+    mid = sum(c @ m[:, 0] + m[:, 1].sum() for c, (_, m) in zip(middle, bins)) / n
+    var = sum((c - mid) ** 2 @ m[:, 0] + 2 * (c - mid) @ m[:, 1] + m[:, 2].sum() for c, (_, m) in zip(middle, bins)) / n
+    return v[:p] / pairs + RIDGE * w, (curve - cross - cross.T) / pairs + RIDGE * np.eye(p), max(var, 0.0)
+
+
+def _start(rows: DataFrame, n: float, max_rows: int) -> np.ndarray:
+    """First weights (of features as they are), from at most about ``max_rows`` rows; zeros if they lack a label."""
+    few = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "k"), F.lit(1 << 40)) < math.floor(min(1.0, max_rows / n) * (1 << 40)))
+
+    def fit(batches):
+        got = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        y = got.column(0).to_numpy() if got is not None else np.zeros(0)
+        w = np.zeros(FEATURES)
+        if len(set(y.tolist())) == 2:
+            x = got.column(1).combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
+            order = np.lexsort((x[:, 0], got.column(2).to_numpy()))
+            w = _fit(x[order], y[order])["w"]
+        yield pa.RecordBatch.from_arrays([pa.array([w], pa.list_(pa.float64()))], names=["w"])
+
+    got = few.select("y", "x", "k").repartition(1).mapInArrow(fit, "w array<double>").collect()
+    return np.array(got[0].w) if got else np.zeros(FEATURES)
+
+
+def train(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", max_rows: int = MAX_ROWS) -> dict:
+    """Model of all labelled rows. Rows with a null text or a label other than 0 and 1 teach nothing.
+
+    Newton steps go on until the gradient over all pairs vanishes, so the result does not
+    depend on the first weights. Without rows of both labels there are no pairs: every
+    text then scores the share of label 1 (0.5 if there are no labels).
     """
-    rows = labelled.where(col(label).isNotNull() & col(text).isNotNull())
-    sample = bounded_sample(rows, key, text, max_rows, max_bytes)
+    spark = labelled.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark, "quality")
 
     def extract(batches):
         for batch in batches:
@@ -104,26 +254,40 @@ def train(labelled: DataFrame, text: str = "text", label: str = "quality", key:
                 at = pa.array(np.arange(len(c) + 1) * FEATURES, pa.int32())
                 yield pa.RecordBatch.from_arrays([y, k, pa.ListArray.from_arrays(at, flat)], names=["y", "k", "x"])
 
-    def fit(batches):
-        batches = list(batches)
-        got = pa.Table.from_batches(batches) if batches else None
-        y = got.column(0).to_numpy() if got is not None else np.zeros(0)
-        if len(set(y.tolist())) < 2:
-            out = [float(y.mean()) if len(y) else 0.5]
+    rows = labelled.where(col(label).isin(0, 1) & col(text).isNotNull())
+    rows = scratch.keep(rows.select(col(text), col(label).cast("int"), F.xxhash64(col(key)))
+                        .mapInArrow(extract, "y int, k long, x array<double>"))
+    got = _total(rows, lambda y, x: np.concatenate([[len(y) - y.sum(), y.sum()], x.sum(axis=0)]))
+    n_bad, n_good = got[:2] if got is not None else (0, 0)
+    n = n_bad + n_good
+    if not n_bad or not n_good:
+        scratch.drop(rows)
+        return {"share": float(n_good / n) if n else 0.5}
+    mean = got[2:] / n
+    spread = np.sqrt(_total(rows, lambda y, x: ((x - mean) ** 2).sum(axis=0)) / n) + 1e-6
+    w = _start(rows, n, max_rows) * spread
+    best, least = w, math.inf
+    for _ in range(MOST_STEPS):
+        slope, curve, var = _step(rows, w, mean, spread)
+        size = np.abs(slope).max()
+        if size < TOLERANCE:
+            break
+        if size >= least:  # too far: half the way
+            w = (w + best) / 2
         else:
-            x = got.column(2).combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
-            order = np.lexsort((x[:, 0], got.column(1).to_numpy()))
-            m = _fit(x[order], y[order])
-            out = [*m["w"], *m["mean"], m["cut"], m["scale"]]
-        yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], names=["m"])
+            best, least = w, size
+            w = w - np.linalg.solve(curve, slope)
+    else:
+        raise RuntimeError(f"no optimum after {MOST_STEPS} steps, gradient {least}")
+
+    def ranks(batches):
+        for _, x in _arrays(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(((x - mean) / spread) @ w)], names=["r"])
 
-    rows = (sample.select(col(text), col(label).cast("int"), F.xxhash64(col(key)))
-            .mapInArrow(extract, "y int, k long, x array<double>")
-            .repartition(1).mapInArrow(fit, "m array<double>").collect())
-    m = np.array(rows[0]["m"]) if rows else np.array([0.5])
-    if len(m) == 1:
-        return {"share": float(m[0])}
-    return {"w": m[:FEATURES], "mean": m[FEATURES:2 * FEATURES], "cut": m[-2], "scale": m[-1]}
+    # halfway between the ranks on either side of the share of label 0
+    cut = exact_quantiles(rows.select("y", "x").mapInArrow(ranks, "r double"), ["r"], [(n_bad - 0.5) / (n - 1)])["r"][0]
+    scratch.drop(rows)
+    return {"w": w / spread, "mean": mean, "cut": cut, "scale": math.sqrt(var) / 4 + 1e-9}
 
 
 def score_texts(spark: SparkSession, docs: DataFrame, model: dict, text: str = "text", threshold: float = CUT) -> DataFrame:
@@ -153,5 +317,6 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_mod("doc_id", 4) == 2
     labels = read(spark, sf_dir, "labels").where(~held_out).select("doc_id", "quality").where("quality is not null")
-    model = train(labelled_sample(docs, labels, "doc_id", MAX_ROWS))
+    # labels grow with the documents: neither broadcast nor sorted, hashed a partition at a time
+    model = train(docs.where(~held_out & F.col("text").isNotNull()).join(agreed_labels(labels, "doc_id").hint("shuffle_hash"), "doc_id"))
     return score_texts(spark, docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
